@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plaintide.plans import scored  # noqa: F401  registers its queries
+from plaintide.plans import scored, texts  # noqa: F401  they register their queries
 from plaintide.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -111,7 +111,7 @@ def redact(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"redacted": [x[0] for x in done], "placeholders": [x[1] for x in done], "found": [x[2] for x in done]})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: normalise(x or ""))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,6 +29,11 @@ SIGNAL = (
 TOKENS_OF_ENTITIES, TOKENS_OF_SETS = 8, 64
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed one time: a lambda variable is not expanded where it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def alias(token: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), token), token)
 
@@ -69,12 +76,15 @@ def simhash(text: Column) -> Column:
     """A bit is set if more of the content tokens' hashes, repeats counted, have it set than not. No tokens: 0."""
     kept = F.filter(tokens(text), lambda t: ~t.isin(STOP) & ((F.length(t) >= 3) | ~t.rlike(r"^[\x00-\x7f]*$")))
     hashes = F.transform(F.transform(kept, alias), token_hash)
-    ones = lambda bit: F.aggregate(hashes, F.lit(0), lambda n, h: n + F.shiftrightunsigned(h, bit).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-    bits = [F.when(2 * ones(b) > F.size(hashes), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")) for b in range(64)]
-    out = bits[0]
-    for b in bits[1:]:
-        out = out.bitwiseOR(b)
-    return out
+
+    def vote(h: Column) -> Column:
+        ones = lambda bit: F.aggregate(h, F.lit(0), lambda k, x: k + F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(1).cast("long")).cast("int"))
+        out = F.lit(0).cast("long")
+        for b in range(64):
+            out = out.bitwiseOR(F.when(2 * ones(b) > F.size(h), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+        return out
+
+    return once(hashes, vote)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -124,9 +134,8 @@ def shingles(text: Column, n: int = 8) -> Column:
     bare = F.regexp_replace(bare, r"\[([^\]]*)\]\([^)]*\)", "$1")
     bare = F.regexp_replace(bare, r"[`*_#>]", " ")
     words = F.filter(F.split(F.lower(bare), r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(r"(?U)^[\W\d_]+$"))
-    return F.when(
-        F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))
-    ).otherwise(F.array().cast("array<string>"))
+    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
+    return once(words, lambda w: F.when(F.size(w) >= n, windows(w)).otherwise(F.array().cast("array<string>")))
 
 
 def keyword_hit(text: Column, keyword: str) -> Column:

@@ -128,14 +128,14 @@ def undeclared(paths_table: DataFrame, declared: DataFrame) -> DataFrame:
 def shingle_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
     """Per left text: its distinct shingles, those that any right text holds, and their percentage."""
     a = left.select("place", F.explode(text.shingles(F.col("text"), n)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
-    b = right.select(F.xxhash64(F.explode(text.shingles(F.col("text"), n))).alias("h")).distinct().withColumn("there", F.lit(1))
+    b = right.select(F.explode(text.shingles(F.col("text"), n)).alias("shingle")).select(F.xxhash64("shingle").alias("h")).distinct().withColumn("there", F.lit(1))
     joined = a.join(b, "h", "left").groupBy("place").agg(F.count(F.lit(1)).alias("total"), F.count("there").alias("shared"))
     return joined.withColumn("pct", F.round(F.col("shared") * 100.0 / F.greatest(F.lit(1), "total"), 2)).withColumn("over", F.col("pct") > DUP_PCT_MAX)
 
 
 def shared_pairs(texts: DataFrame, n: int = 8, least: int = PAIR_MIN) -> DataFrame:
     """Pairs of texts, and how many shingles have them as their first two owners."""
-    each = texts.select("place", F.xxhash64(F.explode(text.shingles(F.col("text"), n))).alias("h"))
+    each = texts.select("place", F.explode(text.shingles(F.col("text"), n)).alias("shingle")).select("place", F.xxhash64("shingle").alias("h"))
     owners = each.groupBy("h").agg(F.min("place").alias("a"), F.count(F.lit(1)).alias("k"))
     second = each.join(owners.where("k > 1"), "h").where("place > a").groupBy("h", "a").agg(F.min("place").alias("b"))
     return second.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
