@@ -31,10 +31,12 @@ def units(entries: DataFrame, keys: list[str], extra: tuple[str, ...] = (), chun
     spark = entries.sparkSession
     counted = entries.withColumn("members", F.count(F.lit(1)).over(W.partitionBy(*keys))).where("members > 1")
     shared = cut(counted, "cells")
+    whole = shared.where(F.col("members") <= chunk).select(*keys, "code", *extra, F.lit(0).alias("own"), F.lit(0).alias("lo"), F.lit(0).alias("hi"))
     split = F.ceil(F.col("members") / F.lit(float(chunk))).cast("int")
     own = F.pmod(F.xxhash64("code"), split).cast("int")
-    dealt = shared.select(*keys, "code", *extra, own.alias("own"), F.explode(F.sequence(F.lit(0), split - 1)).alias("other"))
-    unit = dealt.select(*keys, "code", *extra, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    large = shared.where(F.col("members") > chunk)
+    dealt = large.select(*keys, "code", *extra, own.alias("own"), F.explode(F.sequence(F.lit(0), split - 1)).alias("other"))
+    unit = whole.union(dealt.select(*keys, "code", *extra, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
     by = [*keys, "lo", "hi"]
     return unit.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by)
 

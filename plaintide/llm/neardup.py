@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from plaintide.llm import cells
 from plaintide.llm.work import cut
 
-RADIUS, BLOCKS, SHINGLE, SEED = 4, 7, 4, 42
+RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Blocks of segments for up to 2**24 fingerprints; each 16-fold more gets one more.
+BLOCKS = 8
 _ODD = 0x5555555555555555
 
 
@@ -68,6 +70,14 @@ def embed(code: np.ndarray) -> np.ndarray:
     return ((code | high) & odd) | (((code & high) & odd) << one)
 
 
+def blocks_for(codes: int) -> int:
+    """Blocks that keep chance meetings in a cell few per fingerprint: more blocks, smaller cells. Any number finds all pairs."""
+    blocks, most = BLOCKS, 1 << 24
+    while codes > most:
+        blocks, most = blocks + 1, most << 4
+    return blocks
+
+
 def grid(codes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Every code in its cell of each choice of blocks: columns choice, cell, code."""
     edge = [2 * (32 * i // blocks) for i in range(blocks + 1)]
@@ -108,10 +118,11 @@ def _follow(step: DataFrame) -> DataFrame:
     return step
 
 
-def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, code, component_id: the smallest doc_id reachable over links, its own included."""
     coded = cut(with_codes(docs), "codes")
     known = cut(coded.groupBy("code").agg(F.min("doc_id").alias("first_id")), "known")
+    blocks = blocks or max(radius + 2, blocks_for(known.count()))
     keys = ["choice", "cell"]
     found = cells.links(cells.units(grid(known.select("code"), radius, blocks), keys), keys, radius, embed)
     roots = components(found)
@@ -121,7 +132,7 @@ def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS)
     return coded.join(cut(names, "names"), F.col("code") == F.col("of")).select("doc_id", "code", "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """The rows of ``docs`` that name their component; of rows with one doc_id, one."""
     linked = link_documents(docs, radius, blocks)
     first = cut(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first")
