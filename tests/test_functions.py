@@ -1,0 +1,207 @@
+"""Behaviours that the test tables do not show: scripts, edges, nulls."""
+
+import hashlib
+import hmac
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from plaintide import config
+from plaintide.functions import dates, redaction, scoring, text
+from plaintide.operators import drift, guard, messages, pool, ranking
+
+
+def one(spark, value, expr, kind="string"):
+    return spark.createDataFrame([(value,)], f"x {kind}").select(expr(F.col("x")).alias("y")).first()["y"]
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("mail bob@host.com now", "mail [EMAIL_1] now"),
+        ("mail bob@host。com", "mail [EMAIL_1]"),
+        ("ｊｏｈｎ＠ｅｖｉｌ．ｃｏｍ", "[EMAIL_1]"),
+        ("a@b.co a@b.co c@d.co", "[EMAIL_1] [EMAIL_1] [EMAIL_2]"),
+        ("see https://x.example/y, ok", "see [URL_1] ok"),
+        ("join discord.gg/abc", "join [INVITE_1]"),
+        ("<@123456789012345678> hi", "[DISCORD_ID_1] hi"),
+        ("card 4111 1111 1111 1111 but", "card [CARD_1]but"),
+        ("on 2024-01-02 at 10:30", "on 2024-01-02 at 10:30"),
+        ("2019 2020 2021", "2019 2020 2021"),
+        ("call +1 (202) 555-0143", "call [PHONE_1]"),
+        ("at 10.1.2.3", "at [IP_1]"),
+        ("at fe80::1", "at [IP_1]"),
+        ("ask @someone", "ask [HANDLE_1]"),
+        ("报错了 无法登录", "报错了 无法登录"),
+        ("key a1B2c3D4e5F6g7H8i9J0k1L2m3", "key [SECRET_1]"),
+        (None, ""),
+    ],
+)
+def test_redact(given, want):
+    assert redaction.redact_text(given)[0] == want
+
+
+def test_redact_is_idempotent():
+    rng = random.Random(2)
+    parts = ["bob@host.com", "10.1.2.3", "4111111111111111", "+1 202 555 0143", "@me_1", "word", "ids", "é"]
+    for _ in range(200):
+        once = redaction.redact_text(" ".join(rng.choice(parts) for _ in range(6)))[0]
+        assert redaction.redact_text(once)[0] == once
+
+
+def test_pseudonym(spark):
+    want = "u_" + hmac.new(b"salt", b"42", hashlib.sha256).hexdigest()[:16]
+    assert one(spark, "42", lambda x: redaction.pseudonym(x, salt="salt")) == want
+    assert one(spark, None, lambda x: redaction.pseudonym(x, salt="salt")) is None
+
+
+def test_pseudonym_needs_a_salt(spark, monkeypatch):
+    monkeypatch.delenv("PLAINTIDE_SALT", raising=False)
+    with pytest.raises(ValueError):
+        redaction.pseudonym(F.lit("x"))
+
+
+def test_grounding(spark):
+    f = lambda q, s: spark.range(1).select(text.grounded(F.lit(q), F.lit(s))).first()[0]
+    assert f("Export  to CSV!", "please add export to csv soon")
+    assert not f("the", "the end")
+    assert f("导出失败", "我的导出失败了")
+    assert not f("import to csv", "export to csv")
+
+
+def test_track(spark):
+    hint = lambda s: one(spark, s, lambda x: text.track_hint(x, config.TAXONOMY))
+    assert hint("the api export fails") in ("integrations", "performance")
+    assert hint("imports and exports via webhook") == "integrations"
+    assert hint("mapping of plane") == "other"
+    assert hint("页面卡了") == "performance"
+    assert hint(None) == "other"
+
+
+def test_entities_and_key(spark):
+    got = spark.range(1).select(text.entities(F.lit("Add AI mode for the GPT4 agents, add AI")).alias("e")).first()["e"]
+    assert got == ["add", "ai", "mode", "gpt-4", "agent"]
+    key = spark.range(1).select(text.canonical_key(F.array(F.lit("b"), F.lit("A"), F.lit("b")), F.lit(" UI "))).first()[0]
+    assert key == "a|b::ui"
+
+
+def test_simhash_against_plain(spark):
+    import re
+
+    def plain(s):
+        kept = [text.ALIASES.get(t, t) for t in re.findall(text.TOKEN, s.lower()) if t not in text.STOP and (len(t) >= 3 or not t.isascii())]
+        hashes = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in kept]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    for s in ("export fails on large files", "", "页面 卡了 export", "word word other thing"):
+        assert one(spark, s, text.simhash) % (1 << 64) == plain(s)
+
+
+def test_truncate(spark):
+    cut = lambda s, n: one(spark, s, lambda x: text.truncate(x, n))
+    assert cut("short", 10) == "short"
+    assert cut("One sentence. Another one that is long", 20) == "One sentence."
+    assert cut("nosentenceendhereatall", 10) == "nosentence…"
+
+
+def test_shingles(spark):
+    got = one(spark, "One two ```code here``` three 12 four `five` [six](url) seven eight nine", text.shingles)
+    assert got == ["one two three four five six seven eight", "two three four five six seven eight nine"]
+    assert one(spark, None, text.shingles) == []
+
+
+def test_inline_and_dashes(spark):
+    assert one(spark, "a\n b — c|`d`", text.inline) == "a b, c/'d'"
+    fix = lambda s: one(spark, s, guard.fix_dashes)
+    assert fix("one — two") == "one, two"
+    assert fix("pages 3–5") == "pages 3 to 5"
+    assert fix("ends here —") == "ends here,"
+    assert fix("— starts") == "starts"
+    assert fix("keep `a — b` but fix c — d") == "keep `a — b` but fix c, d"
+
+
+def test_markdown_fences(spark):
+    df = spark.createDataFrame([(1, "a — b\n```\nc — d\n```\ne — f")], "place long, text string")
+    assert [r["fixed"] for r in guard.fix_markdown(df).orderBy("n").collect()] == ["a, b", "```", "c — d", "```", "e, f"]
+
+
+def test_intents_and_units(spark):
+    norm = lambda v: one(spark, v, messages.normal_intents, "array<string>")
+    assert norm(["Bug-Complaint", "bug complaint", "nope"]) == ["bug_complaint"]
+    assert norm([]) == ["chitchat"] and norm(None) == ["chitchat"]
+    rows = spark.createDataFrame([(["praise"], "export to csv", "export to csv"), (["feature_request"], "export to csv", "no"), (["feature_request"], "Export to CSV", "add export to csv")], "intents array<string>, quote string, source string")
+    rows = rows.withColumns({"track": F.lit("odd"), "inferred_job": F.lit(None).cast("string"), "aspect": F.lit("csv")})
+    assert [(r["reject"], r["track"]) for r in messages.units(rows).collect()] == [("not a demand", "explicit"), ("not grounded", "explicit"), (None, "explicit")]
+
+
+def test_uncertain(spark):
+    got = spark.createDataFrame([("0.5",), ("0.9",), ("nan",), ("x",), (None,)], "c string").select(messages.uncertain(F.col("c")).alias("u")).collect()
+    assert [r["u"] for r in got] == [True, False, False, False, False]
+
+
+def test_scoring_edges(spark):
+    r = spark.range(1).select(
+        scoring.rice(F.lit(10), F.lit(1.0), F.lit(1.0), F.lit(None)).alias("unknown"),
+        scoring.rice(F.lit(10), F.lit(1.0), F.lit(1.0), F.lit(0.0)).alias("zero"),
+        scoring.confidence(F.lit(False), F.lit(0), F.lit(0)).alias("none"),
+        scoring.confidence(F.lit(False), F.lit(1), F.lit(1)).alias("one"),
+        scoring.opportunity(F.lit(12), F.lit(-3)).alias("opp"),
+    ).first()
+    assert (r["unknown"], r["zero"], r["none"], r["one"], r["opp"]) == (5.0, 20.0, 0.3, 0.5, 20.0)
+
+
+def test_missed_days(spark):
+    days = lambda last, now: spark.range(1).select(F.size(dates.missed_days(F.lit(last).cast("timestamp"), F.lit(now).cast("timestamp")))).first()[0]
+    assert days(None, "2026-06-25") == 1 and days("2026-06-25", "2026-06-25") == 0 and days("2026-06-22", "2026-06-25") == 3 and days("2020-01-01", "2026-06-25") == 30
+
+
+def test_similar_equals_brute_force(spark):
+    rng = random.Random(4)
+    sets = [(i, rng.sample("abcdefghijkl", rng.randint(0, 8))) for i in range(60)]
+    df = spark.createDataFrame(sets, "id long, tokens array<string>")
+    for threshold in (0.45, 0.83):
+        want = {(a, b) for a, x in sets for b, y in sets if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= threshold}
+        assert {(r["left_id"], r["right_id"]) for r in pool.similar(df, df, threshold).collect()} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 70, 300])
+def test_inversions_equal_brute_force(spark, n):
+    rng = random.Random(n)
+    r2 = list(range(1, n + 1))
+    rng.shuffle(r2)
+    rows = [(i + 1, v) for i, v in enumerate(r2)]
+    want = sum(r2[i] > r2[j] for i in range(n) for j in range(i + 1, n))
+    got = drift.inversions(spark.createDataFrame(rows, "r1 long, r2 long")).first()
+    assert (got["n"], got["discordant"]) == (n, want)
+
+
+def test_global_rank_is_total(spark):
+    df = spark.range(1000).withColumn("v", F.col("id") % 7)
+    got = ranking.global_rank(df, [F.desc("v"), F.col("id")], "place").orderBy("place").collect()
+    assert [r["place"] for r in got] == list(range(1, 1001))
+    assert [(r["v"], r["id"]) for r in got] == sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
+
+
+def test_digest_of_an_empty_day(spark):
+    cards = spark.createDataFrame([(1, "t", "cut", "reverse", 10.0, "k")], "demand_id long, title string, tier string, kano string, final_score double, canonical_key string")
+    md = ranking.digest(cards, "2026-06-25").first()["markdown"]
+    assert "candidates 1, actionable 0, noise 1" in md and "No demand" in md
+
+
+def test_scanners(spark):
+    df = spark.createDataFrame([(1, "ask jane.doe@gmail.com or x@gmail.com or a@example.com or b@corp.org"), (2, "call (212) 867-5309 or (555) 867-5309, zip code 94107, ship to 10001"), (3, "/home/jdoe/x and /home/runner/y")], "place long, text string")
+    assert {(r["label"], r["value"]) for r in guard.emails(df).collect()} == {("PERSONAL-EMAIL", "jane.doe@gmail.com"), ("EMAIL", "b@corp.org")}
+    assert [r["value"] for r in guard.phones(df).collect()] == ["(212) 867-5309"]
+    assert [r["value"] for r in guard.zips(df).collect()] == ["94107"]
+    assert [r["value"] for r in guard.paths(df).collect()] == ["jdoe"]
+
+
+def test_config(tmp_path, monkeypatch):
+    (tmp_path / "config.json").write_text('{"scoring": {"push": 80}}')
+    got = config.load(str(tmp_path))
+    assert got["scoring"]["push"] == 80 and got["scoring"]["archive"] == 40
+    (tmp_path / "config.json").write_text("{broken")
+    monkeypatch.delenv("PLAINTIDE_CONFIG", raising=False)
+    assert config.load(str(tmp_path)) == config.DEFAULTS
+    assert all(ok for _, ok, _ in config.check(config.DEFAULTS))
