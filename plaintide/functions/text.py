@@ -145,17 +145,35 @@ def keyword_hit(text: Column, keyword: str) -> Column:
     return F.contains(text, F.lit(keyword))
 
 
+ENDINGS = ("", "s", "es", "ed", "ing", "d")
+
+
 def track_hint(text: Column, taxonomy: tuple) -> Column:
-    """The track with most keyword hits, then the largest weight, then the earliest; other if none hits."""
+    """The track with most keyword hits, then the largest weight, then the earliest; other if none hits.
+
+    One-word ASCII keywords are looked up among the text's words, which are split off and narrowed to possible hits once; only
+    keywords of several words need a pattern, and only where their first word is there.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    found = F.array(
-        *[
-            F.struct(sum((keyword_hit(low, k).cast("int") for k in words), F.lit(0)).alias("hits"), F.lit(float(weight)).alias("weight"), F.lit(-order).alias("place"), F.lit(name).alias("name"))
-            for order, (name, weight, words) in enumerate(taxonomy)
-        ]
-    )
-    best = F.array_max(F.filter(found, lambda t: t["hits"] > 0))
-    return F.coalesce(best["name"], F.lit("other"))
+    simple = [k for _, _, words in taxonomy for k in words if k.isascii() and k.isalnum()]
+    forms = lambda k: F.array(*[F.lit(k + e) for e in ENDINGS])
+    there = F.array_intersect(F.split(low, r"(?U)\W+"), F.array(*[F.lit(k + e) for k in simple for e in ENDINGS]))
+
+    def hit(found: Column, k: str) -> Column:
+        if k in simple:
+            return F.arrays_overlap(found, forms(k)).cast("int")
+        return (F.contains(low, F.lit(k)) & keyword_hit(low, k)).cast("int")
+
+    def best(found: Column) -> Column:
+        scored = F.array(
+            *[
+                F.struct(sum((hit(found, k) for k in words), F.lit(0)).alias("hits"), F.lit(float(weight)).alias("weight"), F.lit(-order).alias("place"), F.lit(name).alias("name"))
+                for order, (name, weight, words) in enumerate(taxonomy)
+            ]
+        )
+        return F.coalesce(F.array_max(F.filter(scored, lambda t: t["hits"] > 0))["name"], F.lit("other"))
+
+    return once(there, best)
 
 
 def has_signal(text: Column) -> Column:
