@@ -64,7 +64,7 @@ def demand_id(key: Column) -> Column:
 
 
 def idempotency_key(key: Column) -> Column:
-    return F.concat(F.lit("demand-mining:"), key)
+    return F.concat(F.lit("demand:"), key)
 
 
 def token_hash(token: Column) -> Column:

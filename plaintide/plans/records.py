@@ -85,12 +85,12 @@ def dt_hourgate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.hour_gate(table(spark, sf_dir, "events"), 18, F.lit("2024-01-05").cast("date")).select("event_id")
 
 
-@query("SELECT DISTINCT concat('demand-mining:digest:', CAST(CAST(d AS DATE) AS VARCHAR)) AS item FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20', INTERVAL 1 DAY)) AS d)")
+@query("SELECT DISTINCT concat('demand:digest:', CAST(CAST(d AS DATE) AS VARCHAR)) AS item FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20', INTERVAL 1 DAY)) AS d)")
 def dt_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plaintide.functions import dates
 
     days = dates.missed_days(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
-    return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("demand-mining:digest:"), F.col("d").cast("string")).alias("item")).distinct()
+    return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("demand:digest:"), F.col("d").cast("string")).alias("item")).distinct()
 
 
 @query(over("SELECT count(*) AS backlog, count(*) FILTER (WHERE tier = 'tier0') AS urgent, round(max(final_score), 4) AS best FROM s"))

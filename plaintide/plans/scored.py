@@ -335,7 +335,7 @@ def set_symdiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reweighted(spark, sf_dir).where(a != b).select("demand_id", a.alias("before"), b.alias("after"))
 
 
-@query(over("SELECT demand_id, concat('demand-mining:', canonical_key) AS idempotency_key, concat('dm-', substr(sha1(canonical_key), 1, 16)) AS id FROM s"))
+@query(over("SELECT demand_id, concat('demand:', canonical_key) AS idempotency_key, concat('dm-', substr(sha1(canonical_key), 1, 16)) AS id FROM s"))
 def st_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("canonical_key")
     return scored(spark, sf_dir).select("demand_id", text.idempotency_key(k).alias("idempotency_key"), text.demand_id(k).alias("id"))
