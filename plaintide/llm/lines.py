@@ -43,22 +43,22 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
 
 
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines taken out of ``text``, plus ``_lines`` and ``_dropped`` counts."""
-    table = cut(boilerplate(docs, host, ratio, min_pages), "boilerplate").withColumnsRenamed({"host": "_host", "marks": "_marks"})
-    joined = docs.join(table, F.col(host).eqNullSafe(F.col("_host")), "left")
-    kept = F.filter(_lines("text"), lambda x: F.coalesce(~F.array_contains(F.col("_marks"), _mark(x)), F.lit(True)))
-    text = F.when(F.col("_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    """``docs`` with boilerplate lines taken out of ``text``, plus ``__pt_lines`` and ``__pt_dropped`` counts."""
+    table = cut(boilerplate(docs, host, ratio, min_pages), "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
+    joined = docs.join(table, F.col(host).eqNullSafe(F.col("__pt_host")), "left")
+    kept = F.filter(_lines("text"), lambda x: F.coalesce(~F.array_contains(F.col("__pt_marks"), _mark(x)), F.lit(True)))
+    text = F.when(F.col("__pt_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lines = F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long")
-    left = F.when(F.col("_marks").isNull(), lines).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
+    left = F.when(F.col("__pt_marks").isNull(), lines).otherwise(F.coalesce(F.size(kept), F.lit(0)).cast("long"))
     lines = F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long")
     left = F.when(F.col("text").isNull(), 0).otherwise(left).cast("long")
     names = [c for c in docs.columns if c != "text"]
-    return joined.select(*names, text.alias("text"), lines.alias("_lines"), (lines - left).alias("_dropped"))
+    return joined.select(*names, text.alias("text"), lines.alias("__pt_lines"), (lines - left).alias("__pt_dropped"))
 
 
 def clean_documents(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Columns as in ``docs``; ``n_chars`` follows the text."""
     done = drop_boilerplate(docs, host, ratio, min_pages)
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        done = done.withColumn("n_chars", F.when(F.col("__pt_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

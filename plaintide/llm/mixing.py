@@ -10,7 +10,7 @@ to each other. A source without words has target 0. An empty table gives no rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -45,48 +45,66 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return ranked.select("source", "source_size", F.least("cap", F.col("weight") * F.coalesce(level, F.lit(0.0))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken; taken counts words, repeats included."""
-    key = F.xxhash64(F.lit(seed), "doc_id", "text", "source")
-    sizes = cut(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), key.alias("key")).withColumn(
-            "bucket", F.pmod(F.shiftrightunsigned("key", 20), F.lit(buckets)).cast("int")
-        ),
-        "sizes",
-    )
-    targets = cut(source_targets(sizes, weights, most), "targets")
+def _key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "doc_id", "text", "source")
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.shiftrightunsigned(key, 20), F.lit(buckets)).cast("int")
+
+
+def _budgets(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as (doc_id, source, size, key, bucket), and key buckets with the words before them and their source's budget."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _key(seed).alias("key"))
+    sizes = cut(slim.withColumn("bucket", _bucket("key", buckets)), "sizes")
+    targets = cut(source_targets(sizes, weights, most), "targets").withColumnRenamed("source", "of")
     filled = sizes.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("bucket_size")
-    budgets = targets.withColumnRenamed("source", "of")
-    placed = filled.withColumn("before", before).join(budgets, F.col("source").eqNullSafe(F.col("of"))).drop("of", "bucket_size")
-    placed = placed.withColumnsRenamed({"source": "of", "bucket": "in_bucket"})
-    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    rows = sizes.withColumn("inside", inside).join(placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket")))
+    placed = filled.withColumn("before", before).join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long")
-    rest = budget - epochs * F.col("source_size") - F.col("before") - F.col("inside")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
-    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), "key")
+    placed = placed.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size"))
+    return sizes, placed.withColumnsRenamed({"source": "of", "bucket": "in_bucket"})
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken; taken counts words, repeats included."""
+    sizes, placed = _budgets(docs, weights, most, seed, buckets)
+    inside = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("key", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    rows = sizes.withColumn("inside", inside).join(placed, F.col("source").eqNullSafe(F.col("of")) & (F.col("bucket") == F.col("in_bucket")))
+    rest = F.col("rest") - F.col("before") - F.col("inside")
+    taken = F.col("epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", rest))
+    return rows.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """The mix itself: every document as often as it is taken, the one at a source's budget cut to its last words taken.
 
-    Columns as in ``docs``; ``n_chars`` follows a cut text.
+    Columns as in ``docs``; ``n_chars`` follows a cut text. All rows of a bucket are taken alike but for the one bucket of
+    each source that holds its budget's end, so texts are not shuffled: the end of each source, one row a source, is
+    joined to them, and only rows of the end buckets go through a window.
     """
-    mine = mix(docs, weights, most, seed)
-    # rows that are equal in doc_id, source and text share a key; they are paired by their place among each other
-    same = W.partitionBy("key", "doc_id")
-    plan = mine.select("key", "doc_id", "size", "taken").withColumn("twin", F.row_number().over(same.orderBy(F.desc("taken")))).where("taken > 0").withColumnRenamed("doc_id", "of")
-    keyed = docs.withColumn("_key", F.xxhash64(F.lit(seed), "doc_id", "text", "source"))
-    keyed = keyed.withColumn("_twin", F.row_number().over(W.partitionBy("_key", "doc_id").orderBy("_key")))
-    taken = keyed.join(plan, (keyed["_key"] == plan["key"]) & (keyed["_twin"] == plan["twin"]) & keyed["doc_id"].eqNullSafe(plan["of"]))
-    full, rest = F.floor(F.col("taken") / F.col("size")), F.col("taken") % F.col("size")
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), full.cast("int")), F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<long>")))
-    each = taken.withColumn("_words", F.explode(copies))
+    _, placed = _budgets(docs, weights, most, seed, buckets)
+    ends = cut(
+        placed.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size"))).select(
+            F.col("of").alias("__pt_of"), F.col("in_bucket").alias("__pt_end"), F.col("epochs").alias("__pt_epochs"), (F.col("rest") - F.col("before")).alias("__pt_rest")
+        ),
+        "ends",
+    )
+    keyed = docs.withColumn("__pt_key", _key(seed)).withColumn("__pt_bucket", _bucket("__pt_key", buckets))
+    joined = keyed.join(ends, keyed["source"].cast("string").eqNullSafe(ends["__pt_of"]))
+    whole = joined.where(F.col("__pt_bucket") != F.col("__pt_end")).withColumn("__pt_words", F.explode(F.array_repeat(F.lit(-1), (F.col("__pt_epochs") + (F.col("__pt_bucket") < F.col("__pt_end")).cast("int")).cast("int"))))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
+    edge = joined.where(F.col("__pt_bucket") == F.col("__pt_end")).withColumn("__pt_size", size)
+    through = F.sum("__pt_size").over(W.partitionBy("__pt_of").orderBy("__pt_key", "doc_id").rowsBetween(W.unboundedPreceding, 0))
+    part = F.greatest(F.lit(0), F.least("__pt_size", F.col("__pt_rest") - through + F.col("__pt_size"))).cast("int")
+    last = F.when(part == 0, F.array().cast("array<int>")).otherwise(F.array(F.when(part == F.col("__pt_size"), -1).otherwise(part)))
+    edge = edge.withColumn("__pt_copies", F.concat(F.array_repeat(F.lit(-1), F.col("__pt_epochs").cast("int")), last)).withColumn("__pt_words", F.explode("__pt_copies"))
     # a piece is a word and the white space before it
     pieces = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)
-    cut_text = F.when(F.col("_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("_words"), F.lit(1)).cast("int")), ""))
-    out = [F.col(c) for c in docs.columns]
-    shaped = {"text": cut_text, "n_chars": F.length(cut_text).cast("long")}
-    return each.select(*(shaped[c].alias(c) if c in shaped else x for c, x in zip(docs.columns, out, strict=True)))
+    text = F.when(F.col("__pt_words") < 0, F.col("text")).otherwise(F.array_join(F.slice(pieces, 1, F.greatest(F.col("__pt_words"), F.lit(1))), ""))
+    shaped = {"text": text, "n_chars": F.when(F.col("__pt_words") < 0, F.col("n_chars")).otherwise(F.length(text)).cast("long")} if "n_chars" in docs.columns else {"text": text}
+    # rows without words have no share of the budget
+    cut_rows = edge.where("__pt_size > 0").select(*(shaped[c].alias(c) if c in shaped else F.col(c) for c in docs.columns))
+    return whole.where(size > 0).select(*docs.columns).unionByName(cut_rows)

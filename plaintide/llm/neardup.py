@@ -129,13 +129,16 @@ def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int | None = N
     placed = known.join(roots, F.col("code") == F.col("node"), "left").select("code", "first_id", F.coalesce("root", "code").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     names = placed.select("code", "root").join(least, "root").select(F.col("code").alias("of"), "component_id")
-    return coded.join(cut(names, "names"), F.col("code") == F.col("of")).select("doc_id", "code", "component_id")
+    return cut(coded.join(cut(names, "names"), F.col("code") == F.col("of")).select("doc_id", "code", "component_id"), "linked")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that name their component; of rows with one doc_id, one."""
+    """The rows of ``docs`` that name their component; of rows with one doc_id, one.
+
+    The rows that go are fewer than those that stay, so ``docs`` is joined against them.
+    """
     linked = link_documents(docs, radius, blocks)
-    first = cut(linked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")), "first")
-    chosen = first.select(F.col("doc_id").alias("_keep"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return kept if first.where("rows > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    gone = cut(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pt_gone")).distinct(), "gone")
+    kept = docs.join(gone, F.col("doc_id") == F.col("__pt_gone"), "left_anti")
+    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])

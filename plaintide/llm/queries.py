@@ -57,7 +57,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.drop_boilerplate(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "source", "text", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"))
+    return done.select("doc_id", "source", "text", F.col("__pt_lines").alias("n_lines"), F.col("__pt_dropped").alias("n_dropped"))
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
