@@ -25,7 +25,9 @@ from plaintide.llm.work import cut
 #: Weight of the diagonal target in each covariance; variance added to every statistic; divisor of the log odds.
 SHRINK, FLOOR, TEMPER = 0.10, 1e-3, 4.0
 THRESHOLD, FOLDS = 0.3, 5
-NAMES = ("words", "word_length", "length_spread", "upper", "digits", "symbols", "other_marks", "shouted", "ends_marked", "distinct", "repeated_next", "line_words", "bars")
+#: Characters of a word that count in its length.
+LONGEST = 16
+NAMES = ("words", "word_length", "length_spread", "upper", "symbols", "other_marks", "shouted", "ends_marked", "distinct", "repeated_next", "line_words", "bars")
 
 
 def statistics(texts: list[str]) -> np.ndarray:
@@ -34,7 +36,8 @@ def statistics(texts: list[str]) -> np.ndarray:
     n = len(texts)
     count = np.diff(w.offset).astype(np.float64)
     some = np.maximum(count, 1)
-    size = (w.end - w.start).astype(np.float64)
+    # a key or number of many characters says little about the prose around it
+    size = np.minimum(w.end - w.start, LONGEST).astype(np.float64)
     by_word = lambda x: np.bincount(w.doc, x, n)
     mean = by_word(size) / some
     spread = np.sqrt(np.maximum(by_word(size * size) / some - mean * mean, 0))
@@ -63,7 +66,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     rows = w.per_text(cp == 10) + 1
     return np.column_stack(
         [
-            np.log1p(count), np.log1p(mean), np.log1p(spread), share(upper), share(digit), share(symbol), share(other),
+            np.log1p(count), np.log1p(mean), np.log1p(spread), share(upper), share(symbol), share(other),
             np.sqrt(by_word(shouted.astype(float)) / some), np.sqrt(by_word(marked.astype(float)) / some),
             distinct * np.log1p(count), np.sqrt(by_word(again.astype(float)) / some), np.log1p(count / rows), share(bar),
         ]
