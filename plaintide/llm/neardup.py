@@ -133,12 +133,16 @@ def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int | None = N
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """The rows of ``docs`` that name their component; of rows with one doc_id, one.
+    """The rows of ``docs`` whose doc_id names their component, equal rows once.
 
-    The rows that go are fewer than those that stay, so ``docs`` is joined against them.
+    The rows that go are fewer than those that stay, so ``docs`` is joined against them. Rows without a doc_id cannot be told
+    apart and stay; rows that share a doc_id but not their text count as one document each.
     """
     linked = link_documents(docs, radius, blocks)
-    gone = cut(linked.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__pt_gone")).distinct(), "gone")
+    gone = cut(linked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__pt_gone")).distinct(), "gone")
     kept = docs.join(gone, F.col("doc_id") == F.col("__pt_gone"), "left_anti")
-    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    repeated = linked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    if repeated.isEmpty():
+        return kept
+    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
+    return named.unionByName(kept.where(F.col("doc_id").isNull()))

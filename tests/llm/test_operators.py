@@ -472,3 +472,10 @@ def test_keep_one(odd, odd_rows):
     assert kept.columns == odd.columns
     codes = [plain_code(t) for _, t, _ in odd_rows]
     assert kept.count() == len(set(groups(codes, neardup.RADIUS)))
+
+
+def test_keep_one_with_shared_and_missing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "s"), (1, a, "s"), (1, b, "s"), (2, a, "s"), (None, a, "s"), (None, b, "s"), (None, "other words here", "s")]
+    kept = sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(docs_of(spark, rows)).collect())
+    assert kept == sorted([("1", a), ("1", b), ("None", a), ("None", b), ("None", "other words here")])
