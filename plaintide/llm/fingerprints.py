@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from plaintide.llm import cells
 from plaintide.llm.textarrays import Words, batches, mix
-from plaintide.llm.work import shuffle_partitions
+from plaintide.llm.work import cut, shuffle_partitions
 
 SHINGLE = 3
 #: Search radius in bits; the 64 bits are cut into so many blocks.
@@ -195,3 +195,13 @@ def search(docs: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: in
 
     found = cells.run_units(cells.units(entries, keys, ("asks",)), keys, work, "code long, near long", ("asks",))
     return found.groupBy("code").agg(F.sum("near").alias("near"))
+
+
+def compare_and_search(docs: DataFrame, every: int = 20, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """:func:`compare_edited` with ``n_near``: for rows whose doc_id is divisible by ``every``, how many other fingerprints of all
+    rows lie within ``radius`` of theirs; null for the rest."""
+    done = cut(compare_edited(docs), "fingerprints").withColumn("code", F.conv("fingerprint", 16, -10).cast("long"))
+    asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
+    found = cut(search(done, done.where(asks), radius, blocks), "near").withColumnRenamed("code", "of")
+    joined = done.join(found, asks & (F.col("code") == F.col("of")), "left")
+    return joined.select(*[x.split()[0] for x in SCHEMA.split(", ")], F.when(asks, F.coalesce("near", F.lit(0))).cast("long").alias("n_near"))

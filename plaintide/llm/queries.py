@@ -24,7 +24,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.compare_edited(_table(spark, sf_dir, "documents"))
+    return fingerprints.compare_and_search(_table(spark, sf_dir, "documents"))
 
 
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,7 +50,7 @@ def empty(spark):
 def test_empty_tables(spark, empty):
     path = queries.tokenizer_path
     for df in (
-        fingerprints.compare_edited(empty), quality.assess(empty), quality.filter_documents(empty), tokens.round_trip(empty, path("byte_bpe_50k.json")), pii.find(empty),
+        fingerprints.compare_edited(empty), fingerprints.compare_and_search(empty), quality.assess(empty), quality.filter_documents(empty), tokens.round_trip(empty, path("byte_bpe_50k.json")), pii.find(empty),
         mixing.mix(empty), mixing.mixed_documents(empty), bpe.round_trip(empty, path("word_bpe_49k.json")), lines.drop_boilerplate(empty), neardup.link_documents(empty), neardup.keep_one(empty),
         classifier.quality(empty, spark.createDataFrame([], "doc_id long, quality int")), warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")),
     ):
@@ -479,3 +479,12 @@ def test_keep_one_with_shared_and_missing_ids(spark):
     rows = [(1, a, "s"), (1, a, "s"), (1, b, "s"), (2, a, "s"), (None, a, "s"), (None, b, "s"), (None, "other words here", "s")]
     kept = sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_one(docs_of(spark, rows)).collect())
     assert kept == sorted([("1", a), ("1", b), ("None", a), ("None", b), ("None", "other words here")])
+
+
+def test_fingerprint_query_searches(odd):
+    got = fingerprints.compare_and_search(odd, radius=3).collect()
+    codes = {int(r["fingerprint"], 16) for r in got}
+    for r in got:
+        mine = int(r["fingerprint"], 16)
+        want = sum(0 < (mine ^ c).bit_count() <= 3 for c in codes) if r["doc_id"] is not None and r["doc_id"] % 20 == 0 else None
+        assert r["n_near"] == want
