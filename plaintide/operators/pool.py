@@ -62,6 +62,63 @@ def match_band(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("similarity") >= low) & (F.col("similarity") < high)).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
 
 
+def match_existing(rows: DataFrame) -> DataFrame:
+    """For each row the earlier row it matches: left_id, right_id, similarity, exact. Rows without a match give none.
+
+    ``rows`` has doc_id, text and track. An equal canonical key wins, its first row, without a similarity. Else a row is accepted
+    on one of three rungs: similarity at the threshold; strong, SimHash near, subjects agree and not in the review band; strong,
+    similarity from the floor to the band and subjects agree. The most similar is taken; of equals the last.
+
+    Rows of equal tokens, track and SimHash are judged as one. The rungs' pairs come from the prefix filter at the floor, and from rows
+    that share a key entity and one of the SimHash's blocks: within the radius at least one block is equal, and strong needs a shared entity.
+    """
+    radius, low = SCORING["hamming"], SCORING["band"][0]
+    blocks, c = radius + 1, F.col
+    first = lambda *by: F.min("doc_id").over(W.partitionBy(*by))
+    seen = rows.select("doc_id", "track", text.entities(c("text"), text.TOKENS_OF_SETS).alias("tokens"), text.simhash(c("text")).alias("code"))
+    seen = seen.withColumn("entities", F.slice("tokens", 1, text.TOKENS_OF_ENTITIES))
+    seen = seen.withColumn("by_key", first(text.canonical_key(c("entities"), c("track")))).withColumn("by_set", first(F.array_sort("tokens"))).withColumn("like", first("tokens", "track", "code"))
+    seen = seen.persist()  # the texts are parsed once, read by each rung
+    exact = seen.where("by_key < doc_id").select(c("doc_id").alias("left_id"), c("by_key").alias("right_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("exact"))
+
+    full = seen.where(F.size("tokens") > 0)
+    asked, known = full.where("by_key = doc_id"), full.where("like = doc_id")
+    sets = full.where("by_set = doc_id").select(c("doc_id").alias("id"), "tokens")
+    near = similar(sets, sets, SCORING["floor"]).select(c("left_id").alias("l"), c("right_id").alias("r"))
+    near = near.join(asked.select(c("by_set").alias("l"), c("doc_id").alias("left_id")), "l").join(known.select(c("by_set").alias("r"), c("doc_id").alias("right_id")), "r")
+    edge = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [(1 << edge[b + 1]) - (1 << edge[b]) for b in range(blocks)]
+    signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
+
+    def banded(df: DataFrame, side: str) -> DataFrame:
+        each = df.select(c("doc_id").alias(f"{side}_id"), c("code").alias(f"{side}_code"), F.explode("entities").alias("entity"), c("code"))
+        return each.select(f"{side}_id", f"{side}_code", "entity", F.posexplode(F.transform(signed, lambda m: m.bitwiseAND(c("code")))).alias("block", "bits"))
+
+    close = (c("right_id") < c("left_id")) & (c("right_code") != 0) & (text.hamming(c("left_code"), c("right_code")) <= radius)
+    hashed = banded(asked, "left").join(banded(known, "right"), ["entity", "block", "bits"]).where(close)
+    pairs = near.where("right_id < left_id").select("left_id", "right_id").union(hashed.select("left_id", "right_id")).distinct()
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select(*[c(x).alias(f"{name}_{y}") for x, y in (("doc_id", "id"), ("tokens", "tokens"), ("entities", "entities"), ("track", "track"), ("code", "code"))])
+
+    j = pairs.join(side(asked, "left"), "left_id").join(side(known, "right"), "right_id")
+    j = j.withColumn("similarity", text.jaccard(c("left_tokens"), c("right_tokens")))
+    sim = c("similarity")
+    gate = strong(c("left_entities"), c("right_entities"), c("left_track") == c("right_track")) & subjects_agree(c("left_tokens"), c("right_tokens"))
+    hit = (c("right_code") != 0) & (text.hamming(c("left_code"), c("right_code")) <= radius)
+    ok = (sim >= SCORING["jaccard"]) | (gate & hit & ~((sim >= low) & (sim < SCORING["jaccard"]))) | (gate & (sim >= SCORING["floor"]) & (sim < low))
+    best = j.where(ok).select("left_id", "right_id", "similarity").withColumn("top", F.max("similarity").over(W.partitionBy("left_id"))).where(sim == c("top"))
+
+    # the last row below the candidate among those judged as one: a running value, not a join
+    marks = full.select("like", "doc_id", c("doc_id").alias("member"), F.lit(None).cast("double").alias("similarity")).union(
+        best.select(c("right_id").alias("like"), c("left_id").alias("doc_id"), F.lit(None).cast("long").alias("member"), "similarity")
+    )
+    before = F.last("member", ignorenulls=True).over(W.partitionBy("like").orderBy("doc_id", "member").rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = marks.withColumn("before", before).where("member is null")
+    fuzzy = last.groupBy(c("doc_id").alias("left_id")).agg(F.max("before").alias("right_id"), F.max("similarity").alias("similarity"))
+    return exact.unionByName(fuzzy.withColumn("exact", F.lit(False)))
+
+
 def strong(a_entities: Column, b_entities: Column, same_track: Column) -> Column:
     shared = F.size(F.array_intersect(a_entities, b_entities))
     return (shared >= 2) | ((shared >= 1) & same_track)

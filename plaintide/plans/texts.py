@@ -203,6 +203,12 @@ def join_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.match_fuzzy(_pairs(spark, sf_dir, 0.83))
 
 
+@query()
+def join_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's match among the earlier ones, on the key and all three rungs; ``join_fuzzy`` is the first rung alone."""
+    return pool.match_existing(documents(spark, sf_dir).withColumnRenamed("lang", "track"))
+
+
 @query(f"WITH {PAIRS_SQL} SELECT left_id, min(right_id) AS right_id FROM s WHERE similarity >= 0.78e0 AND similarity < 0.83e0 GROUP BY 1")
 def join_band(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pool.match_band(_pairs(spark, sf_dir, 0.78))
