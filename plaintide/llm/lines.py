@@ -4,6 +4,10 @@ A line is boilerplate on its host if more than ``ratio`` of the host's pages hol
 spaces at their ends, by a 64-bit hash; blank lines are never boilerplate. Hosts with fewer than ``min_pages`` pages keep
 every line. At most (lines per page / ratio) lines of a host can be boilerplate, so what is joined back is small.
 
+That rule leaves small hosts alone and sees only lines on a tenth of a host. :func:`common_lines` judges a line alike on
+hosts of every size: it must stand in ``least`` different texts of the host and in more than ``share`` of its different texts. Copies of a text
+count once, so that the lines of a text that was copied are no boilerplate for that.
+
 A null text stays null with 0 lines; a null host is a host of its own; repeated rows are pages of their own.
 """
 
@@ -15,6 +19,7 @@ from pyspark.sql import functions as F
 from plaintide.llm.work import cut
 
 RATIO, MIN_PAGES = 0.10, 20
+SHARE, LEAST = RATIO, 3
 
 
 def _lines(text: str) -> Column:
@@ -42,9 +47,30 @@ def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min
     return found.groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
 
 
+def common_lines(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """As :func:`boilerplate`, by the number and share of a host's different texts that hold a line."""
+    marks = F.array_distinct(F.array_compact(F.transform(_lines("text"), _mark)))
+    texts = docs.where(F.col("text").isNotNull()).groupBy(F.col(host).alias("host"), F.xxhash64("text").alias("same")).agg(F.first(marks).alias("marks"))
+    texts = cut(texts, "texts")
+    counts = texts.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("held"))
+    totals = texts.groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("site_texts"))
+    often = counts.where(F.col("held") >= least)
+    found = often.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("held") > share * F.col("site_texts"))
+    return found.groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
+
+
 def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``__pt_lines`` and ``__pt_dropped`` counts."""
-    table = cut(boilerplate(docs, host, ratio, min_pages), "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
+    return _without(docs, boilerplate(docs, host, ratio, min_pages), host)
+
+
+def drop_common(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """:func:`drop_boilerplate` for :func:`common_lines`."""
+    return _without(docs, common_lines(docs, host, share, least), host)
+
+
+def _without(docs: DataFrame, found: DataFrame, host: str) -> DataFrame:
+    table = cut(found, "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
     joined = docs.join(table, F.col(host).eqNullSafe(F.col("__pt_host")), "left")
     kept = F.filter(_lines("text"), lambda x: F.coalesce(~F.array_contains(F.col("__pt_marks"), _mark(x)), F.lit(True)))
     text = F.when(F.col("__pt_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
@@ -58,7 +84,15 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
 
 def clean_documents(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """Columns as in ``docs``; ``n_chars`` follows the text."""
-    done = drop_boilerplate(docs, host, ratio, min_pages)
+    return _cleaned(docs, drop_boilerplate(docs, host, ratio, min_pages))
+
+
+def clean_common(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
+    """:func:`clean_documents` for :func:`common_lines`."""
+    return _cleaned(docs, drop_common(docs, host, share, least))
+
+
+def _cleaned(docs: DataFrame, done: DataFrame) -> DataFrame:
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__pt_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
