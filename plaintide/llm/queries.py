@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide.llm import bpe, classifier, fingerprints, lines, mixing, neardup, pii, quality, tokens, warc
+from plaintide.llm.work import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_and_search(_table(spark, sf_dir, "documents"))
 
 
+def op1_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies near the documents that op1_fingerprints searches for, by document."""
+    coded = cut(fingerprints.with_fingerprint(_table(spark, sf_dir, "documents")), "codes")
+    return fingerprints.neighbours(coded, coded.where("doc_id % 20 = 0"))
+
+
 def op2_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(_table(spark, sf_dir, "documents"))
 
@@ -72,7 +79,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op9_common_lines, op10_near_duplicates]
+    found = [op1_fingerprints, op1_neighbours, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op9_common_lines, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
