@@ -108,8 +108,8 @@ FLAGS_SQL = f"""WITH {PAIRS_SQL}, e AS (SELECT doc_id, list(t ORDER BY n) AS l F
  FROM s JOIN e a ON a.doc_id = left_id JOIN e b ON b.doc_id = right_id JOIN documents d ON d.doc_id = left_id JOIN documents f ON f.doc_id = right_id WHERE similarity >= 0.45e0)"""
 
 
-def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = documents(spark, sf_dir).select("doc_id", "lang", text.entities(F.col("text")).alias("l"))
+def _flagged(spark: SparkSession, sf_dir: str, limit: int = text.TOKENS_OF_ENTITIES) -> DataFrame:
+    e = documents(spark, sf_dir).select("doc_id", "lang", text.entities(F.col("text"), limit).alias("l"))
     j = _pairs(spark, sf_dir, 0.45).join(e.select(F.col("doc_id").alias("left_id"), F.col("l").alias("a"), F.col("lang").alias("la")), "left_id")
     return j.join(e.select(F.col("doc_id").alias("right_id"), F.col("l").alias("b"), F.col("lang").alias("lb")), "right_id")
 
@@ -124,6 +124,12 @@ def join_subject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flagged(spark, sf_dir).select("left_id", "right_id", pool.subjects_agree(F.col("a"), F.col("b")).alias("agree"))
 
 
+@query(f"{FLAGS_SQL.replace('n <= 8', f'n <= {text.TOKENS_OF_SETS}')} SELECT left_id, right_id, k = len(a) OR k = len(b) OR a[1] = b[1] AS agree FROM x")
+def join_subject_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subject guard over the whole token sets, as matching uses it; ``join_subject`` compares the key entities."""
+    return _flagged(spark, sf_dir, text.TOKENS_OF_SETS).select("left_id", "right_id", pool.subjects_agree(F.col("a"), F.col("b")).alias("agree"))
+
+
 @query(over(f", {REWEIGHT} SELECT demand_id, r1, r2, abs(r1 - r2) AS shift FROM k").replace("s3) ,", "s3),"))
 def join_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _ranked(spark, sf_dir)
