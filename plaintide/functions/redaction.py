@@ -111,6 +111,12 @@ def redact(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"redacted": [x[0] for x in done], "placeholders": [x[1] for x in done], "found": [x[2] for x in done]})
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def redact_each(lists: pd.Series) -> pd.Series:
+    """Each text of a list redacted for itself; empty and null ones stay."""
+    return lists.map(lambda xs: None if xs is None else [redact_text(x)[0] if x else x for x in xs])
+
+
 @F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: normalise(x or ""))

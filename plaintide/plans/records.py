@@ -49,10 +49,13 @@ def prj_scrub_ents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def prj_redact_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plaintide.functions import redaction
-
-    d = documents(spark, sf_dir)
-    return d.select("doc_id", redaction.redact(F.left("text", F.lit(240)))["redacted"].alias("title"), redaction.pseudonym(F.col("source"), salt="query-salt").alias("author"))
+    """Documents as cards: the text is the title, its lines are the evidence. Nothing is cut before the redaction."""
+    none = F.lit(None).cast("string")
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(none.alias("redacted_snippet"), x.alias("quote")))
+    d = documents(spark, sf_dir).withColumns({"title": F.col("text"), "summary": F.col("source"), "inferred_job": F.col("lang"), "evidence": lines})
+    d = d.withColumns({"why": none, "recommendation": none, "action": none, "authors": F.array(F.struct(F.col("source").alias("user_id"), none.alias("author"), none.alias("author_hash")))})
+    card = records.redact_card(d, "query-salt")
+    return card.select("doc_id", "title", "summary", "inferred_job", F.array_join("evidence.redacted_snippet", "\n").alias("evidence"), F.col("authors")[0]["author_hash"].alias("author"))
 
 
 @query(f"""WITH m AS ({MENTIONS}), r AS (SELECT demand_id, count(DISTINCT author) AS n FROM m GROUP BY 1), f AS (SELECT demand_id, n, round(n * 1e0 * 0.5e0 / 2e0, 6) AS rice_raw FROM r), g AS (SELECT *, round(100e0 * rice_raw / (rice_raw + 6e0), 4) AS final_score FROM f)
