@@ -19,10 +19,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plaintide.llm import cells
 from plaintide.llm.work import cut
@@ -63,6 +65,11 @@ def with_codes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, code long")
 
 
+@F.pandas_udf(T.LongType())
+def code_of(texts: pd.Series) -> pd.Series:
+    return pd.Series(np.fromiter((fingerprint(x or "") for x in texts), np.uint64, len(texts)).view(np.int64))
+
+
 def embed(code: np.ndarray) -> np.ndarray:
     """Bit counts of the two-bit segments in unary: 0, 1 and 2 as 00, 01 and 11."""
     odd, one = np.uint64(_ODD), np.uint64(1)
@@ -120,6 +127,11 @@ def _follow(step: DataFrame) -> DataFrame:
 
 def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """doc_id, code, component_id: the smallest doc_id reachable over links, its own included."""
+    return _linked(docs, radius, blocks).select("doc_id", "code", "component_id")
+
+
+def _linked(docs: DataFrame, radius: int, blocks: int | None) -> DataFrame:
+    """:func:`link_documents` with ``root``, a code that names the component whether or not it has a doc_id."""
     coded = cut(with_codes(docs), "codes")
     known = cut(coded.groupBy("code").agg(F.min("doc_id").alias("first_id")), "known")
     blocks = blocks or max(radius + 2, blocks_for(known.count()))
@@ -128,21 +140,27 @@ def link_documents(docs: DataFrame, radius: int = RADIUS, blocks: int | None = N
     roots = components(found)
     placed = known.join(roots, F.col("code") == F.col("node"), "left").select("code", "first_id", F.coalesce("root", "code").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = placed.select("code", "root").join(least, "root").select(F.col("code").alias("of"), "component_id")
-    return cut(coded.join(cut(names, "names"), F.col("code") == F.col("of")).select("doc_id", "code", "component_id"), "linked")
+    names = placed.select("code", "root").join(least, "root").select(F.col("code").alias("of"), "root", "component_id")
+    return cut(coded.join(cut(names, "names"), F.col("code") == F.col("of")).select("doc_id", "code", "root", "component_id"), "linked")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their component, equal rows once.
 
-    The rows that go are fewer than those that stay, so ``docs`` is joined against them. Rows without a doc_id cannot be told
-    apart and stay; rows that share a doc_id but not their text count as one document each.
+    The rows that go are fewer than those that stay, so ``docs`` is joined against them. Rows that share a doc_id but not their text
+    count as one document each, and are told apart by their fingerprints. Rows without a doc_id
+    give one row a component, besides the row that has its doc_id.
     """
-    linked = link_documents(docs, radius, blocks)
+    linked = _linked(docs, radius, blocks)
+    repeated = linked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 or doc_id is null")
+    repeated = cut(repeated.select(F.col("doc_id").alias("__pt_id")), "repeated")
     gone = cut(linked.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__pt_gone")).distinct(), "gone")
-    kept = docs.join(gone, F.col("doc_id") == F.col("__pt_gone"), "left_anti")
-    repeated = linked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    once = docs.join(gone, F.col("doc_id") == F.col("__pt_gone"), "left_anti")
     if repeated.isEmpty():
-        return kept
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id", "text"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+        return once
+    same = F.col("doc_id").eqNullSafe(F.col("__pt_id"))
+    placed = linked.join(repeated, same, "left_semi").select(F.col("doc_id").alias("__pt_id"), F.col("code").alias("__pt_of"), F.col("root").alias("__pt_root"), F.col("component_id").alias("__pt_component")).distinct()
+    odd = docs.join(repeated, same, "left_semi").withColumn("__pt_code", code_of("text")).join(placed, same & (F.col("__pt_code") == F.col("__pt_of")))
+    named = odd.where(F.col("doc_id") == F.col("__pt_component")).select(docs.columns).dropDuplicates(["doc_id", "text"])
+    unnamed = odd.where(F.col("doc_id").isNull()).groupBy("__pt_root").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
+    return once.join(repeated, same, "left_anti").unionByName(named).unionByName(unnamed)
