@@ -174,6 +174,11 @@ def st_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("item_id", F.lpad(F.conv(F.hex(text.simhash(F.col("text"))), 16, 2), 64, "0").alias("bits"))
 
 
+@query(f"WITH {SIMHASH_SQL.replace('item_id', 'doc_id').replace('FROM benchmark', 'FROM documents')} SELECT d.doc_id, coalesce(bits, repeat('0', 64)) AS bits FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id")
+def st_simhash_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", F.lpad(F.conv(F.hex(text.simhash(F.col("text"))), 16, 2), 64, "0").alias("bits"))
+
+
 @query("SELECT event_id, CAST(bit_count(xor(event_id, user_id)) AS INTEGER) AS distance FROM events")
 def st_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", text.hamming(F.col("event_id"), F.col("user_id")).alias("distance"))
