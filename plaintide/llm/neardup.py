@@ -19,12 +19,10 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plaintide.llm import cells
 from plaintide.llm.work import cut
@@ -65,9 +63,9 @@ def with_codes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, code long")
 
 
-@F.pandas_udf(T.LongType())
-def code_of(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.fromiter((fingerprint(x or "") for x in texts), np.uint64, len(texts)).view(np.int64))
+def code_of(text: Column) -> Column:
+    """The signed fingerprint of each text, for the few rows that are placed one by one."""
+    return F.udf(lambda x: (c := fingerprint(x or "")) - (c >> 63 << 64), "long")(text.cast("string"))
 
 
 def embed(code: np.ndarray) -> np.ndarray:
@@ -160,7 +158,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, blocks: int | None = None) -
         return once
     same = F.col("doc_id").eqNullSafe(F.col("__pt_id"))
     placed = linked.join(repeated, same, "left_semi").select(F.col("doc_id").alias("__pt_id"), F.col("code").alias("__pt_of"), F.col("root").alias("__pt_root"), F.col("component_id").alias("__pt_component")).distinct()
-    odd = docs.join(repeated, same, "left_semi").withColumn("__pt_code", code_of("text")).join(placed, same & (F.col("__pt_code") == F.col("__pt_of")))
+    odd = docs.join(repeated, same, "left_semi").withColumn("__pt_code", code_of(F.col("text"))).join(placed, same & (F.col("__pt_code") == F.col("__pt_of")))
     named = odd.where(F.col("doc_id") == F.col("__pt_component")).select(docs.columns).dropDuplicates(["doc_id", "text"])
     unnamed = odd.where(F.col("doc_id").isNull()).groupBy("__pt_root").agg(F.min_by(F.struct(*docs.columns), F.struct("text")).alias("row")).select("row.*")
     return once.join(repeated, same, "left_anti").unionByName(named).unionByName(unnamed)
