@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import SCORING
 from plaintide.functions import scoring
+from plaintide.storage import cut
 
 
 def rescored(items: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -19,43 +24,65 @@ def rescored(items: DataFrame, weights: dict[str, float]) -> DataFrame:
     return items.select("demand_id", scoring.final_score(raw).alias("score"))
 
 
-def inversions(pairs: DataFrame, buckets: int = 64) -> DataFrame:
+def count_inversions(order: np.ndarray) -> int:
+    """Pairs that stand in falling order, of distinct numbers: bit by bit from the highest, as a radix sort parts them."""
+    n = len(order)
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(order, kind="stable")] = np.arange(n)
+    total = 0
+    for bit in range(max(n - 1, 0).bit_length() - 1, -1, -1):
+        # numbers equal in their higher bits stand together, in the order they came in
+        group = rank >> (bit + 1)
+        start = np.searchsorted(group, group)
+        one = rank >> bit & 1
+        ones = np.concatenate(([0], np.cumsum(one)))
+        larger = ones[:-1] - ones[start]
+        total += int(larger[one == 0].sum())
+        zeros_of_group = np.bincount(group, one == 0)[group].astype(np.int64)
+        at = np.arange(n)
+        to = np.where(one == 0, at - larger, start + zeros_of_group + larger)
+        moved = np.empty(n, np.int64)
+        moved[to] = rank
+        rank = moved
+    return total
+
+
+def _block_inversions(own: str, other: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("r1")
+        v = count_inversions(rows["r2"].to_numpy())
+        if own == "b1":  # pairs that share both blocks are counted with either block
+            v -= count_inversions(rows.sort_values([other, "r1"])["r2"].to_numpy())
+        return pd.DataFrame({"v": [v]})
+
+    return run
+
+
+def inversions(pairs: DataFrame, most_blocks: int = 1024) -> DataFrame:
     """Discordant pairs of two rankings: rows (id, r1, r2), ranks from 1 and without ties, to (n, discordant).
 
-    Counted per digit of the second rank, like a counting merge sort: at each level rows that share the higher digits are ordered by
-    the first rank, and running counts of larger digits give the inversions decided at that level. Work is
-    n log n, and no pair is made.
+    Both rankings are cut into ``k`` blocks of equal length, the square root of n but ``most_blocks`` at most. Pairs that differ in both
+    blocks are counted on the grid of k * k sizes; pairs that share a block, by bitwise partition inside that block,
+    where n / k rows meet. Work is n log n, and no pair is made.
     """
-    pairs = pairs.persist()  # two ranks a row, read at every level
+    pairs = cut(pairs.select(F.col("r1").cast("long").alias("r1"), F.col("r2").cast("long").alias("r2")), "ranks")
     n = pairs.count()
-    levels, width = [], 1
-    while width < max(n, 2):
-        levels.append(width)
-        width *= buckets
-    total = None
-    for unit in levels:
-        group = F.floor((F.col("r2") - 1) / (unit * buckets))
-        digit = (F.floor((F.col("r2") - 1) / unit) % buckets).cast("int")
-        rows = pairs.select(group.alias("g"), digit.alias("d"), "r1")
-        # cells of a coarse grid over r1 keep windows small: earlier cells count in bulk, the own cell row by row
-        span = max(1, -(-n // 1024))
-        rows = rows.withColumn("cell", F.floor((F.col("r1") - 1) / span))
-        counts = rows.groupBy("g", "cell", "d").agg(F.count(F.lit(1)).alias("k"))
-        earlier = F.sum("k").over(W.partitionBy("g", "d").orderBy("cell").rowsBetween(W.unboundedPreceding, -1))
-        prefix = counts.withColumn("before", F.coalesce(earlier, F.lit(0)))
-        # rows of earlier cells with a larger digit
-        dense = counts.select("g", "d").distinct()
-        cells = counts.groupBy("g", "cell", "d").agg(F.first("k").alias("own"))
-        full = cells.alias("c").join(dense.alias("o"), (F.col("c.g") == F.col("o.g")) & (F.col("o.d") > F.col("c.d"))).select("c.g", "c.cell", "c.own", F.col("o.d").alias("larger"))
-        asof = prefix.select(F.col("g").alias("pg"), F.col("d").alias("pd"), F.col("cell").alias("pc"), (F.col("before") + F.col("k")).alias("upto"))
-        marks = full.select("g", F.col("larger").alias("d"), "cell", "own").withColumn("upto", F.lit(None).cast("long")).unionByName(asof.select(F.col("pg").alias("g"), F.col("pd").alias("d"), F.col("pc").alias("cell"), F.lit(None).cast("long").alias("own"), "upto"))
-        last = F.last("upto", ignorenulls=True).over(W.partitionBy("g", "d").orderBy("cell", F.col("own").isNull().cast("int")).rowsBetween(W.unboundedPreceding, 0))
-        bulk = marks.withColumn("seen", last).where(F.col("own").isNotNull()).agg(F.sum(F.col("own") * F.coalesce("seen", F.lit(0))).alias("v"))
-        inside = rows.withColumn("so_far", F.collect_list("d").over(W.partitionBy("g", "cell").orderBy("r1").rowsBetween(W.unboundedPreceding, -1)))
-        near = inside.agg(F.sum(F.size(F.filter("so_far", lambda x: x > F.col("d")))).alias("v"))
-        part = bulk.union(near).agg(F.sum("v").alias("v"))
-        total = part if total is None else total.union(part)
-    return total.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("discordant"))
+    blocks = max(1, min(most_blocks, math.isqrt(n)))
+    span = max(1, -(-n // blocks))
+    placed = pairs.withColumns({f"b{i}": F.floor((F.col(f"r{i}") - 1) / span).cast("int") for i in (1, 2)})
+    inside = [placed.groupBy(own).applyInPandas(_block_inversions(own, other), "v long") for own, other in (("b1", "b2"), ("b2", "b1"))]
+    sizes = placed.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("k"))
+
+    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        grid = np.zeros((blocks, blocks), np.int64)
+        for part in parts:
+            grid[part["b1"], part["b2"]] = part["k"]
+        later = np.cumsum(grid, 0) - grid  # earlier blocks of the first ranking
+        larger = np.cumsum(later[:, ::-1], 1)[:, ::-1] - later  # of those, later blocks of the second
+        yield pd.DataFrame({"v": [int((grid * larger).sum())]})
+
+    found = sizes.coalesce(1).mapInPandas(across, "v long").union(inside[0]).union(inside[1])
+    return found.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("discordant"))
 
 
 def decision(tau: Column, churn: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plaintide.config import HORIZON, SCORING, TIER_RANK
 from plaintide.functions import scoring, text
+from plaintide.storage import cut, shuffle_partitions
 
 
 def tier_rank(tier: Column) -> Column:
@@ -21,11 +22,13 @@ def tier_rank(tier: Column) -> Column:
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``name`` from 1 in ``order``: range partitions, ranks inside them, and offsets from their sizes.
 
-    The sizes, one row per partition, are the only thing that is gathered and broadcast.
+    Range bounds are sampled, so two evaluations of one plan need not agree on them. The rows are therefore written once with their
+    range and their place in it, and both the sizes and the result come from that table. The sizes, one row per
+    range, are the only thing that is gathered and broadcast.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id())
-    local = parts.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy(*order)))
+    rows = cut(df, "unranked")  # the sampling reads a table, not the plan behind it
+    ranged = rows.repartitionByRange(shuffle_partitions(df.sparkSession), *order).withColumn("_part", F.spark_partition_id())
+    local = cut(ranged.withColumn("_local", F.row_number().over(W.partitionBy("_part").orderBy(*order))), "ranked")
     sizes = local.groupBy("_part").agg(F.max("_local").alias("_size"))
     before = F.sum("_size").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select(F.col("_part").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))

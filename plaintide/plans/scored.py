@@ -12,6 +12,7 @@ from plaintide.functions import scoring, text
 from plaintide.operators import demand, drift, pool, ranking
 from plaintide.plans.adapters import CUTOFF, MENTIONS, PROPOSALS, mentions, proposals
 from plaintide.plans.registry import query
+from plaintide.storage import cut
 
 BASE = f"WITH m AS ({MENTIONS}), p AS ({PROPOSALS}), {demand.SCORED}"
 
@@ -206,7 +207,11 @@ TAU = "(SELECT CAST(count(*) AS BIGINT) FROM k a JOIN k b ON a.r1 < b.r1 AND a.r
 
 @query(over(f", {REWEIGHT} SELECT (SELECT count(*) FROM k) AS n, {TAU} AS discordant, round(CAST({TAU} AS DOUBLE) / ((SELECT count(*) FROM k) * ((SELECT count(*) FROM k) - 1) / 2e0), 6) AS tau").replace("s3) ,", "s3),"))
 def agg_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = _ranked(spark, sf_dir).select("r1", "r2")
+    return _tau(_ranked(spark, sf_dir))
+
+
+def _tau(ranked: DataFrame) -> DataFrame:
+    ranks = ranked.select("r1", "r2")
     n = F.col("n")
     tau = F.when(n < 2, 0.0).otherwise(F.round(F.col("discordant").cast("double") / (n * (n - 1) / F.lit(2.0)), 6))
     return drift.inversions(ranks).withColumn("tau", tau)
@@ -215,8 +220,7 @@ def agg_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRIFT = "SELECT max(abs(r1 - r2)) AS max_shift, round(count(*) FILTER (WHERE (s1 >= 70e0) <> (s2 >= 70e0)) / CAST(greatest(1, count(*) FILTER (WHERE s1 >= 70e0 OR s2 >= 70e0)) AS DOUBLE), 6) AS push_churn, round(count(*) FILTER (WHERE r1 <= top AND r2 > top) / CAST(max(top) AS DOUBLE), 6) AS top_churn FROM (SELECT *, greatest(1, (SELECT count(*) FROM k) // 2) AS top FROM k)"
 
 
-def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _ranked(spark, sf_dir)
+def _drift(k: DataFrame) -> DataFrame:
     n = k.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / 2)).alias("top"))
     a, b = F.col("s1") >= 70, F.col("s2") >= 70
     return k.join(F.broadcast(n)).agg(
@@ -228,12 +232,13 @@ def _drift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over(f", {REWEIGHT} {DRIFT}").replace("s3) ,", "s3),"))
 def agg_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _drift(spark, sf_dir)
+    return _drift(cut(_ranked(spark, sf_dir), "reweighted"))
 
 
 @query(over(f", {REWEIGHT}, d AS ({DRIFT}), t AS (SELECT round(CAST({TAU} AS DOUBLE) / ((SELECT count(*) FROM k) * ((SELECT count(*) FROM k) - 1) / 2e0), 6) AS tau) SELECT tau, push_churn, CASE WHEN tau >= 0.6e0 OR push_churn >= 0.5e0 THEN 'block' WHEN tau > 0.25e0 OR push_churn > 0.2e0 THEN 'needs_review' ELSE 'auto_pass' END AS decision FROM d, t").replace("s3) ,", "s3),"))
 def agg_regress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = agg_tau(spark, sf_dir).select("tau").join(F.broadcast(_drift(spark, sf_dir).select("push_churn")))
+    k = cut(_ranked(spark, sf_dir), "reweighted")
+    both = _tau(k).select("tau").join(F.broadcast(_drift(k).select("push_churn")))
     return both.withColumn("decision", drift.decision(F.col("tau"), F.col("push_churn")))
 
 

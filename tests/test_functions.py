@@ -183,6 +183,17 @@ def test_global_rank_is_total(spark):
     assert [(r["v"], r["id"]) for r in got] == sorted(((r["v"], r["id"]) for r in got), key=lambda x: (-x[0], x[1]))
 
 
+def test_chained_ranks_are_permutations(spark):
+    """More rows than the range sampler holds, ranked twice: each rank is a permutation in its own order."""
+    n = 30000
+    df = spark.range(n).select("id", (F.xxhash64("id") % 5000).alias("v"), (F.xxhash64(F.lit(1), "id") % 5000).alias("w"))
+    one = ranking.global_rank(df, [F.desc("v"), F.col("id")], "r1")
+    got = ranking.global_rank(one, [F.desc("w"), F.col("id")], "r2").collect()
+    for rank, value in (("r1", "v"), ("r2", "w")):
+        assert [(r["id"]) for r in sorted(got, key=lambda r: r[rank])] == [r["id"] for r in sorted(got, key=lambda r: (-r[value], r["id"]))]
+        assert sorted(r[rank] for r in got) == list(range(1, n + 1))
+
+
 def test_digest_of_an_empty_day(spark):
     cards = spark.createDataFrame([(1, "t", "cut", "reverse", 10.0, "k")], "demand_id long, title string, tier string, kano string, final_score double, canonical_key string")
     md = ranking.digest(cards, "2026-06-25").first()["markdown"]
