@@ -17,28 +17,39 @@ doc_id comes first. An empty table gives no shard and no row.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.llm.work import cut, new_path, shuffle_partitions
 
 MAGIC = b"PTID"
 END_ID = 0
-#: Pieces held in a worker's cache before it is emptied; ids of one shard file.
-CACHE, SHARD_IDS = 1 << 19, 1 << 22
+#: Entries of a worker's cache, half of them at most from before its last turn; ids of one shard file.
+CACHE, SHARD_IDS = 1 << 20, 1 << 22
+#: Characters of the texts whose words are looked up together.
+SLICE_CHARS = 1 << 23
 _SPLIT, _SPACES = re.compile(r" (?=\S)"), re.compile(r" (?!\S)")
 #: How a byte-level tokenizer parts a text.
 _PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: The same for texts of ASCII, line ends and the letters from U+00C0 to U+024F alone.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_COMMON = re.compile(rf"[\n -~{_LETTERS}]*").fullmatch
+_MARKS = frozenset(".,;:!?\n")
+_COMMON_PART = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+").findall
 
 #: For a control byte: where each of its four ranks begins in their bytes, their lengths, and the sum.
 _LENGTH = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -48,11 +59,11 @@ _MASK = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 class Encoder:
-    """The tokenizers library behind a bounded cache of space-led pieces.
+    """The tokenizers library behind a bounded cache of space-led words.
 
     A byte-level tokenizer never joins a single space that leads a non-space character to what stands before it, so
-    a text's ids are those of its pieces in turn. New pieces of common scripts go straight to the library's
-    model, other pieces to its whole pipeline, and texts with a special token, or for other kinds of tokenizer, go to
+    a text's ids are those of its words in turn. New words of common scripts go straight to the library's
+    model, others to its whole pipeline, and texts with a special token, or for other kinds of tokenizer, go to
     the library whole.
     """
 
@@ -68,7 +79,7 @@ class Encoder:
         before = told.get("pre_tokenizer") or {}
         self.by_piece = told.get("normalizer") is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and not before.get("add_prefix_space")
         self.special = [x["content"] for x in told.get("added_tokens", [])]
-        self.cache, self.parts = _Pieces(self._piece), _Pieces(self._part)
+        self.words, self.parts = _Pieces(self._word), _Pieces(self._part)
         self.model = self.library.model.tokenize
         split = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         byte_char = {b: split(chr(b))[0][0] for b in range(128)}  # how the library writes each byte
@@ -77,47 +88,112 @@ class Encoder:
         self.bytes_as_chars = byte_char
         self.space = byte_char[32]
 
+    def _ids(self, written: str) -> bytes:
+        return array("I", [x.id for x in self.model(written)]).tobytes()
+
     def _whole(self, text: str) -> bytes:
-        return struct.pack(f"<{len(ids := self.library.encode(text, add_special_tokens=False).ids)}I", *ids)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, part: str) -> bytes:
-        ids = [x.id for x in self.model(part.encode().decode("latin-1").translate(self.bytes_as_chars))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _parts(self, text: str) -> bytes:
-        if text.isascii() or max(text) < "\u0530":
-            if (text if text.isprintable() else text.replace("\n", "")).isprintable():
-                return b"".join(map(self.parts.__getitem__, _PART.findall(text)))
+        return self._ids(part.encode().decode("latin-1").translate(self.bytes_as_chars))
+
+    def _parted(self, text: str) -> bytes:
+        if _COMMON(text):
+            first, *rest = _COMMON_PART(text) or ("",)
+            # a space-led word is the entry it has when it stands alone
+            led = self.words[first[1:]] if first[:1] == " " and first[1:].isalpha() else self.parts[first] if first else b""
+            return led + b"".join(map(self.parts.__getitem__, rest)) if rest else led
+        if max(text) < "\u0530" and text.replace("\n", "").isprintable():
+            return b"".join(map(self.parts.__getitem__, _PART.findall(text)))
         return self._whole(text)
 
-    def _piece(self, piece: str) -> bytes:
+    def _word(self, word: str) -> bytes:
         """Ids of a piece and the space that led it."""
-        if piece.isascii() and piece.isalpha():
-            ids = [x.id for x in self.model(self.space + piece)]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self._parts(" " + piece)
+        if word.isalpha():
+            if word.isascii():
+                return array("I", [x.id for x in self.model(self.space + word)]).tobytes()
+            if _COMMON(word):
+                return self._part(" " + word)
+        elif (plain := word[:-1]).isalpha() and word[-1] in _MARKS and _COMMON(plain):
+            return self.words[plain] + self.parts[word[-1]]
+        return self._parted(" " + word)
+
+    def _simple(self, text: str) -> bool:
+        """Every space of the text leads a word."""
+        return self.by_piece and not _SPACES.search(text) and not any(x in text for x in self.special)
 
     def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
+        """Ids as native unsigned 32-bit integers."""
         if not self.by_piece or any(x in text for x in self.special):
             return self._whole(text)
-        first, *pieces = _SPLIT.split(text) if _SPACES.search(text) else text.split(" ")
-        for cache in (self.cache, self.parts):
-            if len(cache) + len(pieces) > CACHE:
-                cache.clear()
-        return self._parts(first) + b"".join(map(self.cache.__getitem__, pieces))
+        first, *pieces = _SPLIT.split(text)
+        return self._parted(first) + b"".join(map(self.words.__getitem__, pieces))
+
+    def encode_all(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts in turn, ``end`` behind each, and how many each has.
+
+        Words are looked up once for all of them, and their ids laid out by position; callers give texts of bounded size together.
+        """
+        if not texts:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        simple = [self._simple(x) for x in texts]
+        # what is not simple is one word of its own
+        known: dict[str, int] = {}
+        parted = pc.split_pattern(pa.array([x if ok else "" for x, ok in zip(texts, simple, strict=True)], pa.large_string()), " ")
+        offset = parted.offsets.to_numpy().astype(np.int64)
+        coded = parted.flatten().dictionary_encode()
+        made = list(map(self.words.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        at = coded.indices.to_numpy().astype(np.int64)
+        firsts = np.empty(len(texts), np.int64)
+        for i, (text, ok) in enumerate(zip(texts, simple, strict=True)):
+            head = text.partition(" ")[0] if ok else text
+            place = known.get(head) if ok else None
+            if place is None:
+                place = len(made)
+                made.append(self._parted(head) if ok else self.encode(text))
+                if ok:
+                    known[head] = place
+            firsts[i] = place
+        at[offset[:-1]] = firsts
+        at = np.insert(at, offset[1:], len(made))
+        made.append(array("I", [end]).tobytes())
+        self.words.turn()
+        self.parts.turn()
+        length = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        pool = np.frombuffer(b"".join(made), np.uint32)
+        n = length[at]
+        through = np.cumsum(n)
+        shift = (np.cumsum(length) - length)[at] - (through - n)
+        last = offset[1:] + np.arange(len(texts))
+        return pool[np.repeat(shift, n) + np.arange(through[-1])], np.diff(through[last], prepend=0)
 
 
 class _Pieces(dict):
-    """Ids by piece, made when first asked for."""
+    """Ids by piece, made when first asked for. At half its size the entries become the older ones, which are asked before a new
+    one is made; so what is common stays."""
 
     def __init__(self, make: Callable[[str], bytes]) -> None:
         self.make = make
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        got = self[piece] = self.make(piece)
+        got = self.older.get(piece)
+        if got is None:
+            got = self.make(piece)
+        self[piece] = got
         return got
 
+    def turn(self) -> None:
+        if len(self) > CACHE // 2:
+            self.older = dict(self)
+            self.clear()
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process: its file is read once and its caches last."""
+    return Encoder(path)
+
 
 def pack(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
     """Ids by falling frequency, control bytes, data bytes."""
@@ -204,24 +280,23 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
 
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
-        encoder = Encoder(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
+        codes = encoder(tokenizer)
         held_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
+        held_counts: list[np.ndarray] = []
         state = {"n": 0, "size": 0}
 
         def flush(number: int) -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u4")
-            counts = np.array([len(x) // 4 for x in held], np.int64)
+            ids, counts = np.concatenate(held), np.concatenate(held_counts)
             name = f"{number:06d}-{state['n']:06d}"
             path = f"{base}/{name}.ptid"
             temporary = f"{path}.{uuid.uuid4().hex}"
             with store.open_output_stream(temporary) as out:
                 out.write(shard_bytes(held_ids, counts, ids))
             store.move(temporary, path)
-            row = pa.RecordBatch.from_pydict({"shard": [name], "path": [path], "n_docs": [len(held)], "n_tokens": [int(counts.sum())]})
-            held_ids.clear()
-            held.clear()
+            row = pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "shard": [name], "path": [path], "n_docs": [len(held_ids)], "n_tokens": [len(ids)]})
+            for x in (held_ids, held, held_counts):
+                x.clear()
             state.update(n=state["n"] + 1, size=0)
             return row
 
@@ -229,38 +304,51 @@ def write(docs: DataFrame, tokenizer: str, folder: str) -> DataFrame:
         for part in parts:
             if part.num_rows:
                 number = part.column(0)[0].as_py()
-            ids, texts = part.column(1).to_pylist(), part.column(2).to_pylist()
-            for doc_id, text in zip(ids, texts, strict=True):
-                coded = encoder.encode(text or "") + end
-                held_ids.append(doc_id)
-                held.append(coded)
-                state["size"] += len(coded) // 4
+            texts = [x or "" for x in part.column(2).to_pylist()]
+            for at, some in _slices(texts):
+                ids, counts = codes.encode_all(some, END_ID)
+                held.append(ids)
+                held_counts.append(counts)
+                held_ids += part.column(1).slice(at, len(some)).to_pylist()
+                state["size"] += len(ids)
                 if state["size"] >= SHARD_IDS:
                     yield flush(number)
         if held:
             yield flush(number)
 
-    return cut(placed.mapInArrow(run, "shard string, path string, n_docs long, n_tokens long"), "shards")
+    return cut(placed.mapInArrow(run, "part int, shard string, path string, n_docs long, n_tokens long"), "shards")
+
+
+def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+    """Texts of bounded size together, a longer one alone, with the index of the first."""
+    at, size = 0, 0
+    for i, text in enumerate(texts):
+        if i > at and size + len(text) > SLICE_CHARS:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(text)
+    if texts:
+        yield at, texts[at:]
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
-    """Read shards back: doc_id, start, n_tokens, ids_crc32, one row per document."""
+    """Read shards back: doc_id, start, n_tokens, ids_crc32, one row per document.
+
+    The ids before a shard are those of the parts before its own, one row a part, and a running sum inside its part.
+    """
     spark = manifest.sparkSession
-    # one row per shard reaches the driver: its name and number of ids
-    base, starts = 0, []
-    for r in sorted(manifest.select("shard", "path", "n_tokens").collect()):
-        starts.append((r["shard"], r["path"], base))
-        base += r["n_tokens"]
-    if not starts:
-        return spark.createDataFrame([], READ)
-    listed = spark.createDataFrame(starts, "shard string, path string, base long").repartition(max(1, min(len(starts), 4 * shuffle_partitions(spark))))
+    sizes = manifest.groupBy("part").agg(F.sum("n_tokens").alias("n"))
+    before = sizes.select(F.col("part").alias("of"), (F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    inside = F.sum("n_tokens").over(W.partitionBy("part").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_tokens")
+    placed = manifest.withColumn("inside", inside).join(before, F.col("part") == F.col("of")).select("path", (F.col("before") + F.col("inside")).alias("base"))
+    listed = placed.repartition(max(1, min(manifest.count(), 4 * shuffle_partitions(spark))))
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, _ = fs.FileSystem.from_uri(folder)
         for part in parts:
-            for path, base in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+            for path, base in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                 with store.open_input_stream(path) as file:
                     doc_ids, counts, ids = read_shard(file.read())
                 stop = np.cumsum(counts)

@@ -180,6 +180,20 @@ def test_encoder_equals_library():
     for _ in range(4000):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
         assert np.frombuffer(mine.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(2000)] + ["word " * 9, "", " a", "b "]
+    for some in (texts, texts[:1], []):
+        ids, counts = mine.encode_all(some, 0)
+        want = [[*lib.encode(t, add_special_tokens=False).ids, 0] for t in some]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
+
+
+def test_pieces_stay_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 100)
+    pieces = tokens._Pieces(lambda x: x.encode())
+    for i in range(1000):
+        assert pieces[str(i % 7)] == str(i % 7).encode() and pieces[str(i)] == str(i).encode()
+        pieces.turn()
+        assert len(pieces) + len(pieces.older) <= 104
 
 
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 999])
