@@ -27,7 +27,7 @@ CUES = {
     "secret": ("password", "passwd", "pwd", "token", "secret", "api_key", "api-key", "apikey", "akia"),
     "account": ("iban", "account", "acct", "konto", "cuenta", "compte"),
 }
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 _LOCAL = frozenset(string.ascii_letters + string.digits + "._%+-")
 _LABEL = frozenset(string.ascii_letters + string.digits + "-")
@@ -72,7 +72,8 @@ def _numbers(text: str) -> Iterator[Span]:
         part = run.group()
         if part.count(".") >= 3:
             for m in _IP.finditer(part):
-                if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split(".")):
+                # parts may be of any length: leading zeros go before a part becomes a number
+                if all(len(x := y.lstrip("0")) <= 3 and int(x or "0") <= 255 for y in m.group().split(".")):
                     yield "ip", a + m.start(), a + m.end()
         if b - a >= 13:
             for m in _CARD.finditer(part):
@@ -153,14 +154,14 @@ def written(found: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """Counts, base digest and all spans of every text."""
+    """Counts by base kind, base digest, all spans and their number, the method's kinds included, of every text."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         anchors = automaton()
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         for part in parts:
             counts: list[list[int]] = [[] for _ in BASE]
-            digests, all_spans = [], []
+            digests, all_spans, sizes = [], [], []
             for text in part.column(1).to_pylist():
                 found = spans(text or "", anchors)
                 base = [x for x in found if x[0] in BASE]
@@ -168,7 +169,10 @@ def find(docs: DataFrame) -> DataFrame:
                     into.append(sum(x[0] == kind for x in base))
                 digests.append(hashlib.sha256(written(base).encode()).hexdigest())
                 all_spans.append(written(found))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(all_spans, pa.string())], names)
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), *(pa.array(x, pa.int64()) for x in counts), pa.array(digests, pa.string()), pa.array(all_spans, pa.string()), pa.array(sizes, pa.int64())], names
+            )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
