@@ -1,14 +1,12 @@
 """Line dedup by site-relative frequency, with DataFrame operations only.
 
-A line is boilerplate on its host if more than ``ratio`` of the host's pages hold it. Lines are compared without
-spaces at their ends, by a 64-bit hash; blank lines are never boilerplate. Hosts with fewer than ``min_pages`` pages keep
-every line. At most (lines per page / ratio) lines of a host can be boilerplate, so what is joined back is small.
+A line is boilerplate on its host if at least ``least`` pages of the host hold it and they are more than ``ratio`` of the host's pages.
+Pages of a host with equal texts count as one page, here and in the total, so that the lines of a text that was copied are no
+boilerplate for that. The rule is the same for hosts of every size. Lines are compared without spaces at their ends, by a
+64-bit hash; blank lines are never boilerplate. At most (lines per page / ratio) lines of a host can be boilerplate, so
+what is joined back is small beside the texts.
 
-That rule leaves small hosts alone and sees only lines on a tenth of a host. :func:`common_lines` judges a line alike on
-hosts of every size: it must stand in ``least`` different texts of the host and in more than ``share`` of its different texts. Copies of a text
-count once, so that the lines of a text that was copied are no boilerplate for that.
-
-A null text stays null with 0 lines; a null host is a host of its own; repeated rows are pages of their own.
+A null text stays null with 0 lines and is no page; a null host is a host of its own; repeated rows are copies.
 """
 
 from __future__ import annotations
@@ -16,11 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plaintide.llm.work import cut
+from plaintide.llm.work import cut, join_groups
 
-RATIO, MIN_PAGES = 0.10, 20
-#: On sf0.1 the lines on over 220 pages stand on every host, on 1.0 % of its pages at least; half of that is taken.
-SHARE, LEAST = 0.005, 3
+#: On sf0.1 (20 hosts of 500 pages) nine lines stand on every host, on 1.0 % to 13.2 % of its pages; half the lowest share is taken.
+RATIO, LEAST = 0.005, 3
 
 
 def _lines(text: str) -> Column:
@@ -33,46 +30,36 @@ def _mark(line: Column) -> Column:
     return F.when(bare != "", F.xxhash64(bare))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """host and the array ``marks`` of its boilerplate lines' hashes; hosts without any give no row.
 
     Pages are counted per (host, line) with map-side sums: a hot host or line reaches a reducer as one row per task.
     """
-    marks = F.array_distinct(F.array_compact(F.transform(_lines("text"), _mark)))
-    seen = docs.select(F.col(host).alias("host"), F.explode(marks).alias("mark"))
-    counts = seen.groupBy("host", "mark").agg(F.count(F.lit(1)).alias("pages"))
-    totals = docs.groupBy(F.col(host).alias("site")).agg(F.count(F.lit(1)).alias("site_pages")).where(F.col("site_pages") >= min_pages)
-    # a boilerplate line is on more than ratio * min_pages pages of any host, so the rest need not be joined
-    often = counts.where(F.col("pages") > ratio * min_pages)
-    found = often.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("pages") > ratio * F.col("site_pages"))
-    return found.groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
+    return _found(_pages(docs, host), ratio, least)
 
 
-def common_lines(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """As :func:`boilerplate`, by the number and share of a host's different texts that hold a line."""
+def _pages(docs: DataFrame, host: str) -> DataFrame:
+    """A row for each different text of a host: host and its lines' hashes."""
     marks = F.array_distinct(F.array_compact(F.transform(_lines("text"), _mark)))
-    texts = docs.where(F.col("text").isNotNull()).groupBy(F.col(host).alias("host"), F.xxhash64("text").alias("same")).agg(F.first(marks).alias("marks"))
-    texts = cut(texts, "texts")
-    counts = texts.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("held"))
-    totals = texts.groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("site_texts"))
+    pages = docs.where(F.col("text").isNotNull()).groupBy(F.col(host).cast("string").alias("host"), F.xxhash64("text").alias("same")).agg(F.first(marks).alias("marks"))
+    return cut(pages, "pages")
+
+
+def _found(pages: DataFrame, ratio: float, least: int) -> DataFrame:
+    counts = pages.select("host", F.explode("marks").alias("mark")).groupBy("host", "mark").agg(F.count(F.lit(1)).alias("held"))
+    totals = pages.groupBy(F.col("host").alias("site")).agg(F.count(F.lit(1)).alias("site_pages"))
     often = counts.where(F.col("held") >= least)
-    found = often.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("held") > share * F.col("site_texts"))
+    found = often.join(totals, F.col("host").eqNullSafe(F.col("site"))).where(F.col("held") > ratio * F.col("site_pages"))
     return found.groupBy("host").agg(F.sort_array(F.collect_set("mark")).alias("marks"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """``docs`` with boilerplate lines taken out of ``text``, plus ``__pt_lines`` and ``__pt_dropped`` counts."""
-    return _without(docs, boilerplate(docs, host, ratio, min_pages), host)
-
-
-def drop_common(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """:func:`drop_boilerplate` for :func:`common_lines`."""
-    return _without(docs, common_lines(docs, host, share, least), host)
-
-
-def _without(docs: DataFrame, found: DataFrame, host: str) -> DataFrame:
-    table = cut(found, "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
-    joined = docs.join(table, F.col(host).eqNullSafe(F.col("__pt_host")), "left")
+    pages = _pages(docs, host)
+    table = cut(_found(pages, ratio, least), "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
+    values = table.agg(F.coalesce(F.sum(F.size("__pt_marks") + 1), F.lit(0)).alias("n")).first()["n"]
+    sizes = docs.groupBy(F.col(host).cast("string").alias("__pt_host")).agg(F.count(F.lit(1)).alias("rows"))
+    joined = join_groups(docs, host, table, "__pt_host", values, sizes)
     kept = F.filter(_lines("text"), lambda x: F.coalesce(~F.array_contains(F.col("__pt_marks"), _mark(x)), F.lit(True)))
     text = F.when(F.col("__pt_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lines = F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long")
@@ -83,17 +70,9 @@ def _without(docs: DataFrame, found: DataFrame, host: str) -> DataFrame:
     return joined.select(*names, text.alias("text"), lines.alias("__pt_lines"), (lines - left).alias("__pt_dropped"))
 
 
-def clean_documents(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def clean_documents(docs: DataFrame, host: str = "source", ratio: float = RATIO, least: int = LEAST) -> DataFrame:
     """Columns as in ``docs``; ``n_chars`` follows the text."""
-    return _cleaned(docs, drop_boilerplate(docs, host, ratio, min_pages))
-
-
-def clean_common(docs: DataFrame, host: str = "source", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """:func:`clean_documents` for :func:`common_lines`."""
-    return _cleaned(docs, drop_common(docs, host, share, least))
-
-
-def _cleaned(docs: DataFrame, done: DataFrame) -> DataFrame:
+    done = drop_boilerplate(docs, host, ratio, least)
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("__pt_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

@@ -67,24 +67,18 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "source", "text", F.col("__pt_lines").alias("n_lines"), F.col("__pt_dropped").alias("n_dropped"))
 
 
-def op9_common_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op9 without a least host size; the pipeline's rule."""
-    done = lines.drop_common(_table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "source", "text", F.col("__pt_lines").alias("n_lines"), F.col("__pt_dropped").alias("n_dropped"))
-
-
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = neardup.link_documents(_table(spark, sf_dir, "documents"))
     return linked.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op1_neighbours, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op9_common_lines, op10_near_duplicates]
+    found = [op1_fingerprints, op1_neighbours, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op10_near_duplicates]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7, "op9_line_dedup": OP9, "op9_common_lines": OP9_COMMON}
+    return {"op7_warc": OP7, "op9_line_dedup": OP9}
 
 
 OP7 = """
@@ -102,26 +96,12 @@ FROM d JOIN f USING (hex) JOIN b32 USING (hex)
 """
 
 OP9 = f"""
-WITH l AS (SELECT d.doc_id, d.source, u.i, string_split(d.text, chr(10))[u.i] AS line
-  FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS i) u WHERE d.text IS NOT NULL),
-t AS (SELECT source, count(*) AS site FROM documents GROUP BY source),
-c AS (SELECT source, trim(line, ' ') AS mark, count(DISTINCT doc_id) AS pages FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
-b AS (SELECT c.source, c.mark FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE t.site >= {lines.MIN_PAGES} AND c.pages > {lines.RATIO} * t.site),
-k AS (SELECT l.*, b.mark IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.mark),
-g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id)
-SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS text,
-  coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped
-FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
-"""
-
-OP9_COMMON = f"""
 WITH l AS (SELECT d.doc_id, d.source, d.text AS whole, u.i, string_split(d.text, chr(10))[u.i] AS line
   FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS i) u WHERE d.text IS NOT NULL),
 t AS (SELECT source, count(DISTINCT text) AS site FROM documents GROUP BY source),
 c AS (SELECT source, trim(line, ' ') AS mark, count(DISTINCT whole) AS held FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
 b AS (SELECT c.source, c.mark FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
-  WHERE c.held >= {lines.LEAST} AND c.held > {lines.SHARE}e0 * t.site),
+  WHERE c.held >= {lines.LEAST} AND c.held > {lines.RATIO}e0 * t.site),
 k AS (SELECT l.*, b.mark IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.mark),
 g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '') AS text FROM k GROUP BY doc_id)
 SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS text,

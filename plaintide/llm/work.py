@@ -1,56 +1,32 @@
-"""Scratch tables and files in the folder that the driver and every executor share.
-
-``spark.checkpoint.dir`` names that folder. It is read from the session; only a local-mode session
-(one process, as in tests) that has none gets a temporary folder of its own.
-"""
+"""Scratch tables of the training-data operators, and joins of texts with a row per group."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_LOCAL: dict[str, str] = {}
-
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared scratch folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local[") and master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="plaintide-")
-    return _LOCAL[app]
+from plaintide.storage import clear, cut, new_path, shared_dir, shuffle_partitions
 
+__all__ = ["clear", "cut", "join_groups", "new_path", "shared_dir", "shuffle_partitions"]
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/plaintide/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+#: Values (array elements or rows) of a table that goes to every task; beyond them it is shuffled.
+BROADCAST_VALUES = 1 << 20
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def join_groups(rows: DataFrame, key: str, groups: DataFrame, of: str, values: int, sizes: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``groups``, one row for each value of ``of``, null keys included.
 
-    The lineage ends here: what is lost with an executor is read again from the shared folder, and
-    the optimizer sees the table's true size when it picks a join.
+    ``values`` counts what ``groups`` holds: up to ``BROADCAST_VALUES`` it is broadcast. Beyond, both sides are shuffled, and the keys with
+    more rows than a fair share of a partition are salted. ``sizes`` (of, rows) tells them; fewer than the number of partitions
+    can have so many, so that list is always broadcast. The result is the same either way.
     """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete every scratch table and file of this application."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/plaintide/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    same = F.col(key).cast("string").eqNullSafe(F.col(of))
+    if values <= BROADCAST_VALUES:
+        return rows.join(F.broadcast(groups), same, "left")
+    n = shuffle_partitions(rows.sparkSession)
+    total = sizes.agg(F.sum("rows").alias("rows")).first()["rows"]
+    hot = sizes.where(F.col("rows") * n > total).select(F.col(of).alias("__pt_hot"), F.ceil(F.col("rows") * n / F.lit(float(total))).cast("int").alias("__pt_salts"))
+    hot = F.broadcast(cut(hot, "hot"))
+    salted = rows.join(hot, F.col(key).cast("string").eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_salt", F.pmod(F.xxhash64("text"), F.coalesce("__pt_salts", F.lit(1))).cast("int")).drop("__pt_hot", "__pt_salts")
+    spread = groups.join(hot, F.col(of).eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_copy", F.explode(F.sequence(F.lit(0), F.coalesce("__pt_salts", F.lit(1)) - 1))).drop("__pt_hot", "__pt_salts")
+    return salted.join(spread, same & (F.col("__pt_salt") == F.col("__pt_copy")), "left").drop("__pt_salt", "__pt_copy")

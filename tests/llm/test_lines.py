@@ -7,16 +7,16 @@ from tests.llm.test_operators import docs_of
 def test_small_hosts_and_copies(spark):
     rows = [(i, f"own {i}\nlegal notice", "small") for i in range(5)]
     rows += [(10 + i, "a copied text\nwith two lines", "copies") for i in range(6)] + [(20, "else", "copies"), (21, None, "copies")]
-    got = {r["doc_id"]: r for r in lines.drop_common(docs_of(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs_of(spark, rows)).collect()}
     assert len(got) == len(rows)
     assert got[3]["text"] == "own 3" and got[3]["__pt_dropped"] == 1
     assert got[12]["text"] == "a copied text\nwith two lines" and got[21]["text"] is None
-    clean = lines.clean_common(docs_of(spark, rows))
+    clean = lines.clean_documents(docs_of(spark, rows))
     assert clean.columns == docs_of(spark, rows).columns and clean.where("n_chars <> length(text)").count() == 0
 
 
 def test_share_of_large_hosts(spark):
     rows = [(100 + i, f"page {i}" + ("\nrare notice" if i < 8 else "") + ("\ntwice" if i < 2 else ""), None) for i in range(1000)]
     rows += [(2000 + i, f"page {i}" + ("\nrare notice" if i < 4 else ""), "wide") for i in range(1000)]
-    got = {r["doc_id"]: r for r in lines.drop_common(docs_of(spark, rows)).collect()}
+    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs_of(spark, rows)).collect()}
     assert got[100]["text"] == "page 0\ntwice" and got[2000]["text"] == "page 0\nrare notice"

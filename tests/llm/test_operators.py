@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plaintide.llm import bpe, cells, classifier, fingerprints, lines, mixing, neardup, pii, quality, queries, tokens, warc
+from plaintide.llm import bpe, cells, classifier, fingerprints, lines, mixing, neardup, pii, quality, queries, tokens, warc, work
 from plaintide.llm.textarrays import Words
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -234,6 +234,7 @@ def test_pii_method_adds():
     assert ("account", "DE89 3704 0044 0532 0130 00") in kinds("IBAN: DE89 3704 0044 0532 0130 00.")
     assert ("login", "bob:pw1") in kinds("http://bob:pw1@host/x")
     assert kinds("a token of thanks, my account is old") == set()
+    assert kinds("at " + "0" * 6000 + "1.2.3.4 and 1.2.3." + "9" * 6000) == {("ip", "0" * 6000 + "1.2.3.4")}
     assert pii.redact("mail a@b.co now", anchors) == "mail [EMAIL] now"
 
 
@@ -241,6 +242,7 @@ def test_pii_query(odd, odd_rows):
     got = {r["doc_id"]: r for r in pii.find(odd).collect()}
     assert set(got) == {i for i, _, _ in odd_rows}
     assert got[100]["base_sha256"] == hashlib.sha256(b"").hexdigest() and got[100]["spans"] == ""
+    assert all(r["n_spans"] == len([x for x in r["spans"].split(",") if x]) for r in got.values())
 
 
 # 5 classifier
@@ -404,11 +406,30 @@ def test_bpe_query(odd, odd_rows, word_library):
 # 9 lines
 
 
-def test_lines(spark):
+def plain_lines(rows, ratio, least):
+    """Boilerplate by host, page by page."""
+    pages = {(s, t) for _, t, s in rows if t is not None}
+    held, total = {}, {}
+    for s, t in pages:
+        total[s] = total.get(s, 0) + 1
+        for line in {x.strip(" ") for x in t.split("\n")} - {""}:
+            held[s, line] = held.get((s, line), 0) + 1
+    return {k for k, n in held.items() if n >= least and n > ratio * total[k[0]]}
+
+
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_lines(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)  # 0: the salted join
     rows = [(i, f"own {i}\nlegal notice  \n\nsome {i % 3}", "big") for i in range(40)] + [(100 + i, "own\nlegal notice", "small") for i in range(5)] + [(200, None, "big"), (201, "", "big"), (202, "legal notice", None)]
-    got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs_of(spark, rows), ratio=0.5).collect()}
-    assert got[3]["text"] == "own 3\n\nsome 0" and (got[3]["__pt_lines"], got[3]["__pt_dropped"]) == (4, 1)
-    assert got[100]["text"] == "own\nlegal notice" and got[200]["text"] is None and got[201]["text"] == "" and got[202]["text"] == "legal notice"
+    rows += [(300 + i, f"page {i}\nfoot" + "\nrare" * (i < 2), "tiny") for i in range(3)] + [(400 + i, f"x{i}\nshared by all", None) for i in range(9)] + [(400, "x0\nshared by all", None)]
+    for ratio in (0.5, 0.005):
+        gone = plain_lines(rows, ratio, 3)
+        want = sorted((str(i), str(None if t is None else "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in gone))) for i, t, s in rows)
+        got = lines.drop_boilerplate(docs_of(spark, rows).repartition(5), ratio=ratio).collect()
+        assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == want
+        by_id = {r["doc_id"]: r for r in got}
+        assert (by_id[3]["__pt_lines"], by_id[200]["__pt_lines"]) == (4, 0) and by_id[3]["__pt_dropped"] == (1 if ratio == 0.5 else 2)
+    assert by_id[100]["text"] == "own\nlegal notice" and by_id[301]["text"] == "page 1\nrare" and by_id[402]["text"] == "x2"
     clean = lines.clean_documents(docs_of(spark, rows), ratio=0.5)
     assert clean.columns == docs_of(spark, rows).columns and clean.where("n_chars <> length(text)").count() == 0
 
