@@ -41,6 +41,23 @@ def units(entries: DataFrame, keys: list[str], extra: tuple[str, ...] = (), chun
     return unit.repartition(shuffle_partitions(spark), *by).sortWithinPartitions(*by)
 
 
+def asked_units(entries: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
+    """:func:`units` for a search: ``asks`` is 1 for codes that are looked up, and only cells that hold one are kept.
+
+    A unit holds a chunk ``hi`` of a cell's codes (asks 0), then a chunk ``lo`` of its askers (asks 1). Each asker
+    meets each code of its cell in one unit; a cell of g codes with q askers is written g * q / chunk times at most.
+    """
+    cell = W.partitionBy(*keys)
+    counted = entries.withColumn("members", F.count(F.lit(1)).over(cell)).withColumn("askers", F.sum("asks").over(cell))
+    shared = cut(counted.where("members > 1 and askers > 0"), "cells")
+    chunks = lambda n: F.ceil(F.col(n) / F.lit(float(chunk))).cast("int")
+    place = lambda n: F.pmod(F.xxhash64("code"), chunks(n)).cast("int")
+    known = shared.select(*keys, "code", F.lit(0).alias("own"), F.lit(0).alias("asks"), F.explode(F.sequence(F.lit(0), chunks("askers") - 1)).alias("lo"), place("members").alias("hi"))
+    asking = shared.where("asks = 1").select(*keys, "code", F.lit(0).alias("own"), F.lit(1).alias("asks"), place("askers").alias("lo"), F.explode(F.sequence(F.lit(0), chunks("members") - 1)).alias("hi"))
+    by = [*keys, "lo", "hi"]
+    return known.union(asking).repartition(shuffle_partitions(entries.sparkSession), *by).sortWithinPartitions(*by, "asks")
+
+
 def run_units(sorted_units: DataFrame, keys: list[str], work: Callable[[dict[str, np.ndarray], np.ndarray], list[np.ndarray]], schema: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """Apply ``work(columns, start)`` to whole units; ``start`` holds where units begin, and the end.
 

@@ -16,6 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.llm import cells
@@ -23,11 +24,9 @@ from plaintide.llm.textarrays import Words, batches, mix
 from plaintide.llm.work import cut, shuffle_partitions
 
 SHINGLE = 3
-#: Search radius in bits; the 64 bits are cut into so many blocks.
-RADIUS, BLOCKS = 3, 5
-#: For listing neighbours. Of the 48 pairs of different texts of sf0.1 with 5-word Jaccard of 0.8 or more, 5 lie within 3 bits,
+#: Search radius in bits. Of the 48 pairs of different texts of sf0.1 with 5-word Jaccard of 0.8 or more, 5 lie within 3 bits,
 #: 27 within 7 and all within 12, where the tables' keys would be too short.
-NEAR_RADIUS, NEAR_BLOCKS = 7, 10
+RADIUS = 3
 _TERM = np.uint64((1 << 48) - 1)
 
 SCHEMA = (
@@ -89,65 +88,97 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, code long")
 
 
-def in_order(docs: DataFrame, pieces: int) -> DataFrame:
-    """Rows dealt to doc_id ranges, each range also holding its successor in descending order.
+def compare_edited(docs: DataFrame) -> DataFrame:
+    """Fingerprints of each text and of its edited text (see module queries), with their likeness.
 
-    Only quantiles of doc_id and one row per range reach the driver. Columns: piece, context, doc_id, tie, text.
+    Texts are shuffled once, into doc_id ranges in ascending order, so that the next document is the row before. Only the first row of each
+    range has its next one elsewhere: it is set aside with the last row of its range, and those few rows meet afterwards. As many ranges
+    as shuffle partitions; no bounds and no rows reach the driver.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    cuts = slim.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 20 * pieces)).first()[0]
-    cuts = sorted(set(cuts or []))
-    piece = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
-    dealt = slim.withColumn("piece", F.when(F.col("doc_id").isNull(), -1).otherwise(piece).cast("int"))
-    top = F.max(F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "tie"))
-    edges = sorted((r["piece"], r["top"]["doc_id"], r["top"]["tie"]) for r in dealt.groupBy("piece").agg(top.alias("top")).collect())
-    # each range needs the largest row below it; the lowest needs the largest row of all
-    wanted = spark.createDataFrame([(*edges[i - 1], edges[i][0]) for i in range(len(edges))], "piece int, doc_id long, tie long, to int")
-    same = [dealt[c].eqNullSafe(wanted[c]) for c in ("piece", "doc_id", "tie")]
-    context = dealt.join(F.broadcast(wanted), same[0] & same[1] & same[2]).select(wanted["to"].alias("piece"), F.lit(True).alias("context"), dealt["doc_id"], dealt["tie"], "text")
-    return dealt.select("piece", F.lit(False).alias("context"), "doc_id", "tie", "text").unionByName(context)
-
-
-def compare_edited(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text (see module queries), with their likeness."""
-    n = shuffle_partitions(docs.sparkSession)
-    rows = in_order(docs, min(4 * n, 1000))
-    rows = rows.repartition(n, "piece").sortWithinPartitions("piece", F.desc("context"), F.asc_nulls_first("doc_id"), "tie")
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = [F.asc_nulls_first("doc_id"), F.xxhash64("text").asc()]
+    ranges = slim.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
+    rows = ranges.select(F.spark_partition_id().alias("part"), "doc_id", "text")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple[int, str, int] | None = None  # piece, text and fingerprint of the row below
-        for part in parts:
-            columns = [part.column(i).to_pylist() for i in (0, 1, 2, 3)]
-            for at, texts in batches(columns[3]):
-                piece, context, ids = (x[at : at + len(texts)] for x in columns[:3])
+        before: tuple[str, int] | None = None  # text and fingerprint of the row below
+        last = None
+        for batch in parts:
+            number, ids = batch.column(0), batch.column(1)
+            for at, texts in batches(batch.column(2).to_pylist()):
                 codes = fingerprints(texts)
-                keep, edited, after = [], [], []
-                for i, text in enumerate(texts):
-                    if not context[i]:
-                        nxt = (texts[i - 1], codes[i - 1]) if i else before[1:]
-                        k = len(text) // 3
-                        keep.append(i)
-                        edited.append(text[: len(text) - k] + nxt[0][:k])
-                        after.append(nxt[1])
-                before = (piece[-1], texts[-1], codes[-1])
-                if not keep:
-                    continue
-                own, changed = codes[keep], fingerprints(edited)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([ids[i] for i in keep], pa.int64()),
-                        pa.array([len(texts[i]) for i in keep], pa.int64()),
-                        pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited]),
-                        pa.array([f"{x:016x}" for x in own]),
-                        pa.array([f"{x:016x}" for x in changed]),
-                        pa.array(likeness(own, changed)),
-                        pa.array(likeness(own, np.array(after, np.uint64))),
-                    ],
-                    [x.split()[0] for x in SCHEMA.split(", ")],
-                )
-
-    return rows.select("piece", "context", "doc_id", "text").mapInArrow(run, SCHEMA)
+                last = [number[at].as_py(), ids[at + len(texts) - 1].as_py(), texts[-1], int(codes[-1])]
+                skip = 0
+                if before is None:
+                    yield _edge(FIRST, last[0], ids[at].as_py(), texts[0], codes[0])
+                    skip = 1
+                    before = (texts[0], codes[0])
+                nexts = [before[0], *texts[skip:-1]] if len(texts) > skip else []
+                next_codes = np.array([before[1], *codes[skip:-1]], np.uint64) if nexts else codes[:0]
+                before = (texts[-1], codes[-1])
+                if nexts:
+                    made = _compared(texts[skip:], codes[skip:], nexts, next_codes)
+                    none = pa.nulls(len(nexts), pa.string())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.zeros(len(nexts), np.int32)), number.slice(at + skip, len(nexts)), ids.slice(at + skip, len(nexts)), none, pa.nulls(len(nexts), pa.int64()), *made], _EDGED
+                    )
+        if last:
+            yield _edge(LAST, *last)
+
+    done = cut(rows.mapInArrow(run, f"kind int, part int, doc_id long, text string, code long, {_MADE}"), "compared")
+    # the range before, by number; the lowest gets the highest
+    lasts = done.where(F.col("kind") == LAST)
+    numbers = lasts.select(F.col("part").alias("at"))
+    before = F.coalesce(F.lag("at").over(W.orderBy("at")), F.max("at").over(W.partitionBy()))
+    firsts = done.where(F.col("kind") == FIRST).join(numbers.select("at", before.alias("below")), F.col("part") == F.col("at"))
+    pairs = firsts.select("doc_id", "text", "code", "below").join(lasts.select(F.col("part").alias("below"), F.col("text").alias("next_text"), F.col("code").alias("next_code")), "below")
+
+    def meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts:
+            codes = [batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (2, 4)]
+            made = _compared([x or "" for x in batch.column(1).to_pylist()], codes[0], [x or "" for x in batch.column(3).to_pylist()], codes[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], _NAMES)
+
+    edges = pairs.select("doc_id", "text", "code", "next_text", "next_code").mapInArrow(meet, SCHEMA)
+    return done.where(F.col("kind") == ROW).select(*_NAMES).unionByName(edges)
+
+
+ROW, FIRST, LAST = 0, 1, 2
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_MADE = SCHEMA.split(", ", 1)[1]
+_EDGED = ["kind", "part", "doc_id", "text", "code", *_NAMES[1:]]
+
+
+def _edge(kind: int, part: int, doc_id: int | None, text: str, code: int) -> pa.RecordBatch:
+    """A row of a range's end, with its text and without a result."""
+    kinds = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+    code = int(code) - (int(code) >> 63 << 64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind], pa.int32()), pa.array([part], pa.int32()), pa.array([doc_id], pa.int64()), pa.array([text], pa.string()), pa.array([code], pa.int64()), *(pa.nulls(1, x) for x in kinds)], _EDGED
+    )
+
+
+def _compared(texts: list[str], codes: np.ndarray, nexts: list[str], next_codes: np.ndarray) -> list[pa.Array]:
+    """The columns of ``SCHEMA`` after doc_id, for texts and the texts that come next."""
+    edited = [text[: len(text) - len(text) // 3] + after[: len(text) // 3] for text, after in zip(texts, nexts, strict=True)]
+    changed = fingerprints(edited)
+    return [
+        pa.array([len(x) for x in texts], pa.int64()),
+        pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in edited], pa.string()),
+        pa.array([f"{x:016x}" for x in codes], pa.string()),
+        pa.array([f"{x:016x}" for x in changed], pa.string()),
+        pa.array(likeness(codes, changed)),
+        pa.array(likeness(codes, next_codes)),
+    ]
+
+
+def blocks_for(codes: int, radius: int) -> int:
+    """The least number of blocks whose leading bits can number so many fingerprints: a cell then holds few by chance.
+
+    Any number above ``radius`` finds the same pairs.
+    """
+    bits = max(codes, 2).bit_length()
+    return next((b for b in range(radius + 2, 3 * radius + 3) if 64 * (b - radius) // b >= bits), 3 * radius + 3)
 
 
 def block_entries(codes: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -163,75 +194,75 @@ def block_entries(codes: DataFrame, radius: int, blocks: int) -> DataFrame:
     return codes.select("*", table.alias("table", "lead"))
 
 
-def search(docs: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """For each distinct ``code`` of ``queries`` the number ``near`` of other codes of ``docs`` within ``radius``.
+def search(docs: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """Pairs (code, near): for each distinct ``code`` of ``queries`` every other code of ``docs`` within ``radius``, once.
 
-    A pair that meets in several tables counts in the first of them only. Codes without a neighbour give no row.
+    Cells without a query's code are dropped as soon as they are counted. In the others queries meet codes, in chunks of both, so
+    a hot cell is shared by many units of work. A pair that meets in several tables is kept in the first of them only.
     """
-    return _meet(docs, queries, radius, blocks, False).groupBy("code").agg(F.sum("near").alias("near"))
-
-
-def neighbours(docs: DataFrame, queries: DataFrame, radius: int = NEAR_RADIUS, blocks: int = NEAR_BLOCKS) -> DataFrame:
-    """For each row of ``queries`` the fingerprints of ``docs`` within ``radius``, its own among them; both have doc_id and code.
-
-    A fingerprint comes with ``near_doc_id``, the smallest doc_id that has it, and ``near_rows``, how many rows do; so copies of a
-    neighbour, or of the query itself, are one row.
-    """
-    classes = docs.groupBy("code").agg(F.min("doc_id").alias("near_doc_id"), F.count(F.lit(1)).alias("near_rows"))
-    others = _meet(docs, queries, radius, blocks, True)
-    pairs = cut(others.union(queries.select("code", F.col("code").alias("near")).distinct()), "pairs")
-    named = pairs.join(classes.withColumnRenamed("code", "near"), "near")
-    found = queries.select("doc_id", "code").join(named, "code")
-    as_text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return found.select("doc_id", as_text("code").alias("fingerprint"), as_text("near").alias("near_fingerprint"), "near_doc_id", "near_rows", F.bit_count(F.col("code").bitwiseXOR(F.col("near"))).alias("distance"))
-
-
-def _meet(docs: DataFrame, queries: DataFrame, radius: int, blocks: int, pairs: bool) -> DataFrame:
-    """code, near: with ``pairs`` every other code near a code of ``queries``, once; else their number by unit of work."""
+    codes = docs.select("code", F.lit(0).alias("asks")).union(queries.select("code", F.lit(1).alias("asks")))
+    marked = cut(codes.groupBy("code").agg(F.max("asks").alias("asks")), "marked")
+    blocks = blocks or blocks_for(marked.count(), radius)
     edge = [64 * i // blocks for i in range(blocks + 1)]
     block = [np.uint64((1 << edge[b + 1]) - (1 << edge[b])) for b in range(blocks)]
     leads = list(combinations(range(blocks), blocks - radius))
     # by the set of blocks that agree, the first table that finds the pair
     first = np.array([next((t for t, lead in enumerate(leads) if all(agree >> b & 1 for b in lead)), -1) for agree in range(1 << blocks)])
-    codes = docs.select("code", F.lit(0).alias("asks")).union(queries.select("code", F.lit(1).alias("asks")))
-    marked = codes.groupBy("code").agg(F.max("asks").alias("asks"))
     keys = ["table", "lead"]
-    entries = block_entries(marked, radius, blocks)
 
     def work(columns: dict[str, np.ndarray], start: np.ndarray) -> list[np.ndarray]:
-        code, own, table = columns["code"].view(np.uint64), columns["own"], columns["table"]
+        code, asks, table = columns["code"].view(np.uint64), columns["asks"], columns["table"]
         sizes = np.diff(start)
-        begin, size = np.repeat(start[:-1], sizes), np.repeat(sizes, sizes)
-        two = np.repeat(columns["lo"][start[:-1]] != columns["hi"][start[:-1]], sizes)
-        i = np.flatnonzero(columns["asks"] == 1)
-        count = np.zeros(len(code), np.int64)
-        left, right = [], []
+        known = np.add.reduceat(1 - asks, start[:-1]).astype(np.int64)  # they stand before those that ask
+        begin, many = np.repeat(start[:-1], sizes), np.repeat(known, sizes)
+        i = np.flatnonzero(asks == 1)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         step = 0
-        while len(i := i[size[i] > step]):
+        while len(i := i[many[i] > step]):
             j = begin[i] + step
             x = code[i] ^ code[j]
-            ok = (np.bitwise_count(x) <= radius) & (i != j) & (~two[i] | (own[i] != own[j]))
-            agree = sum(((x & m) == 0).astype(np.int64) << b for b, m in enumerate(block))
-            ok &= first[agree] == table[i]
-            count[i] += ok
-            if pairs:
-                left.append(i[ok])
-                right.append(j[ok])
+            near = np.flatnonzero((x != 0) & (np.bitwise_count(x) <= radius))
+            a, b, x = i[near], j[near], x[near]
+            agree = sum((((x & m) == 0).astype(np.int64) << k for k, m in enumerate(block)), np.zeros(len(x), np.int64))
+            own = first[agree] == table[a]
+            left.append(a[own])
+            right.append(b[own])
             step += 1
-        if pairs:
-            none = [np.zeros(0, np.int64)]
-            return [code[np.concatenate(x or none)].view(np.int64) for x in (left, right)]
-        hit = np.flatnonzero(count)
-        return [code[hit].view(np.int64), count[hit]]
+        return [code[np.concatenate(x)].view(np.int64) for x in (left, right)]
+
+    return cells.run_units(cells.asked_units(block_entries(marked, radius, blocks), keys), keys, work, "code long, near long", ("asks",))
 
-    return cells.run_units(cells.units(entries, keys, ("asks",)), keys, work, "code long, near long", ("asks",))
 
+def neighbours(docs: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """For each row of ``queries`` the fingerprints of ``docs`` within ``radius``, its own among them; both have doc_id and code.
 
-def compare_and_search(docs: DataFrame, every: int = 20, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """:func:`compare_edited` with ``n_near``: for rows whose doc_id is divisible by ``every``, how many other fingerprints of all
-    rows lie within ``radius`` of theirs; null for the rest."""
-    done = cut(compare_edited(docs), "fingerprints").withColumn("code", F.conv("fingerprint", 16, -10).cast("long"))
+    A fingerprint comes with ``near_doc_id``, the smallest doc_id that has it, and ``near_rows``, how many rows do; so copies of a
+    neighbour, or of the query itself, are one row.
+    """
+    classes = docs.groupBy("code").agg(F.min("doc_id").alias("near_doc_id"), F.count(F.lit(1)).alias("near_rows"))
+    others = search(docs, queries, radius, blocks)
+    pairs = cut(others.union(queries.select("code", F.col("code").alias("near")).distinct()), "pairs")
+    named = pairs.join(classes.withColumnRenamed("code", "near"), "near")
+    found = queries.select("doc_id", "code").join(named, "code")
+    as_text = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
+    return found.select("doc_id", as_text("code").alias("fingerprint"), as_text("near").alias("near_fingerprint"), "near_doc_id", "near_rows", F.bit_count(F.col("code").bitwiseXOR(F.col("near"))).alias("distance"))
+
+
+def compare_and_search(docs: DataFrame, every: int = 20, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
+    """:func:`compare_edited`, and for rows whose doc_id is divisible by ``every`` what all rows hold near them; null for the rest.
+
+    ``n_near`` counts the other fingerprints within ``radius``, ``near_ids`` names each by the smallest doc_id that has it (ascending, null
+    first), and ``n_same`` counts the rows with the row's own fingerprint, itself included.
+    """
+    done = cut(compare_edited(docs).withColumn("code", F.conv("fingerprint", 16, -10).cast("long")), "fingerprints")
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
-    found = cut(search(done, done.where(asks), radius, blocks), "near").withColumnRenamed("code", "of")
-    joined = done.join(found, asks & (F.col("code") == F.col("of")), "left")
-    return joined.select(*[x.split()[0] for x in SCHEMA.split(", ")], F.when(asks, F.coalesce("near", F.lit(0))).cast("long").alias("n_near"))
+    asking = done.where(asks)
+    found = cut(search(done, asking, radius, blocks), "near")
+    # classes of those that ask or were found; the rest need no name
+    wanted = asking.select("code").union(found.select("near")).distinct()
+    classes = cut(done.join(wanted, "code", "left_semi").groupBy("code").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "classes")
+    near = found.join(classes.select(F.col("code").alias("near"), "first_id"), "near").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("first_id"))).alias("list"))
+    by_code = classes.join(near, "code", "left").select(F.col("code").alias("of"), F.col("rows").alias("n_same"), F.coalesce(F.col("list")["first_id"], F.array().cast("array<long>")).alias("near_ids"))
+    told = asking.select("code").distinct().join(by_code, F.col("code") == F.col("of")).select("of", "n_same", "near_ids")
+    joined = done.join(told, asks & (F.col("code") == F.col("of")), "left")
+    return joined.select(*_NAMES, F.when(asks, F.size("near_ids")).cast("long").alias("n_near"), "n_same", "near_ids")

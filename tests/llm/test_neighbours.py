@@ -8,7 +8,7 @@ from plaintide.llm import fingerprints
 from tests.llm.test_operators import docs_of
 
 
-@pytest.mark.parametrize(("radius", "blocks"), [(3, 5), (fingerprints.NEAR_RADIUS, fingerprints.NEAR_BLOCKS)])
+@pytest.mark.parametrize(("radius", "blocks"), [(fingerprints.RADIUS, None), (7, 10)])
 def test_neighbours(spark, radius, blocks):
     rng = random.Random(2)
     base = [f"w{rng.randint(0, 5000)}" for _ in range(90)]

@@ -3,9 +3,11 @@
 import base64
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,14 +94,77 @@ def test_block_tables_find_all(spark):
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "code long")
     ask = df.where("code % 3 = 0")
-    got = {r["code"]: r["near"] for r in fingerprints.search(df, ask).collect()}
-    want = {}
-    for a in signed:
-        if int(np.fmod(a, 3)) == 0:
-            n = sum(0 < ((a ^ b) & (2**64 - 1)).bit_count() <= fingerprints.RADIUS for b in signed)
-            if n:
-                want[a] = n
-    assert got == want
+    asked = [a for a in signed if int(np.fmod(a, 3)) == 0]
+    want = sorted((a, b) for a in asked for b in signed if 0 < ((a ^ b) & (2**64 - 1)).bit_count() <= fingerprints.RADIUS)
+    for blocks in (None, 5, 7):
+        assert sorted(map(tuple, fingerprints.search(df, ask, blocks=blocks).collect())) == want
+
+
+def test_blocks_follow_the_number_of_fingerprints():
+    assert [fingerprints.blocks_for(n, 3) for n in (0, 1000, 1 << 24, 1 << 26, 1 << 31, 1 << 40)] == [5, 5, 5, 6, 6, 9]
+
+
+def test_hot_cells_of_a_search(spark, monkeypatch):
+    """Cells cut into many chunks on both sides give the same pairs, each once."""
+    rng = random.Random(4)
+    codes = sorted({(7 << 40) ^ sum(1 << rng.randrange(24) for _ in range(4)) for _ in range(400)})
+    df = spark.createDataFrame([(c, c % 3 == 0) for c in codes], "code long, ask boolean")
+    plain = cells.asked_units
+    monkeypatch.setattr(cells, "asked_units", lambda e, k: plain(e, k, 16))
+    got = sorted(map(tuple, fingerprints.search(df.select("code"), df.where("ask").select("code")).collect()))
+    assert got == sorted((a, b) for a in codes if a % 3 == 0 for b in codes if 0 < (a ^ b).bit_count() <= fingerprints.RADIUS)
+
+
+def plain_simhash(text):
+    """Word by word and bit by bit."""
+    m = 2**64 - 1
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & m
+        return x ^ x >> 31
+
+    def word(w):
+        return mix(sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 2**64) for i, c in enumerate(w)) + len(w) * 0xD6E8FEB86659FD93 & m)
+
+    hashes = [word(w) for w in re.findall(WORD, re.sub("[A-Z]", lambda x: x.group().lower(), text or ""))]
+    times = Counter()
+    for i in range(max(1, len(hashes) - 2) if hashes else 0):
+        h = hashes[i]
+        for other in hashes[i + 1 : i + 3]:
+            h = mix((h * 0x9FB21C651E98DF25 + other) & m)
+        times[h & 2**48 - 1] += 1
+    out = 0
+    for bit in range(64):
+        vote = sum((1 + math.log2(n)) * (1 if mix(term) >> bit & 1 else -1) for term, n in times.items())
+        out |= (vote > 1e-6) << bit
+    return out
+
+
+def test_fingerprint_and_likeness_brute_force(odd, odd_rows):
+    """The whole query against plain Python: votes, order, edited texts and likeness."""
+    got = {(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], r["edited_sha256"]): r for r in fingerprints.compare_edited(odd).collect()}
+    rows = sorted(((i, t or "") for i, t, _ in odd_rows if i != 103 and i != 104 and i is not None), reverse=True)
+    for (i, t), (_, nxt) in zip(rows, rows[1:], strict=False):
+        if i == 105:
+            continue  # what comes next is left out here
+        k = len(t) // 3
+        edited = t[: len(t) - k] + nxt[:k]
+        own, changed, after = plain_simhash(t), plain_simhash(edited), plain_simhash(nxt)
+        r = got[i, f"{own:016x}", f"{changed:016x}", hashlib.sha256(edited.encode()).hexdigest()]
+        assert r["near_edited"] == 1 - (own ^ changed).bit_count() / 64 and r["near_next"] == 1 - (own ^ after).bit_count() / 64
+
+
+def test_next_document_over_empty_ranges(spark, monkeypatch):
+    """More ranges than rows, one range alone, and one row: the next document is found over all of them."""
+    for n in (1, 2, 5):
+        rows = [(3 * i, f"text number {i} of a few", "s") for i in range(n)]
+        for parts in (1, 7):
+            monkeypatch.setattr(fingerprints, "shuffle_partitions", lambda _, parts=parts: parts)
+            got = {r["doc_id"]: r["edited_sha256"] for r in fingerprints.compare_edited(docs_of(spark, rows)).collect()}
+            for i, t, _ in rows:
+                nxt = rows[i // 3 - 1][1]  # the one below, or for the lowest the highest
+                assert got[i] == hashlib.sha256((t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]).encode()).hexdigest()
 
 
 # 2 quality
@@ -523,3 +588,11 @@ def test_fingerprint_query_searches(odd):
         mine = int(r["fingerprint"], 16)
         want = sum(0 < (mine ^ c).bit_count() <= 3 for c in codes) if r["doc_id"] is not None and r["doc_id"] % 20 == 0 else None
         assert r["n_near"] == want
+        if want is None:
+            assert r["n_same"] is None and r["near_ids"] is None
+        else:
+            assert r["n_same"] == sum(int(x["fingerprint"], 16) == mine for x in got)
+            key = lambda x: (x is not None, x)
+            close = {c for c in codes if 0 < (mine ^ c).bit_count() <= 3}
+            firsts = [min((x["doc_id"] for x in got if int(x["fingerprint"], 16) == c and x["doc_id"] is not None), default=None) for c in close]
+            assert r["near_ids"] == sorted(firsts, key=key)
