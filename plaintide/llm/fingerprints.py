@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from plaintide.llm import cells
 from plaintide.llm.textarrays import Words, batches, mix
-from plaintide.llm.work import cut, shuffle_partitions
+from plaintide.llm.work import cut, join_groups, shuffle_partitions
 
 SHINGLE = 3
 #: Search radius in bits. Of the 48 pairs of different texts of sf0.1 with 5-word Jaccard of 0.8 or more, 5 lie within 3 bits,
@@ -258,11 +258,15 @@ def compare_and_search(docs: DataFrame, every: int = 20, radius: int = RADIUS, b
     asks = F.coalesce(F.col("doc_id") % every == 0, F.lit(False))
     asking = done.where(asks)
     found = cut(search(done, asking, radius, blocks), "near")
-    # classes of those that ask or were found; the rest need no name
+    # classes of those that ask or were found; the rest need no name. Copies are counted before they are shuffled
     wanted = asking.select("code").union(found.select("near")).distinct()
-    classes = cut(done.join(wanted, "code", "left_semi").groupBy("code").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")), "classes")
+    classes = done.groupBy("code").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows"))
+    classes = cut(classes.join(wanted, "code", "left_semi"), "classes")
     near = found.join(classes.select(F.col("code").alias("near"), "first_id"), "near").groupBy("code").agg(F.sort_array(F.collect_list(F.struct("first_id"))).alias("list"))
-    by_code = classes.join(near, "code", "left").select(F.col("code").alias("of"), F.col("rows").alias("n_same"), F.coalesce(F.col("list")["first_id"], F.array().cast("array<long>")).alias("near_ids"))
-    told = asking.select("code").distinct().join(by_code, F.col("code") == F.col("of")).select("of", "n_same", "near_ids")
-    joined = done.join(told, asks & (F.col("code") == F.col("of")), "left")
-    return joined.select(*_NAMES, F.when(asks, F.size("near_ids")).cast("long").alias("n_near"), "n_same", "near_ids")
+    asked = asking.groupBy("code").agg(F.count(F.lit(1)).alias("asking"))
+    told = asked.join(classes, "code").join(near, "code", "left").select(F.col("code").alias("of"), F.col("rows").alias("n_same"), F.coalesce(F.col("list")["first_id"], F.array().cast("array<long>")).alias("near_ids"), "asking")
+    told = cut(told, "told")
+    values = told.agg(F.coalesce(F.sum(F.size("near_ids") + 2), F.lit(0)).alias("n")).first()["n"]
+    joined = join_groups(asking, F.col("code"), F.col("doc_id"), told.drop("asking"), "of", values, told.select("of", F.col("asking").alias("rows")))
+    rest = done.where(~asks).select(*_NAMES, *(F.lit(None).cast(t).alias(c) for c, t in (("n_near", "long"), ("n_same", "long"), ("near_ids", "array<long>"))))
+    return joined.select(*_NAMES, F.size("near_ids").cast("long").alias("n_near"), "n_same", "near_ids").unionByName(rest)

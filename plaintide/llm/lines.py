@@ -59,7 +59,7 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     table = cut(_found(pages, ratio, least), "boilerplate").withColumnsRenamed({"host": "__pt_host", "marks": "__pt_marks"})
     values = table.agg(F.coalesce(F.sum(F.size("__pt_marks") + 1), F.lit(0)).alias("n")).first()["n"]
     sizes = docs.groupBy(F.col(host).cast("string").alias("__pt_host")).agg(F.count(F.lit(1)).alias("rows"))
-    joined = join_groups(docs, host, table, "__pt_host", values, sizes)
+    joined = join_groups(docs, F.col(host).cast("string"), F.col("text"), table, "__pt_host", values, sizes)
     kept = F.filter(_lines("text"), lambda x: F.coalesce(~F.array_contains(F.col("__pt_marks"), _mark(x)), F.lit(True)))
     text = F.when(F.col("__pt_marks").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     lines = F.coalesce(F.size(_lines("text")), F.lit(0)).cast("long")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.storage import clear, cut, new_path, shared_dir, shuffle_partitions
@@ -13,20 +13,20 @@ __all__ = ["clear", "cut", "join_groups", "new_path", "shared_dir", "shuffle_par
 BROADCAST_VALUES = 1 << 20
 
 
-def join_groups(rows: DataFrame, key: str, groups: DataFrame, of: str, values: int, sizes: DataFrame) -> DataFrame:
+def join_groups(rows: DataFrame, key: Column, spread_by: Column, groups: DataFrame, of: str, values: int, sizes: DataFrame) -> DataFrame:
     """``rows`` left-joined with ``groups``, one row for each value of ``of``, null keys included.
 
     ``values`` counts what ``groups`` holds: up to ``BROADCAST_VALUES`` it is broadcast. Beyond, both sides are shuffled, and the keys with
-    more rows than a fair share of a partition are salted. ``sizes`` (of, rows) tells them; fewer than the number of partitions
-    can have so many, so that list is always broadcast. The result is the same either way.
+    more rows than a fair share of a partition are salted by a hash of ``spread_by``. ``sizes`` (of, rows) tells them; fewer than the number
+    of partitions can have so many, so that list is always broadcast. The result is the same either way.
     """
-    same = F.col(key).cast("string").eqNullSafe(F.col(of))
     if values <= BROADCAST_VALUES:
-        return rows.join(F.broadcast(groups), same, "left")
+        return rows.join(F.broadcast(groups), key.eqNullSafe(F.col(of)), "left")
     n = shuffle_partitions(rows.sparkSession)
-    total = sizes.agg(F.sum("rows").alias("rows")).first()["rows"]
-    hot = sizes.where(F.col("rows") * n > total).select(F.col(of).alias("__pt_hot"), F.ceil(F.col("rows") * n / F.lit(float(total))).cast("int").alias("__pt_salts"))
+    total = float(sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()["rows"])
+    hot = sizes.where(F.col("rows") * n > total).select(F.col(of).alias("__pt_hot"), F.ceil(F.col("rows") * n / F.lit(max(total, 1.0))).cast("int").alias("__pt_salts"))
     hot = F.broadcast(cut(hot, "hot"))
-    salted = rows.join(hot, F.col(key).cast("string").eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_salt", F.pmod(F.xxhash64("text"), F.coalesce("__pt_salts", F.lit(1))).cast("int")).drop("__pt_hot", "__pt_salts")
-    spread = groups.join(hot, F.col(of).eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_copy", F.explode(F.sequence(F.lit(0), F.coalesce("__pt_salts", F.lit(1)) - 1))).drop("__pt_hot", "__pt_salts")
-    return salted.join(spread, same & (F.col("__pt_salt") == F.col("__pt_copy")), "left").drop("__pt_salt", "__pt_copy")
+    salts = F.coalesce("__pt_salts", F.lit(1))
+    salted = rows.withColumn("__pt_key", key).join(hot, F.col("__pt_key").eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")).drop("__pt_hot", "__pt_salts")
+    copies = groups.join(hot, F.col(of).eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_copy", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__pt_hot", "__pt_salts")
+    return salted.join(copies, F.col("__pt_key").eqNullSafe(F.col(of)) & (F.col("__pt_salt") == F.col("__pt_copy")), "left").drop("__pt_key", "__pt_salt", "__pt_copy")

@@ -581,7 +581,9 @@ def test_keep_one_with_shared_and_missing_ids(spark):
     assert kept == sorted([("1", a), ("1", b), ("None", a), ("None", b), ("None", "other words here")])
 
 
-def test_fingerprint_query_searches(odd):
+@pytest.mark.parametrize("broadcast", [1 << 20, 0])
+def test_fingerprint_query_searches(odd, monkeypatch, broadcast):
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)
     got = fingerprints.compare_and_search(odd, radius=3).collect()
     codes = {int(r["fingerprint"], 16) for r in got}
     for r in got:
