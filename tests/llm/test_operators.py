@@ -453,11 +453,47 @@ def test_lookahead_is_sufficient():
         assert list(t.stream(w)) == t.merged(list(w))
 
 
+@pytest.mark.parametrize("block", [7, 64])
+def test_bpe_blocks(codec, word_library, monkeypatch, block):
+    """Small blocks: normaliser, splitter and transducer carry their state over every kind of border."""
+    monkeypatch.setattr(bpe, "BLOCK", block)
+    rng = random.Random(11)
+    parts = ["a", "the", "e\u0301", "\u0301", "é", "1", "23", "'s", "'", "'re", "'l", "l", ".", "!!", "Ω", "Σ", "\r", "\u2003", "日本", "😀", "_", "İ", "ing", "TION", "²", "ß", "\u1100", "\u1161", "\u11a8", "\u0915\u093c", " ", "\n", "<|endoftext|>"]
+    for _ in range(4000):
+        t = "".join(rng.choice(parts[: rng.choice([31, 33])]) for _ in range(rng.randint(0, 40)))
+        ids = word_library.encode(t, add_special_tokens=False).ids
+        assert codec.encode(t) == ids
+        state, given = codec.decoder_state(), ""
+        for some in codec.stream(t):
+            given += state.feed(some)
+        assert given + state.end() == word_library.decode(ids, skip_special_tokens=False)
+
+
+def test_bpe_memory_is_constant(codec, word_library):
+    """Words of half a million characters: blocks of bounded size come out, and no more symbols are held than the window."""
+    rng = random.Random(5)
+    text = "x" * 70000 + "".join(rng.choice("aeiothns") for _ in range(400000)) + "!" * 70000
+    codec.most, largest, ids = 0, 0, []
+    for some in codec.stream(text):
+        largest = max(largest, len(some))
+        ids += some
+    assert 0 < codec.most <= codec.bpe.window and largest <= 2 * bpe.BLOCK
+    assert ids == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_encode_documents(odd, odd_rows, word_library):
+    got = [tuple(r) for r in bpe.encode_documents(odd, queries.tokenizer_path("word_bpe_49k.json"), rows=7).collect()]
+    want = [(i, s, word_library.encode(t or "", add_special_tokens=False).ids) for i, t, s in odd_rows]
+    digest = lambda ids: hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    assert sorted(got, key=repr) == sorted(((i, s, len(x), x, digest(x)) for i, s, x in want), key=repr)
+
+
 def test_incremental_byte_decoder():
     chars = bpe.byte_chars()
     raw = "é日😀x".encode()
-    assert "".join(bpe.bytes_to_text([chars[b] for b in raw], chars)) == "é日😀x"
-    assert "".join(bpe.bytes_to_text([chars[b] for b in raw[:-2]], chars)) == raw[:-2].decode("utf-8", "replace")
+    for some in (raw, raw[:-2]):
+        state = bpe.ByteText(chars)
+        assert "".join([*(state.feed(chars[b]) for b in some), state.end()]) == some.decode("utf-8", "replace")
 
 
 def test_bpe_query(odd, odd_rows, word_library):
