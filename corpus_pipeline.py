@@ -1,4 +1,8 @@
-"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE, each on what the one before kept."""
+"""Corpus pipeline: quality rules, line dedup, near-dedup, mixing and BPE, each on what the one before kept.
+
+The result is the mixed corpus as ids, a row for each document as often as the mix takes it: doc_id, source, n_tokens, ids and the digest of the
+text they decode to.
+"""
 
 from __future__ import annotations
 
@@ -30,7 +34,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs, tokenizer_path("word_bpe_49k.json"))
+    return bpe.encode_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
 STAGES: list[tuple[str, Stage]] = [
