@@ -104,60 +104,48 @@ def _fields(schema: str) -> pa.Schema:
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(", "))])
 
 
-def links(sorted_units: DataFrame, keys: list[str], radius: int, bound: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
-    """Links ``a < b`` between codes within ``radius`` bits that connect what each unit connects.
+def links(sorted_units: DataFrame, keys: list[str], accept: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """Links ``a < b`` between codes that ``accept`` takes, connecting what each unit connects.
 
-    Small units give their links one by one. Of a large one only as many are kept as hold its
-    components together, so a cell of g codes gives O(g) rows and not O(g * g).
-    ``bound`` maps codes to codes whose Hamming distance is a lower bound; pairs beyond it are not verified.
+    ``accept(columns, i, j)`` tells for rows i and j of a unit whether they are linked. Small units give their links one by one. Of a large
+    one only as many are kept as hold its components together, so a cell of g codes gives O(g) rows and not O(g * g).
     """
 
     def work(columns: dict[str, np.ndarray], start: np.ndarray) -> list[np.ndarray]:
-        code, own = columns["code"].view(np.uint64), columns["own"]
-        low = bound(code) if bound else code
+        code, own = columns["code"], columns["own"]
         sizes = np.diff(start)
         end = np.repeat(start[1:], sizes)
-        small = np.repeat(sizes <= 16, sizes)
-        at = np.arange(len(code))
-        left, right = [], []
-        i, step = at[small], 1
-        while True:
-            i = i[i + step < end[i]]
-            if not len(i):
-                break
-            near = i[np.bitwise_count(low[i] ^ low[i + step]) <= radius]
-            near = near[np.bitwise_count(code[near] ^ code[near + step]) <= radius]
+        i = np.flatnonzero(np.repeat(sizes <= 16, sizes))
+        left, right, step = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 1
+        while len(i := i[i + step < end[i]]):
+            near = i[accept(columns, i, i + step)]
             left.append(near)
             right.append(near + step)
             step += 1
         for a, b in zip(start[:-1][sizes > 16], start[1:][sizes > 16], strict=True):
-            x, y = _forest(code[a:b], low[a:b], own[a:b], radius)
-            left.append(x + a)
-            right.append(y + a)
-        a, b = code[np.concatenate(left)].view(np.int64), code[np.concatenate(right)].view(np.int64)
+            x, y = _forest(a, b, own, lambda i, rest: accept(columns, np.full(len(rest), i), rest))
+            left.append(x)
+            right.append(y)
+        a, b = code[np.concatenate(left)], code[np.concatenate(right)]
         return [np.minimum(a, b), np.maximum(a, b)]
 
     return run_units(sorted_units, keys, work, "a long, b long")
 
 
-def _forest(code: np.ndarray, low: np.ndarray, own: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the components of one unit: pairs across its two chunks, or within its only one."""
-    n = len(code)
-    label = np.arange(n)
-    left, right = [], []
-    two = own[0] != own.max() or own[0] != own.min()
-    for i in range(n):
-        rest = np.arange(i + 1, n)
+def _forest(start: int, end: int, own: np.ndarray, accept: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the components of the unit of rows ``start`` to ``end``: pairs across its two chunks, or within its only one."""
+    label = np.arange(start, end)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    two = own[start:end].min() != own[start:end].max()
+    for i in range(start, end):
+        rest = np.arange(i + 1, end)
         if two:
             rest = rest[own[rest] != own[i]]
-        rest = rest[label[rest] != label[i]]
-        rest = rest[np.bitwise_count(low[rest] ^ low[i]) <= radius]
-        rest = rest[np.bitwise_count(code[rest] ^ code[i]) <= radius]
+        rest = rest[label[rest - start] != label[i - start]]
+        rest = rest[accept(i, rest)]
         if len(rest):
-            _, one = np.unique(label[rest], return_index=True)
+            _, one = np.unique(label[rest - start], return_index=True)
             left.append(np.full(len(one), i))
             right.append(rest[one])
-            label[np.isin(label, label[rest])] = label[i]
-    if not left:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+            label[np.isin(label, label[rest - start])] = label[i - start]
     return np.concatenate(left), np.concatenate(right)

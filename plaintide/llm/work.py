@@ -10,7 +10,7 @@ from plaintide.storage import clear, cut, new_path, shared_dir, shuffle_partitio
 __all__ = ["clear", "cut", "join_groups", "new_path", "shared_dir", "shuffle_partitions"]
 
 #: Values (array elements or rows) of a table that goes to every task; beyond them it is shuffled.
-BROADCAST_VALUES = 1 << 20
+BROADCAST_VALUES = 1 << 18
 
 
 def join_groups(rows: DataFrame, key: Column, spread_by: Column, groups: DataFrame, of: str, values: int, sizes: DataFrame) -> DataFrame:

@@ -562,9 +562,10 @@ def groups(codes, radius):
     return [find(i) for i in range(len(codes))]
 
 
-@pytest.mark.parametrize("blocks", [None, 6, 9])
-def test_near_duplicates(odd, odd_rows, blocks):
-    got = neardup.link_documents(odd, blocks=blocks).collect()
+@pytest.mark.parametrize("broadcast", [1 << 18, 0])
+def test_near_duplicates(odd, odd_rows, monkeypatch, broadcast):
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)  # 0: salted joins
+    got = neardup.link_documents(odd).collect()
     codes = [plain_code(t) for _, t, _ in odd_rows]
     root = groups(codes, neardup.RADIUS)
     least = {}
@@ -581,6 +582,26 @@ def test_embedding_is_a_lower_bound():
     assert (np.bitwise_count(neardup.embed(a) ^ neardup.embed(b)) <= np.bitwise_count(a ^ b)).all()
 
 
+@pytest.mark.parametrize("radius", [0, 1, 3, 4])
+def test_range_join_gives_each_pair_once(spark, radius):
+    """In units too small for a forest, exactly the pairs within the radius, each from one cell."""
+    rng = random.Random(radius)
+    base = [rng.getrandbits(64) for _ in range(150)]
+    codes = {0, 2**64 - 1, 3, 2**63, *base}
+    for b in base:
+        codes |= {b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 6))) for _ in range(2)}
+        pair = 2 * rng.randrange(32)
+        codes |= {b ^ 3 << pair, b ^ 1 << pair, b ^ 2 << pair ^ 1 << rng.randrange(64)}
+    signed = [c - (1 << 64) if c >> 63 else c for c in codes]
+    got = sorted(map(tuple, neardup.linked_codes(spark.createDataFrame([(c,) for c in signed], "code long").repartition(3), radius).collect()))
+    assert got == sorted((a, b) for a in signed for b in signed if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= radius)
+
+
+def test_range_join_refuses_what_it_cannot_reach(spark):
+    with pytest.raises(ValueError, match="radius of 5"):
+        neardup.linked_codes(spark.createDataFrame([(1,)], "code long"), 5)
+
+
 def test_hot_cells_keep_every_component(spark):
     """Cells cut into chunks and large units give the components of all pairs."""
     rng = random.Random(11)
@@ -588,19 +609,20 @@ def test_hot_cells_keep_every_component(spark):
     codes = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(100)})
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     df = spark.createDataFrame([(c,) for c in signed], "code long")
-    keys = ["choice", "cell"]
     for chunk in (8, 40, 2048):
-        found = neardup.components(cells.links(cells.units(neardup.grid(df, 4, 8), keys, chunk=chunk), keys, 4, neardup.embed))
+        found = neardup.components(neardup.linked_codes(df, chunk=chunk))
         root = {r["node"]: r["root"] for r in found.collect()}
         want = groups([c % (1 << 64) for c in signed], 4)
         mine = [root.get(c, c) for c in signed]
         assert [mine.index(m) for m in mine] == [want.index(w) for w in want]
 
 
-def test_long_chain_is_one_component(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 400)] + [(1000, 1001)], "a long, b long")
+@pytest.mark.parametrize(("broadcast", "n"), [(1 << 18, 400), (0, 9)])
+def test_long_chain_is_one_component(spark, monkeypatch, broadcast, n):
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001)], "a long, b long")
     got = {r["node"]: r["root"] for r in neardup.components(edges.repartition(4)).collect()}
-    assert got == {i: 0 for i in range(401)} | {1000: 1000, 1001: 1000}
+    assert got == {i: 0 for i in range(n + 1)} | {1000: 1000, 1001: 1000}
 
 
 def test_keep_one(odd, odd_rows):
