@@ -134,8 +134,9 @@ def linked_codes(codes: DataFrame, radius: int = RADIUS, chunk: int = cells.CHUN
 def components(edges: DataFrame) -> DataFrame:
     """Smallest node of each node's component, for nodes with an edge: columns node, root.
 
-    Each round points every node at its least neighbour, follows the pointers twice and contracts. Only sizes reach the driver. A root with
-    many nodes is a hot key of the joins by root, which are broadcast or salted (:func:`plaintide.llm.work.join_groups`).
+    Each round points every node at its least neighbour, doubles the pointers until they end at nodes that point at themselves, and contracts;
+    so at least half of the nodes go, and a chain takes as many jumps as its length has digits. Only sizes reach the driver. A
+    root with many nodes is a hot key of the joins by root, which are broadcast or salted (:func:`plaintide.llm.work.join_groups`).
     """
     links = cut(edges.where("a <> b").distinct(), "links")
     labels: DataFrame | None = None
@@ -144,8 +145,10 @@ def components(edges: DataFrame) -> DataFrame:
         step = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
         step = cut(step, "step")
         n = step.count()
-        for _ in range(2):
-            step = cut(_through(step, "root", step, "step", n).select("node", F.col("step").alias("root")), "step")
+        moving = True
+        while moving:
+            jumped = cut(_through(step, "root", step, "step", n).select("node", F.col("step").alias("root"), (F.col("step") != F.col("root")).alias("moved")), "step")
+            step, moving = jumped.drop("moved"), not jumped.where("moved").isEmpty()
         labels = step if labels is None else cut(_through(labels, "root", step, "step", n).select("node", F.coalesce("step", "root").alias("root")), "labels")
         moved = _through(_through(links, "a", step, "x", n), "b", step, "y", n)
         links = cut(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "links")
