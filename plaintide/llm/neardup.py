@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plaintide.llm import cells
-from plaintide.llm.work import cut, join_groups
+from plaintide.llm.work import cut, join_groups, shuffle_partitions
 
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: Segments of two bits where the parts begin, and the end; pairs of parts that lead; most distance within the parts that lead.
@@ -128,7 +128,9 @@ def linked_codes(codes: DataFrame, radius: int = RADIUS, chunk: int = cells.CHUN
     if 2 * radius // 3 > REACH:
         raise ValueError(f"a radius of {radius} bits is beyond the range join")
     keys = ["choice", "cell"]
-    return cells.links(cells.units(grid(codes), keys, chunk=chunk), keys, meet(radius))
+    # a code becomes about 100 rows: few and small as the codes are, every task gets its share of that
+    dealt = codes.repartition(shuffle_partitions(codes.sparkSession), "code")
+    return cells.links(cells.units(grid(dealt), keys, chunk=chunk), keys, meet(radius))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def join_groups(rows: DataFrame, key: Column, spread_by: Column, groups: DataFra
         return rows.join(F.broadcast(groups), key.eqNullSafe(F.col(of)), "left")
     n = shuffle_partitions(rows.sparkSession)
     total = float(sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()["rows"])
-    hot = sizes.where(F.col("rows") * n > total).select(F.col(of).alias("__pt_hot"), F.ceil(F.col("rows") * n / F.lit(max(total, 1.0))).cast("int").alias("__pt_salts"))
+    hot = sizes.where(F.col("rows") * n > total).select(F.col(of).alias("__pt_join_hot"), F.ceil(F.col("rows") * n / F.lit(max(total, 1.0))).cast("int").alias("__pt_join_salts"))
     hot = F.broadcast(cut(hot, "hot"))
-    salts = F.coalesce("__pt_salts", F.lit(1))
-    salted = rows.withColumn("__pt_key", key).join(hot, F.col("__pt_key").eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")).drop("__pt_hot", "__pt_salts")
-    copies = groups.join(hot, F.col(of).eqNullSafe(F.col("__pt_hot")), "left").withColumn("__pt_copy", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__pt_hot", "__pt_salts")
-    return salted.join(copies, F.col("__pt_key").eqNullSafe(F.col(of)) & (F.col("__pt_salt") == F.col("__pt_copy")), "left").drop("__pt_key", "__pt_salt", "__pt_copy")
+    salts = F.coalesce("__pt_join_salts", F.lit(1))
+    salted = rows.withColumn("__pt_join_key", key).join(hot, F.col("__pt_join_key").eqNullSafe(F.col("__pt_join_hot")), "left").withColumn("__pt_join_salt", F.pmod(F.xxhash64(spread_by), salts).cast("int")).drop("__pt_join_hot", "__pt_join_salts")
+    copies = groups.join(hot, F.col(of).eqNullSafe(F.col("__pt_join_hot")), "left").withColumn("__pt_join_copy", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__pt_join_hot", "__pt_join_salts")
+    return salted.join(copies, F.col("__pt_join_key").eqNullSafe(F.col(of)) & (F.col("__pt_join_salt") == F.col("__pt_join_copy")), "left").drop("__pt_join_key", "__pt_join_salt", "__pt_join_copy")

@@ -363,16 +363,40 @@ def test_mixing(odd, odd_rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(odd.repartition(5)).collect()))
 
 
-def test_mixed_documents_are_what_mix_takes(odd):
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    made = mixing.mixed_documents(odd, buckets=4)
+@pytest.mark.parametrize(("range_rows", "broadcast"), [(mixing.RANGE_ROWS, 1 << 18), (4, 1 << 18), (8, 0)])
+def test_mixed_documents_are_what_mix_takes(odd, odd_rows, monkeypatch, range_rows, broadcast):
+    """The texts themselves: whole ones as often as they are taken, and the first words of the one at a source's budget."""
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)
+    made = mixing.mixed_documents(odd, range_rows=range_rows)
     assert made.columns == odd.columns
-    got = {(r[0], r[1]): r[2] for r in made.groupBy("doc_id", "source").agg(F.sum(words)).collect()}
-    want = {(r[0], r[1]): r[2] for r in mixing.mix(odd, buckets=4).groupBy("doc_id", "source").agg(F.sum("taken")).where("sum(taken) > 0").collect()}
-    assert got == want
+    got = Counter((r["doc_id"], r["source"], r["text"]) for r in made.collect())
+    text, size = {}, lambda t: len(re.findall(WORD, t or ""))
+    for i, t, s in odd_rows:
+        text[i, s] = t
+    want = Counter()
+    for r in mixing.mix(odd, range_rows=range_rows).collect():
+        t = text[r["doc_id"], r["source"]]
+        if not r["taken"]:
+            continue
+        whole, rest = divmod(r["taken"], r["size"])
+        if whole:
+            want[r["doc_id"], r["source"], t] += whole
+        if rest:
+            end = list(re.finditer(WORD, t))[rest - 1].end()
+            want[r["doc_id"], r["source"], t[:end]] += 1
+    assert got == want and all(size(t) for _, _, t in got)
     assert made.where("n_chars <> length(text)").count() == 0
 
 
+def test_mix_order_is_key_order(odd):
+    """Without epochs a source's documents are taken whole in the order of their keys up to the one that is cut."""
+    for range_rows in (mixing.RANGE_ROWS, 4):
+        rows = mixing.mix(odd, most=1, range_rows=range_rows).join(odd.select("doc_id", "source", mixing._key(0).alias("k")).distinct(), ["doc_id", "source"]).where("size > 0").collect()
+        for s in {r["source"] for r in rows}:
+            state = [0 if r["taken"] == r["size"] else 1 if r["taken"] else 2 for r in sorted((r for r in rows if r["source"] == s), key=lambda r: r["k"])]
+            assert state == sorted(state) and state.count(1) <= 1
+
+
 # 7 archives
 
 
