@@ -87,6 +87,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solve ``factor z = b`` for a lower triangular factor, row by row over all columns of ``b``."""
+    z = np.empty_like(b)
+    for i in range(len(b)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass
 class Discriminant:
     """Means, Cholesky factors of the class covariances, their log determinants, and the log prior odds."""
@@ -101,7 +109,7 @@ class Discriminant:
             return np.full(len(x), 1 / (1 + np.exp(-self.log_odds)))
         density = []
         for mean, factor, log_det in zip(self.mean, self.factor, self.log_det, strict=True):
-            z = np.linalg.solve(factor, (x - mean).T)
+            z = _forward(factor, (x - mean).T)
             density.append(-0.5 * (z * z).sum(0) - 0.5 * log_det)
         odds = (density[1] - density[0]) / TEMPER + self.log_odds
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
