@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plaintide.llm.work import cut, new_path, shuffle_partitions
+from plaintide.llm.work import cut, join_groups, new_path, shuffle_partitions
 
 CHUNK, FILE_BYTES = 1 << 20, 1 << 28
 URN = "<urn:page:{}>"
@@ -121,8 +121,8 @@ def with_references(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     payload = F.coalesce(F.encode(F.col("html"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("mark", F.sha1("payload"))
     shared = rows.where(F.length("payload") >= min_bytes).groupBy("mark").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("pages"))
-    shared = cut(shared.where("pages > 1").select(F.col("mark").alias("of"), "first"), "shared")
-    joined = rows.join(shared, F.col("mark") == F.col("of"), "left")
+    shared = cut(shared.where("pages > 1").select(F.col("mark").alias("of"), "first", F.col("pages").alias("rows")), "shared")
+    joined = join_groups(rows, F.col("mark"), F.col("page_id"), shared.drop("rows"), "of", 2 * shared.count(), shared.select("of", "rows"))
     return joined.select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 
