@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of an input block; entries of a worker's cache, half of them at most from before its last turn; characters of the longest.
-BLOCK, CACHE, LONGEST = 1 << 16, 1 << 20, 64
+BLOCK, CACHE, LONGEST = 1 << 16, 1 << 18, 64
 _SPACE = re.compile(r"[ \n]")
 #: Word parts, as the tokenizer's file states them.
 SUPPORTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

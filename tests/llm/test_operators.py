@@ -324,6 +324,28 @@ def test_classifier_held_out(spark):
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for i, h in got.select("doc_id", "held_out").limit(200).collect())
 
 
+def test_classifier_brute_force(spark):
+    """Scores from class means, covariances, inverses and determinants of all training rows, computed in one place."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: (r["score"], r["predicted"], r["held_out"]) for r in classifier.quality(docs, labels).collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    label = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    x = {i: classifier.statistics([t])[0] for i, t in text.items()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in text}
+    by = [np.array([x[i] for i in text if label.get(i) == c and not held[i]]) for c in (0, 1)]
+    n = [len(b) for b in by]
+    spread = [np.cov(b.T, bias=True) for b in by]
+    pooled = np.diag((n[0] * np.diag(spread[0]) + n[1] * np.diag(spread[1])) / sum(n))
+    full = [(1 - classifier.SHRINK) * s + classifier.SHRINK * pooled + classifier.FLOOR * np.eye(len(s)) for s in spread]
+    for i in text:
+        d = [x[i] - b.mean(0) for b in by]
+        density = [-0.5 * v @ np.linalg.inv(f) @ v - 0.5 * np.linalg.slogdet(f)[1] for v, f in zip(d, full, strict=True)]
+        odds = (density[1] - density[0]) / classifier.TEMPER + np.log((n[1] + 0.5) / (n[0] + 0.5))
+        want = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        assert abs(got[i][0] - want) < 1e-6 and got[i][1:] == (int(got[i][0] >= 0.3), held[i])
+
+
 def test_classifier_odd_rows(spark, odd, odd_rows):
     few = spark.createDataFrame([(0, 1), (2, None), (4, 1)], "doc_id long, quality int")
     got = classifier.quality(odd, few).collect()
@@ -400,7 +422,9 @@ def test_mix_order_is_key_order(odd):
 # 7 archives
 
 
-def test_warc(spark):
+@pytest.mark.parametrize("broadcast", [1 << 18, 0])
+def test_warc(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(work, "BROADCAST_VALUES", broadcast)
     rows = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/\r\n2", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "é" * 50000), (6, "u", "WARC/1.0\r\n\r\n"), (7, "u", "<p>x</p>"), (7, "u", "<p>x</p>"), (None, "u", "<p>x</p>")]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
     assert len(got) == len(rows)
