@@ -51,6 +51,13 @@ SCORING = {
     "block_churn": 0.5,
 }
 DEFAULTS = {"scoring": SCORING, "push": {"max_per_day": 5}}
+#: Names under which a config file may give a value of ``SCORING``, or of a group of its own.
+NAMES = {
+    "min_score_to_archive": "archive", "min_score_to_push": "push", "min_independent_sources": "min_sources", "samples_cap": "samples",
+    "dedup_cosine_threshold": "jaccard", "dedup_simhash_hamming": "hamming", "candidate_merge_band": "band", "resurface_score_jump": "score_jump",
+    "resurface_velocity_jump": "velocity_jump", "effort_tbd_default": "effort_unknown", "max_push_churn_frac": "max_churn", "catastrophic_tau": "block_tau", "catastrophic_churn_frac": "block_churn",
+}
+TABLES = {"impact_anchors": IMPACT, "urgency_score": URGENCY, "segment_score": SEGMENT}
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -79,6 +86,51 @@ def load(path: str | None = None, product: str | None = None) -> dict:
     return deepcopy(DEFAULTS)
 
 
+def resolved(config: dict) -> dict:
+    """The values of ``SCORING`` under a loaded configuration. What is unknown, or of another type, is left out; a long name wins over a short one."""
+    given = dict(config.get("scoring", {}))
+    given |= given.pop("weight_regression", None) or {}
+    out = dict(SCORING)
+    for name, value in sorted(given.items(), key=lambda x: x[0] in NAMES):
+        name = NAMES.get(name, name)
+        if name in SCORING and isinstance(value, (int, float, list, tuple)) and not isinstance(value, bool):
+            out[name] = tuple(value) if isinstance(value, (list, tuple)) else type(SCORING[name])(value)
+    cap = (config.get("push") or {}).get("max_per_day")
+    return out | ({"push_cap": cap} if isinstance(cap, int) else {})
+
+
+def use(config: dict) -> None:
+    """Lay a loaded configuration over the values that plans are built with."""
+    SCORING.update(resolved(config))
+    for name, table in TABLES.items():
+        given = config.get("scoring", {}).get(name)
+        table.update(given if isinstance(given, dict) else {})
+
+
+def doctor(folder: str) -> list[tuple[str, bool, str]]:
+    """Checks of a configuration folder: name, passed, detail. A registry of products, or a flat layout."""
+    at = Path(folder)
+    out = [("folder exists", at.is_dir(), folder)]
+    registry = at / "registry.json"
+    if registry.is_file():
+        try:
+            told = json.loads(registry.read_text(encoding="utf-8-sig"))
+            items = told.get("products", told.get("tools", told.get("entries")))
+            out += [("registry is JSON", True, ""), ("schema version is 1", told.get("schema_version") == 1, repr(told.get("schema_version"))), ("registry lists products", isinstance(items, list), type(items).__name__)]
+            slugs = [x["slug"] for x in items if isinstance(x, dict) and x.get("slug")] if isinstance(items, list) else []
+            out += [(f"product {x} has a folder", (at / "products" / x).is_dir(), f"products/{x}") for x in slugs]
+        except (ValueError, AttributeError) as e:
+            out.append(("registry is JSON", False, str(e)))
+    else:
+        out.append(("a layout is there", any((at / x).is_file() for x in ("priority.json", "watchlist.json")), "registry.json, priority.json or watchlist.json"))
+    ignore = (at / ".gitignore").read_text(errors="replace") if (at / ".gitignore").is_file() else None
+    out += [("secrets folder exists", (at / "secrets").is_dir(), "secrets"), ("ignore file exists", ignore is not None, ".gitignore")]
+    if ignore is not None:
+        out.append(("ignore file covers secrets", "secrets/" in ignore and "*.env" in ignore, "secrets/ and *.env"))
+    tied = [x for x in ("registry.json", ".gitignore", "secrets/README.md", "priority.json", "taxonomy.json") if (at / x).is_file() and any(p in (at / x).read_text(errors="replace") for p in ("C:\\", "C:/", "/home/", "/Users/", "/root/"))]
+    return [*out, ("no absolute paths", not tied, ", ".join(tied))]
+
+
 def check(config: dict) -> list[tuple[str, bool, str]]:
     """Checks of a configuration: name, passed, detail."""
     s = config.get("scoring", {})
@@ -89,3 +141,7 @@ def check(config: dict) -> list[tuple[str, bool, str]]:
         ("band ends at the match threshold", low < high <= s.get("jaccard", 0), f"{low} to {high}"),
         ("push cap is positive", config.get("push", {}).get("max_per_day", 0) > 0, str(config.get("push"))),
     ]
+
+
+if os.environ.get("PLAINTIDE_CONFIG"):
+    use(load())

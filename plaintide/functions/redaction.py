@@ -117,6 +117,39 @@ def redact_each(lists: pd.Series) -> pd.Series:
     return lists.map(lambda xs: None if xs is None else [redact_text(x)[0] if x else x for x in xs])
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def pii_each(lists: pd.Series) -> pd.Series:
+    """Which texts of a list have personal data; empty and null ones have none."""
+    return lists.map(lambda xs: None if xs is None else [bool(x) and bool(redact_text(x)[2]) for x in xs])
+
+
+def one_rule(rule: int, text: str | None) -> tuple[str, int, int]:
+    """A rule of ``RULES`` by itself, on the text as it is: redacted text, matches, distinct values."""
+    kind, pattern, must, accept, value = RULES[rule]
+    numbers: dict[str, int] = {}
+    found = 0
+
+    def put(m: re.Match) -> str:
+        nonlocal found
+        if accept and not accept(m.group()):
+            return m.group()
+        found += 1
+        return f"[{kind}_{numbers.setdefault(value(m), len(numbers) + 1)}]"
+
+    out = pattern.sub(put, text or "") if not must or must in (text or "") else text or ""
+    return out, found, len(numbers)
+
+
+def by_rule(rule: int, text: Column) -> Column:
+    """:func:`one_rule` as a column: redacted, found, distinct."""
+
+    @F.pandas_udf("redacted string, found long, distinct long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one_rule(rule, x) for x in texts], columns=["redacted", "found", "distinct"])
+
+    return run(text)
+
+
 @F.pandas_udf(T.StringType())
 def normalised(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: normalise(x or ""))

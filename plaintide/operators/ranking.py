@@ -6,12 +6,15 @@ partitions, plus the sizes of the partitions before. No task sees more than one
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import HORIZON, SCORING, TIER_RANK
 from plaintide.functions import scoring, text
+from plaintide.operators import pool, records
 from plaintide.storage import cut, shuffle_partitions
 
 
@@ -58,7 +61,7 @@ def split_pools(cards: DataFrame) -> DataFrame:
 
 
 def errors(cards: DataFrame) -> DataFrame:
-    """``errs``: what keeps a card from passing; empty if it may pass."""
+    """``errs``: what keeps a card from passing; empty if it may pass. Texts that would be shown, and evidence, must have no personal data."""
     c = F.col
     checks = [
         (F.coalesce(c("canonical_key"), F.lit("")) == "", "no key"),
@@ -71,7 +74,15 @@ def errors(cards: DataFrame) -> DataFrame:
         (F.coalesce(c("internal_mentions"), F.lit(0)) < 1, "no internal evidence"),
         ((F.coalesce(c("final_score"), F.lit(0.0)) >= SCORING["push"]) & (F.coalesce(c("sources"), F.lit(0)) < SCORING["min_sources"]), "one source"),
     ]
-    return cards.withColumn("errs", F.array_compact(F.array(*[F.when(bad, why) for bad, why in checks])))
+    told = cards.withColumn("errs", F.array_compact(F.array(*[F.when(bad, why) for bad, why in checks])))
+    fields = [f for f in records.CARD_TEXTS if f in cards.columns]
+    evidence = "evidence" if "evidence" in cards.columns else None
+    if not fields:
+        return told
+    names = F.filter("leaked", lambda x: ~x.startswith("evidence["))
+    shown = F.filter("leaked", lambda x: x.startswith("evidence["))
+    personal = [F.when(F.size(x) > 0, F.concat(F.lit("personal data in "), F.array_join(x, " "))) for x in (names, shown)]
+    return records.leaks(told, fields, evidence).withColumn("errs", F.concat("errs", F.array_compact(F.array(*personal)))).drop("leaked")
 
 
 def gate(cards: DataFrame) -> DataFrame:
@@ -86,6 +97,20 @@ def gate(cards: DataFrame) -> DataFrame:
     return marked.withColumn("pushable", F.col("_top").isNotNull()).withColumn("archivable", archivable).withColumn("digest_only", archivable & F.col("_top").isNull()).drop("_top")
 
 
+def process(current: DataFrame, prior: DataFrame) -> DataFrame:
+    """A day's batch as counts that add up, one row. Both are scored cards with what :func:`plaintide.operators.pool.evolve` compares.
+
+    Every card is matched with its prior row and is new, resurfaces or is suppressed; what is not suppressed goes through the gate; what
+    passes is pushed, archived or left out. candidates = fresh + resurfaced + suppressed, and fresh + resurfaced = blocked + passed.
+    """
+    decided = cut(pool.evolve(current, prior), "decided")
+    branches = decided.agg(F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("branch") == b).alias(n) for b, n in (("NEW", "fresh"), ("RESURFACE", "resurfaced"), ("SUPPRESS", "suppressed"))])
+    gated = gate(decided.where("branch <> 'SUPPRESS'")).agg(
+        F.count_if(~F.col("passed")).alias("blocked"), *[F.count_if(c).alias(n) for c, n in (("passed", "passed"), ("pushable", "pushed"), ("archivable", "archived"), ("digest_only", "digest_only"))]
+    )
+    return branches.join(F.broadcast(gated)).withColumn("empty_day", F.col("archived") == 0)
+
+
 def headlines(cards: DataFrame, cap: int = 5) -> DataFrame:
     """The first ``cap`` demands of the queue as one line each: a top-k, never a full sort."""
     kept = cards.where(~scoring.is_cut(F.col("tier"), F.col("kano")))
@@ -105,3 +130,35 @@ def digest(cards: DataFrame, date: str) -> DataFrame:
     body = queue.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
     head = F.concat(F.lit(f"# Demand digest {date}\n\n> candidates "), F.col("n").cast("string"), F.lit(", actionable "), (F.col("n") - F.col("cut")).cast("string"), F.lit(", noise "), F.col("cut").cast("string"), F.lit("\n\n"))
     return counts.join(F.broadcast(body)).select(F.concat(head, F.when(F.col("body") == "", "**No demand cleared the floor today.**").otherwise(F.col("body"))).alias("markdown"))
+
+
+def digest_file(markdown: str, folder: str, date: str) -> str:
+    """Write a day's digest to ``digests/YYYY/YYYY-MM-DD.md`` below ``folder``; a second run of the day replaces it."""
+    path = Path(folder) / "digests" / date[:4] / f"{date}.md"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(markdown, encoding="utf-8", newline="\n")
+    return str(path)
+
+
+def digest_items(items: DataFrame, days: DataFrame) -> DataFrame:
+    """``items`` (key, title, date, summary) with one for each of ``days`` (date, summary), keyed by its day: a day that is told again replaces its item."""
+    new = days.groupBy("date").agg(F.max_by("summary", "summary").alias("summary"))
+    key = F.concat(F.lit("demand:digest:"), "date")
+    rows = new.select(key.alias("key"), F.concat(F.lit("demand digest "), "date").alias("title"), "date", F.left("summary", F.lit(200)).alias("summary"))
+    return pool.upsert(items.select(*rows.columns), rows, "key")
+
+
+def summary(rows: DataFrame, day: Column, top: int = 15, limit: int = 3900) -> DataFrame:
+    """One row with the day's text: what was touched, the backlog, the best of today and of all. Only ``2 * top`` rows are gathered."""
+    seen = rows.withColumn("touched", (F.to_date("last_seen") == day) | (F.to_date("first_seen") == day))
+    counts = seen.agg(F.count_if("touched").alias("touched"), F.count(F.lit(1)).alias("backlog"))
+    order = [F.desc("final_score"), F.col("demand_id")]
+    head = F.concat(F.lit('"'), F.left("title", F.lit(70)), F.lit('" ('), "grade", F.lit(" "), F.col("final_score").cast("string"), F.lit(", reach "), F.col("reach").cast("long").cast("string"))
+    text_of = lambda df, line, name: df.orderBy(*order).limit(top).withColumn("n", F.row_number().over(W.orderBy(*order))).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", line.alias("line")))), lambda x: x["line"]), "\n").alias(name))
+    today = text_of(seen.where("touched"), F.concat(F.lit("- "), head, F.lit(")")), "today")
+    best = text_of(seen, F.concat(F.col("n").cast("string"), F.lit(". "), head, F.lit(", "), "status", F.lit(")")), "best")
+    whole = F.concat(
+        F.lit("Daily demand summary, "), day.cast("string"), F.lit("\nTouched today: "), F.col("touched").cast("string"), F.lit(" | Total backlog: "), F.col("backlog").cast("string"), F.lit("\n"),
+        F.when(F.col("touched") > 0, F.concat(F.lit("\nToday\n"), "today", F.lit("\n"))).otherwise(""), F.lit("\nAll-time top "), F.least(F.lit(top), "backlog").cast("string"), F.lit("\n"), "best",
+    )
+    return counts.join(F.broadcast(today)).join(F.broadcast(best)).select("touched", "backlog", F.left(whole, F.lit(limit)).alias("message"))

@@ -39,9 +39,19 @@ def embed(cards: DataFrame) -> DataFrame:
     return cards.select("id", title.alias("title"), text.alias("description"), F.size(fields).alias("n_fields"), total.alias("total"), ((total <= TOTAL) & (F.length(title) <= TITLE_MAX) & (F.length(title) > 0)).alias("ok"))
 
 
-def leaks(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """``leaked``: fields whose text still has personal data; nothing goes out unless it is empty."""
-    return rows.withColumn("leaked", F.array_compact(F.array(*[F.when(redaction.has_pii(F.col(f)), F.lit(f)) for f in fields])))
+def leaks(rows: DataFrame, fields: list[str], evidence: str | None = None) -> DataFrame:
+    """``leaked``: fields whose text still has personal data, ``evidence[i].redacted_snippet`` among them; nothing goes out unless it is empty.
+
+    ``evidence`` is an array of (redacted_snippet, quote); an empty snippet is judged by its quote. All texts of a row go through the rules at once.
+    """
+    texts, names = F.array(*[F.col(f).cast("string") for f in fields]), F.array(*map(F.lit, fields))
+    if evidence:
+        given = lambda x: F.when(F.coalesce(x, F.lit("")) != "", x)
+        shown = F.coalesce(evidence, F.array())
+        texts = F.concat(texts, F.transform(shown, lambda e: F.coalesce(given(e["redacted_snippet"]), given(e["quote"]))))
+        names = F.concat(names, F.transform(shown, lambda e, i: F.concat(F.lit("evidence["), i.cast("string"), F.lit("].redacted_snippet"))))
+    flagged = rows.withColumn("_flags", redaction.pii_each(texts))
+    return flagged.withColumn("leaked", F.filter(names, lambda x, i: F.get("_flags", i))).drop("_flags")
 
 
 def scrub(entities: Column) -> Column:
@@ -84,21 +94,6 @@ def rescored(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rice_raw", raw).withColumn("final_score", scoring.final_score(raw)).withColumn("grade", scoring.grade(F.col("final_score")))
 
 
-def merge_snapshot(prior: DataFrame, current: DataFrame) -> DataFrame:
-    """One row per demand: first and last seen, mentions that never shrink, sources of both."""
-    p, c = prior.alias("p"), current.alias("c")
-    j = p.join(c, F.col("p.demand_id") == F.col("c.demand_id"), "full")
-    none = F.array().cast("array<string>")
-    new = F.coalesce("c.new_mentions", F.lit(0))
-    return j.select(
-        F.coalesce("p.demand_id", "c.demand_id").alias("demand_id"),
-        F.least("p.first_seen", "c.first_seen").alias("first_seen"),
-        F.greatest("p.last_seen", "c.last_seen").alias("last_seen"),
-        F.greatest(F.coalesce("p.mention_count", F.lit(0)) + new, F.coalesce("c.mention_count", F.lit(0))).alias("mention_count"),
-        F.array_sort(F.array_union(F.coalesce("p.source_set", none), F.coalesce("c.source_set", none))).alias("source_set"),
-    )
-
-
 def hour_gate(rows: DataFrame, hour: int, marker: Column) -> DataFrame:
     """Rows at which a daily summary is due: the hour has come and today's is not written."""
     return rows.where((F.hour("ts") >= hour) & ~marker.eqNullSafe(F.to_date("ts")))

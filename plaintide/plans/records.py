@@ -34,7 +34,10 @@ def snk_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def flt_dlp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.leaks(documents(spark, sf_dir), ["text", "source"]).select("doc_id", F.array_join("leaked", ",").alias("leaked"))
+    """Documents as cards: the whole text is the title, its lines are the evidence."""
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("redacted_snippet"), F.lit("").alias("quote")))
+    cards = documents(spark, sf_dir).select("doc_id", F.col("text").alias("title"), F.col("source").alias("summary"), lines.alias("evidence"))
+    return records.leaks(cards, ["title", "summary"], "evidence").select("doc_id", F.array_join("leaked", ",").alias("leaked"))
 
 
 @query()
@@ -65,24 +68,6 @@ def fn_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.rescored(rows)
 
 
-EXT = f"""WITH m AS ({MENTIONS}), p AS (SELECT demand_id, min(ts) AS f, max(ts) AS l, count(*) AS n, list(DISTINCT channel) AS c FROM m WHERE ts < TIMESTAMP '{CUTOFF}' GROUP BY 1), q AS (SELECT demand_id, min(ts) AS f, max(ts) AS l, count(*) AS n, list(DISTINCT channel) AS c FROM m WHERE ts >= TIMESTAMP '{CUTOFF}' GROUP BY 1)
-SELECT demand_id, CAST(least(p.f, q.f) AS VARCHAR) AS first_seen, CAST(greatest(p.l, q.l) AS VARCHAR) AS last_seen, greatest(coalesce(p.n, 0) + coalesce(q.n, 0), coalesce(q.n, 0)) AS mention_count,
-array_to_string(list_sort(list_distinct(list_concat(coalesce(p.c, []), coalesce(q.c, [])))), ',') AS source_set FROM p FULL JOIN q USING (demand_id)"""
-
-
-@query(EXT)
-def agg_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = mentions(spark, sf_dir)
-    day = F.lit(CUTOFF).cast("timestamp")
-
-    def side(rows: DataFrame) -> DataFrame:
-        n = F.count(F.lit(1))
-        return rows.groupBy("demand_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), n.alias("mention_count"), n.alias("new_mentions"), F.collect_set("channel").alias("source_set"))
-
-    done = records.merge_snapshot(side(m.where(F.col("ts") < day)), side(m.where(F.col("ts") >= day)))
-    return done.select("demand_id", F.col("first_seen").cast("string").alias("first_seen"), F.col("last_seen").cast("string").alias("last_seen"), "mention_count", F.array_join("source_set", ",").alias("source_set"))
-
-
 @query("SELECT event_id FROM events WHERE hour(ts) >= 18 AND CAST(ts AS DATE) <> DATE '2024-01-05'")
 def dt_hourgate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.hour_gate(table(spark, sf_dir, "events"), 18, F.lit("2024-01-05").cast("date")).select("event_id")
@@ -96,9 +81,21 @@ def dt_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("demand:digest:"), F.col("d").cast("string")).alias("item")).distinct()
 
 
-@query(over("SELECT count(*) AS backlog, count(*) FILTER (WHERE tier = 'tier0') AS urgent, round(max(final_score), 4) AS best FROM s"))
+STATUS_OF = ("new", "triaged", "in_progress", "shipped", "wontfix", "duplicate")
+_HEAD = "concat('\"', substr(title, 1, 70), '\" (', grade, ' ', CAST(final_score AS VARCHAR), ', reach ', CAST(CAST(reach AS BIGINT) AS VARCHAR)"
+_DAY = "2001-10-20"
+
+
+@query(over(f""", r AS (SELECT *, CAST(last_seen AS DATE) = DATE '{_DAY}' AS touched, list_extract({list(STATUS_OF)}, CAST(demand_id % 6 AS INTEGER) + 1) AS status FROM s),
+td AS (SELECT string_agg(concat('- ', {_HEAD}, ')')), chr(10) ORDER BY n) AS x FROM (SELECT *, row_number() OVER (ORDER BY final_score DESC, demand_id) AS n FROM r WHERE touched) WHERE n <= 15),
+bt AS (SELECT string_agg(concat(CAST(n AS VARCHAR), '. ', {_HEAD}, ', ', status, ')')), chr(10) ORDER BY n) AS x FROM (SELECT *, row_number() OVER (ORDER BY final_score DESC, demand_id) AS n FROM r) WHERE n <= 15),
+ct AS (SELECT count(*) FILTER (WHERE touched) AS touched, count(*) AS backlog FROM r)
+SELECT touched, backlog, substr(concat('Daily demand summary, {_DAY}', chr(10), 'Touched today: ', CAST(touched AS VARCHAR), ' | Total backlog: ', CAST(backlog AS VARCHAR), chr(10),
+CASE WHEN touched > 0 THEN concat(chr(10), 'Today', chr(10), td.x, chr(10)) ELSE '' END, chr(10), 'All-time top ', CAST(least(15, backlog) AS VARCHAR), chr(10), bt.x), 1, 3900) AS message FROM ct, td, bt""").replace("s3) ,", "s3),"))
 def rnd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).agg(F.count(F.lit(1)).alias("backlog"), F.count_if(F.col("tier") == "tier0").alias("urgent"), F.round(F.max("final_score"), 4).alias("best"))
+    status = F.element_at(F.array(*map(F.lit, STATUS_OF)), (F.col("demand_id") % 6 + 1).cast("int"))
+    rows = scored(spark, sf_dir).withColumns({"status": status, "first_seen": F.lit(None).cast("timestamp")})
+    return ranking.summary(rows.withColumn("first_seen", F.coalesce("first_seen", "last_seen")), F.lit(_DAY).cast("date"))
 
 
 @query(name="rnd_headlines")

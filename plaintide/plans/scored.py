@@ -111,35 +111,51 @@ def srt_pools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.split_pools(scored(spark, sf_dir)).select("demand_id", "final_score", "pool")
 
 
-ERRS = """e2 AS (SELECT *, list_filter([CASE WHEN canonical_key = '' THEN 'no key' END, CASE WHEN track = '' THEN 'no track' END,
-  CASE WHEN internal_mentions < 1 THEN 'no internal evidence' END, CASE WHEN final_score >= 70e0 AND sources < 2 THEN 'one source' END], lambda x: x IS NOT NULL) AS errs FROM s),
+def _cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shown(scored(spark, sf_dir))
+
+
+def _shown(s: DataFrame) -> DataFrame:
+    """Scored demands with texts to show: an address in some summaries, a number in some evidence."""
+    k = F.col("demand_id")
+    summary = F.when(k % 17 == 0, F.concat(F.lit("write to user"), k.cast("string"), F.lit("@mail.org"))).otherwise("plain words")
+    snippet = F.when(k % 19 == 0, "").otherwise("a quote")
+    quote = F.when(k % 19 == 0, "call +1 415 867 5309 now").otherwise("")
+    return s.withColumn("summary", summary).withColumn("evidence", F.array(F.struct(snippet.alias("redacted_snippet"), quote.alias("quote"))))
+
+
+ERRS = """e2 AS (SELECT *, list_filter([CASE WHEN coalesce(canonical_key, '') = '' THEN 'no key' END, CASE WHEN coalesce(track, '') = '' THEN 'no track' END,
+  CASE WHEN rice_raw IS NULL THEN 'no rice' END, CASE WHEN opportunity IS NULL THEN 'no opportunity' END, CASE WHEN wsjf IS NULL THEN 'no urgency' END,
+  CASE WHEN NOT coalesce(final_score BETWEEN 0 AND 100, false) THEN 'score out of range' END, CASE WHEN NOT coalesce(tier IN ('tier0', 'tier1', 'tier2', 'backlog', 'cut'), false) THEN 'unknown tier' END,
+  CASE WHEN coalesce(internal_mentions, 0) < 1 THEN 'no internal evidence' END, CASE WHEN final_score >= 70e0 AND sources < 2 THEN 'one source' END,
+  CASE WHEN demand_id % 17 = 0 THEN 'personal data in summary' END, CASE WHEN demand_id % 19 = 0 THEN 'personal data in evidence[0].redacted_snippet' END], lambda x: x IS NOT NULL) AS errs FROM s),
 g AS (SELECT *, len(errs) = 0 AS passed, tier = 'tier0' AS first FROM e2),
 t AS (SELECT demand_id FROM g WHERE passed AND (first OR final_score >= 70e0) ORDER BY CASE WHEN first THEN 0 ELSE 1 END, CASE WHEN first THEN demand_id END NULLS FIRST, final_score DESC, demand_id LIMIT 5)"""
 
 
 @query(over(f", {ERRS} SELECT demand_id, array_to_string(errs, ',') AS errs, passed FROM g").replace("s3) ,", "s3),"))
 def flt_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.gate(scored(spark, sf_dir)).select("demand_id", F.array_join("errs", ",").alias("errs"), "passed")
+    return ranking.gate(_cards(spark, sf_dir)).select("demand_id", F.array_join("errs", ",").alias("errs"), "passed")
 
 
 @query(over(f", {ERRS} SELECT demand_id, passed, demand_id IN (SELECT demand_id FROM t) AS pushable, passed AND (first OR final_score >= 40e0) AS archivable, passed AND (first OR final_score >= 40e0) AND demand_id NOT IN (SELECT demand_id FROM t) AS digest_only FROM g").replace("s3) ,", "s3),"))
 def evo_gate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.gate(scored(spark, sf_dir)).select("demand_id", "passed", "pushable", "archivable", "digest_only")
+    return ranking.gate(_cards(spark, sf_dir)).select("demand_id", "passed", "pushable", "archivable", "digest_only")
 
 
 @query(over(f", {ERRS} SELECT demand_id, tier, final_score FROM g WHERE demand_id IN (SELECT demand_id FROM t)").replace("s3) ,", "s3),"))
 def top_push(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.gate(scored(spark, sf_dir)).where("pushable").select("demand_id", "tier", "final_score")
+    return ranking.gate(_cards(spark, sf_dir)).where("pushable").select("demand_id", "tier", "final_score")
 
 
 @query(over(f", {ERRS} SELECT demand_id, final_score FROM g WHERE passed AND (first OR final_score >= 40e0)").replace("s3) ,", "s3),"))
 def top_arch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.gate(scored(spark, sf_dir)).where("archivable").select("demand_id", "final_score")
+    return ranking.gate(_cards(spark, sf_dir)).where("archivable").select("demand_id", "final_score")
 
 
 @query(over(f", {ERRS} SELECT CAST(sum(internal_mentions) AS BIGINT) AS internal, CAST(sum(external_mentions) AS BIGINT) AS external, count(*) AS candidates, count(*) FILTER (WHERE demand_id IN (SELECT demand_id FROM t)) AS pushed, count(*) FILTER (WHERE passed) AS passed FROM g").replace("s3) ,", "s3),"))
 def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = ranking.gate(scored(spark, sf_dir))
+    g = ranking.gate(_cards(spark, sf_dir))
     return g.agg(F.sum("internal_mentions").alias("internal"), F.sum("external_mentions").alias("external"), F.count(F.lit(1)).alias("candidates"), F.count_if("pushable").alias("pushed"), F.count_if("passed").alias("passed"))
 
 
@@ -287,9 +303,13 @@ def evo_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("demand_id", "branch", "score_delta", F.array_join("new_sources", ",").alias("new_sources"), "crossed_two", "competitor_shipped", "velocity_jumped", "external_new", "escalated")
 
 
-@query(f"WITH x AS ({EVO}) SELECT branch, count(*) AS n FROM x GROUP BY branch")
+@query(f"""WITH x AS ({EVO}), sc AS ({over("SELECT * FROM s")}), act AS (SELECT sc.* FROM sc JOIN x USING (demand_id) WHERE branch <> 'SUPPRESS'), {ERRS.replace("AS errs FROM s)", "AS errs FROM act)")},
+q AS (SELECT *, passed AND (first OR final_score >= 40e0) AS archivable, demand_id IN (SELECT demand_id FROM t) AS pushable FROM g)
+SELECT (SELECT count(*) FROM x) AS candidates, (SELECT count(*) FROM x WHERE branch = 'NEW') AS fresh, (SELECT count(*) FROM x WHERE branch = 'RESURFACE') AS resurfaced, (SELECT count(*) FROM x WHERE branch = 'SUPPRESS') AS suppressed,
+count(*) FILTER (WHERE NOT passed) AS blocked, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE pushable) AS pushed, count(*) FILTER (WHERE archivable) AS archived,
+count(*) FILTER (WHERE archivable AND NOT pushable) AS digest_only, count(*) FILTER (WHERE archivable) = 0 AS empty_day FROM q""")
 def evo_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evo_decide(spark, sf_dir).groupBy("branch").agg(F.count(F.lit(1)).alias("n"))
+    return ranking.process(_shown(_side(spark, sf_dir, None)), _side(spark, sf_dir, CUTOFF))
 
 
 @query(over("SELECT s.demand_id AS candidate_id, s.canonical_key, f.match FROM s LEFT JOIN (SELECT canonical_key, min(demand_id) AS match FROM s WHERE demand_id % 2 = 0 GROUP BY 1) f USING (canonical_key)"))
@@ -346,11 +366,6 @@ def st_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("demand_id", text.idempotency_key(k).alias("idempotency_key"), text.demand_id(k).alias("id"))
 
 
-@query(over("SELECT canonical_key, count(*) AS demands, max(final_score) AS best, min(demand_id) AS first_id FROM s GROUP BY 1"))
-def snk_pool_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).groupBy("canonical_key").agg(F.count(F.lit(1)).alias("demands"), F.max("final_score").alias("best"), F.min("demand_id").alias("first_id"))
-
-
 @query(f"""{BASE}, o AS (SELECT demand_id, final_score, tier FROM s WHERE demand_id % 3 <> 0), n AS (SELECT demand_id, final_score - 1e0 AS final_score, 'backlog' AS tier FROM s WHERE demand_id % 5 = 0)
 SELECT demand_id, CASE WHEN n.demand_id IS NULL THEN o.final_score ELSE n.final_score END AS final_score, CASE WHEN n.demand_id IS NULL THEN o.tier ELSE n.tier END AS tier FROM o FULL JOIN n USING (demand_id)""")
 def snk_upsert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:

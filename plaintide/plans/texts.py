@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import TAXONOMY
@@ -391,11 +392,6 @@ def st_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.fix_markdown(_places(spark, sf_dir)).select("place", "n", F.md5("fixed").alias("digest"))
 
 
-@query("SELECT count(*) FILTER (WHERE length(text) > 0) AS examined, count(*) FILTER (WHERE length(text) = 0) AS skipped FROM documents")
-def agg_receipt(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.coverage(_places(spark, sf_dir), F.length("text") > 0)
-
-
 @query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
 SELECT a.conv_id AS thread, a.turn AS seq, substr(coalesce(string_agg(substr(b.text, 1, 160), chr(10) ORDER BY b.turn) FILTER (WHERE b.role = 'user'), ''), 1, 1500) AS context
 FROM x a LEFT JOIN x b ON a.conv_id = b.conv_id AND b.n BETWEEN a.n - 6 AND a.n - 1 GROUP BY 1, 2""")
@@ -436,15 +432,11 @@ def prj_demand_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.demand_rows(rows).select("conv_id", "turn", "canonical_key")
 
 
-@query("SELECT source AS key, CAST(n AS BIGINT) AS place, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM (SELECT source, min(doc_id) AS doc_id FROM documents WHERE trim(text, ' ') <> '' GROUP BY source, substr(text, 1, 120))) WHERE n <= 8")
-def agg_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select(F.col("source").alias("key"), F.col("doc_id").alias("ordinal"), F.col("text").alias("snippet"))
-    return pool.merge_evidence(rows).select("key", F.col("place").cast("long").alias("place"), F.col("ordinal").alias("doc_id"))
-
-
-@query("SELECT user_id, min(event_id) AS first_event, count(DISTINCT event_type) AS types FROM events GROUP BY 1")
+@query("SELECT user_id, event_type, min(event_id) AS first_event, CAST(row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) AS BIGINT) AS place FROM events WHERE event_type <> '' GROUP BY 1, 2")
 def agg_distinct_auth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.min("event_id").alias("first_event"), F.count_distinct("event_type").alias("types"))
+    """Each value of a key once, in the order of its first appearance: reduced before it is numbered."""
+    firsts = table(spark, sf_dir, "events").where("event_type <> ''").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+    return firsts.withColumn("place", F.row_number().over(W.partitionBy("user_id").orderBy("first_event")).cast("long"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS iso FROM orders")
