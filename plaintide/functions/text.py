@@ -127,15 +127,25 @@ def truncate(text: Column, cap: int) -> Column:
     return F.when(F.length(whole) <= cap, whole).when(last >= cap * 0.5, F.trim(F.left(head, last))).otherwise(F.concat(F.rtrim(head), F.lit("…")))
 
 
+def prose_words(text: Column) -> Column:
+    """Lower-case words of prose: code fences, table rows, link targets and markup are taken out first. A rule runs only where its marks are."""
+
+    def without(t: Column, mark: str, pattern: str, put: str) -> Column:
+        return F.when(F.contains(t, F.lit(mark)), F.regexp_replace(t, pattern, put)).otherwise(t)
+
+    bare = without(F.coalesce(text, F.lit("")), "```", r"(?s)```.*?```", " ")
+    bare = without(bare, "|", r"(?m)^\s*\|.*\|\s*$", " ")
+    bare = without(bare, "](", r"\[([^\]]*)\]\([^)]*\)", "$1")
+    bare = F.translate(bare, "`*_#>", "     ")
+    # most words show a plain letter, and need no slower look
+    return F.filter(F.split(F.lower(bare), r"(?U)\s+"), lambda w: w.rlike("[a-z]") | ((w != "") & ~w.rlike(r"(?U)^[\W\d_]+$")))
+
+
 def shingles(text: Column, n: int = 8) -> Column:
-    """Distinct n-word windows over prose: code fences, table rows, link targets and markup are taken out first."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?s)```.*?```", " ")
-    bare = F.regexp_replace(bare, r"(?m)^\s*\|.*\|\s*$", " ")
-    bare = F.regexp_replace(bare, r"\[([^\]]*)\]\([^)]*\)", "$1")
-    bare = F.regexp_replace(bare, r"[`*_#>]", " ")
-    words = F.filter(F.split(F.lower(bare), r"(?U)\s+"), lambda w: (w != "") & ~w.rlike(r"(?U)^[\W\d_]+$"))
-    windows = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " ")))
-    return once(words, lambda w: F.when(F.size(w) >= n, windows(w)).otherwise(F.array().cast("array<string>")))
+    """Distinct n-word windows over prose, each as a 64-bit hash of its words' hashes: no window is written out."""
+    hashes = F.transform(prose_words(text), lambda w: F.xxhash64(w))
+    windows = lambda h: F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(h) - (n - 1)), lambda i: F.xxhash64(F.slice(h, i, n))))
+    return once(hashes, lambda h: F.when(F.size(h) >= n, windows(h)).otherwise(F.array().cast("array<bigint>")))
 
 
 def keyword_hit(text: Column, keyword: str) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ GENERIC_USERS = (
 )
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
 PHONE = r"(?<![\w.\-])(?:\+?1[\s.\-])?\(?([2-9]\d{2})\)?[\s.\-]([2-9]\d{2})[\s.\-](\d{4})(?![\w.\-])"
+#: Words near which three numbers with hyphens are a shape, and how near.
+DIMENSIONS = (
+    "kernel", "layer", "layers", "dim", "dims", "dimension", "shape", "size", "sizes", "conv", "hidden", "channel", "channels", "stride", "padding", "batch", "seq", "embed", "embedding", "filter",
+    "filters", "units", "neurons", "heads", "width", "height", "resolution", "mlp", "ffn", "vocab", "window", "patch", "grid", "tile", "block", "blocks", "stage", "stages",
+)
+PHONE_NEAR = 40
+_PHONE = re.compile(PHONE)
+_DIMENSIONS = re.compile(r"\b(?:" + "|".join(DIMENSIONS) + r")\b", re.I)
 ZIP = r"(?i)(?:\bzip\s*code\b|\bzipcode\b|\bpostal\s*code\b|邮编|\bship(?:ping)?\s+to\b|\bdeliver\s+to\b|\bzip\b)[^\n]{0,24}?\b([0-9]{5})\b"
 USER_PATH = r"(?:[A-Za-z]:\\{1,4}Users\\{1,4}|/(?:home|Users)/)([A-Za-z0-9][\w.\-]{0,31})"
 #: Shapes of paths that real runs leave behind, first match wins.
@@ -63,11 +72,28 @@ def emails(texts: DataFrame) -> DataFrame:
     return found.where(bad).select("place", F.when(personal, "PERSONAL-EMAIL").otherwise("EMAIL").alias("label"), "value", F.lit("BLOCK").alias("severity"))
 
 
+def phone_numbers(value: str) -> list[str]:
+    """Numbers of one text, as area-exchange-line; a triple with hyphens alone is a shape where a word of dimensions stands near it."""
+    out = []
+    for m in _PHONE.finditer(value):
+        if "555" in m.group(1, 2):
+            continue
+        near = value[max(0, m.start() - PHONE_NEAR) : m.end() + PHONE_NEAR]
+        if not any(c in m.group() for c in "(+. ") and _DIMENSIONS.search(near):
+            continue
+        out.append("-".join(m.groups()))
+    return out
+
+
 def phones(texts: DataFrame) -> DataFrame:
-    """North American numbers; 555 as area or exchange is fiction."""
-    found = _each(texts, F.col("text").rlike(r"\d{4}"), PHONE, 0).withColumn("bare", F.right(F.regexp_replace("value", r"\D", ""), F.lit(10)))
-    fiction = (F.substring("bare", 1, 3) == "555") | (F.substring("bare", 4, 3) == "555")
-    return found.where(~fiction).select("place", F.lit("PHONE").alias("label"), "value", F.lit("BLOCK").alias("severity"))
+    """North American numbers; 555 as area or exchange is fiction, and shapes of arrays are no numbers. Only rows that match at all are looked at closely."""
+
+    @F.pandas_udf("array<string>")
+    def numbers(values: pd.Series) -> pd.Series:
+        return values.map(phone_numbers)
+
+    likely = texts.where(F.col("text").rlike(r"[2-9]\d{2}\)?[\s.\-][2-9]\d{2}[\s.\-]\d{4}"))
+    return likely.select("place", F.lit("PHONE").alias("label"), F.explode(numbers("text")).alias("value"), F.lit("BLOCK").alias("severity"))
 
 
 def zips(texts: DataFrame) -> DataFrame:
@@ -127,17 +153,18 @@ def undeclared(paths_table: DataFrame, declared: DataFrame) -> DataFrame:
 
 def shingle_overlap(left: DataFrame, right: DataFrame, n: int = 8) -> DataFrame:
     """Per left text: its distinct shingles, those that any right text holds, and their percentage."""
-    a = left.select("place", F.explode(text.shingles(F.col("text"), n)).alias("shingle")).withColumn("h", F.xxhash64("shingle"))
-    b = right.select(F.explode(text.shingles(F.col("text"), n)).alias("shingle")).select(F.xxhash64("shingle").alias("h")).distinct().withColumn("there", F.lit(1))
+    a = left.select("place", F.explode(text.shingles(F.col("text"), n)).alias("h"))
+    b = right.select(F.explode(text.shingles(F.col("text"), n)).alias("h")).distinct().withColumn("there", F.lit(1))
     joined = a.join(b, "h", "left").groupBy("place").agg(F.count(F.lit(1)).alias("total"), F.count("there").alias("shared"))
     return joined.withColumn("pct", F.round(F.col("shared") * 100.0 / F.greatest(F.lit(1), "total"), 2)).withColumn("over", F.col("pct") > DUP_PCT_MAX)
 
 
 def shared_pairs(texts: DataFrame, n: int = 8, least: int = PAIR_MIN) -> DataFrame:
     """Pairs of texts, and how many shingles have them as their first two owners."""
-    each = texts.select("place", F.explode(text.shingles(F.col("text"), n)).alias("shingle")).select("place", F.xxhash64("shingle").alias("h"))
-    owners = each.groupBy("h").agg(F.min("place").alias("a"), F.count(F.lit(1)).alias("k"))
-    second = each.join(owners.where("k > 1"), "h").where("place > a").groupBy("h", "a").agg(F.min("place").alias("b"))
+    each = texts.select("place", F.explode(text.shingles(F.col("text"), n)).alias("h"))
+    # two owners at most leave a task for each shingle, however common it is
+    first = each.withColumn("at", F.row_number().over(W.partitionBy("h").orderBy("place"))).where(F.col("at") <= 2)
+    second = first.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b"), F.count(F.lit(1)).alias("k")).where("k > 1")
     return second.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= least)
 
 

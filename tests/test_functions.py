@@ -106,11 +106,22 @@ def test_truncate(spark):
 
 
 def test_shingles(spark):
-    got = one(spark, "One two ```code here``` three 12 four `five` [six](url) seven eight nine", text.shingles)
-    assert got == ["one two three four five six seven eight", "two three four five six seven eight nine"]
+    marked = "One two ```code here``` three 12 four `five` [six](url) seven eight nine\n| a | table |\n"
+    words = one(spark, marked, text.prose_words)
+    assert words == ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
+    assert len(one(spark, marked, text.shingles)) == 2
+    assert one(spark, marked, text.shingles) == one(spark, "one two three four five six seven eight nine", text.shingles)
+    assert one(spark, "a b c d e f g h " * 4, text.shingles) is not None and len(one(spark, "a b c d e f g h " * 4, text.shingles)) == 8
+    assert one(spark, "é 日本 _ 1 x", text.prose_words) == ["é", "日本", "x"]
     assert one(spark, None, text.shingles) == []
 
 
+def test_phone_shapes():
+    assert guard.phone_numbers("conv 512-256-1024 wide") == [] and guard.phone_numbers("ring 512-256-1024") == ["512-256-1024"]
+    assert guard.phone_numbers("layer (512) 256-1024") == ["512-256-1024"] and guard.phone_numbers("layer 512.256.1024") == ["512-256-1024"]
+    assert guard.phone_numbers("layer" + " " * 60 + "512-256-1024") == ["512-256-1024"] and guard.phone_numbers("128-512-256-1024 and 555-867-5309") == []
+
+
 def test_inline_and_dashes(spark):
     assert one(spark, "a\n b — c|`d`", text.inline) == "a b, c/'d'"
     fix = lambda s: one(spark, s, guard.fix_dashes)
@@ -203,7 +214,7 @@ def test_digest_of_an_empty_day(spark):
 def test_scanners(spark):
     df = spark.createDataFrame([(1, "ask jane.doe@gmail.com or x@gmail.com or a@example.com or b@corp.org"), (2, "call (212) 867-5309 or (555) 867-5309, zip code 94107, ship to 10001"), (3, "/home/jdoe/x and /home/runner/y")], "place long, text string")
     assert {(r["label"], r["value"]) for r in guard.emails(df).collect()} == {("PERSONAL-EMAIL", "jane.doe@gmail.com"), ("EMAIL", "b@corp.org")}
-    assert [r["value"] for r in guard.phones(df).collect()] == ["(212) 867-5309"]
+    assert [r["value"] for r in guard.phones(df).collect()] == ["212-867-5309"]
     assert [r["value"] for r in guard.zips(df).collect()] == ["94107"]
     assert [r["value"] for r in guard.paths(df).collect()] == ["jdoe"]
 
