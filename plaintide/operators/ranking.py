@@ -121,6 +121,58 @@ def headlines(cards: DataFrame, cap: int = 5) -> DataFrame:
     return ranked.select("position", "demand_id", line.alias("line"))
 
 
+# Labels of the daily message.
+HORIZON_LABEL = {"tier0": "立即", "tier1": "本周", "tier2": "本月", "backlog": "储备"}
+KANO_LABEL = {"must_be": "刚需", "performance": "期望", "delighter": "惊喜"}
+PROSE = 280
+
+
+def message(cards: DataFrame, date: str, candidates: int, cap: int = 5) -> DataFrame:
+    """One row with the day's message: a head with counts, the first ``cap`` demands with why and what to do, and how many more there are.
+
+    Cards have title, inferred_job, why, recommendation, grade, final_score, rice_raw, evidence besides the queue's columns. Only the first
+    ``cap`` rows are gathered; an empty day says so.
+    """
+    c = F.col
+    given = lambda x: F.when(x != "", x)
+    flat = lambda x: text.inline(F.coalesce(c(x), F.lit("")))
+    cut_ = scoring.is_cut(c("tier"), c("kano"))
+    counts = cards.agg(F.count_if(~cut_).alias("good"), F.count_if(cut_).alias("noise"))
+    top = cards.where(~cut_).orderBy(*queue_order()).limit(max(1, cap)).withColumn("position", F.row_number().over(W.orderBy(*queue_order())))
+    kano = scoring.lookup(F.lower(F.coalesce(c("kano"), F.lit(""))), KANO_LABEL, "")
+    horizon = scoring.lookup(F.coalesce(c("tier"), F.lit("backlog")), HORIZON_LABEL, "储备")
+    tag = F.when(kano != "", F.concat(horizon, F.lit("·"), kano)).otherwise(horizon)
+    why, rec = flat("why"), flat("recommendation")
+    stop = F.when(F.right(why, F.lit(1)).isin(*"。！？.!?；;，, "), "").otherwise("。")
+    advice = F.concat(F.lit("建议："), rec)
+    prose = text.truncate(F.when((why != "") & (rec != ""), F.concat(why, stop, advice)).when(why != "", why).when(rec != "", advice).otherwise(flat("inferred_job")), PROSE)
+    title = F.coalesce(given(flat("title")), given(flat("inferred_job")), F.lit("?"))
+    shown = lambda x: F.coalesce(c(x).cast("string"), F.lit("?"))
+    meta = F.concat(shown("grade"), F.lit(" "), shown("final_score"), F.lit(" · RICE="), shown("rice_raw"), F.lit(" · "), F.size(F.coalesce("evidence", F.array())).cast("string"), F.lit("证据"))
+    item = F.concat(F.lit("**"), c("position").cast("string"), F.lit(".【"), tag, F.lit("】"), title, F.lit("**\n"), F.when(prose != "", F.concat(prose, F.lit("\n"))).otherwise(""), meta, F.lit("\n"))
+    body = top.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", item.alias("item")))), lambda x: x["item"]), "\n").alias("body"), F.count(F.lit(1)).alias("top"))
+    extra = c("good") - c("top")
+    head = F.concat(F.lit(f"📊 **需求头条** · {date}\n合格 "), c("good").cast("string"), F.lit(" · 精选 "), c("top").cast("string"), F.lit(" · 剔噪 "), c("noise").cast("string"), F.lit(f" · 候选 {candidates}"))
+    foot = F.when(extra > 0, F.concat(F.lit("另有 "), extra.cast("string"), F.lit(" 条合格需求；完整卡片见当日私有归档。"))).otherwise("完整卡片见当日私有归档。")
+    whole = F.when(c("good") == 0, F.concat(head, F.lit("\n\n今日无合格新需求（诚实空日，非灌水；完整记录见私有归档）。"))).otherwise(F.concat(head, F.lit("\n\n"), "body", F.lit("\n"), foot))
+    return counts.join(F.broadcast(body)).select(whole.alias("message"))
+
+
+def build_cards(cards: DataFrame) -> DataFrame:
+    """Redacted cards with ``origins`` (origin:channel, sorted), ``source_set`` and ``independent_source_count`` from their evidence.
+
+    Evidence has channel, source, origin_type, redacted_snippet and quote.
+    """
+    given = lambda x: F.when(F.coalesce(x, F.lit("")) != "", x)
+    place = lambda e: F.coalesce(given(e["channel"]), given(e["source"]), F.lit(""))
+    done = records.redact_texts(cards)
+    shown = F.coalesce("evidence", F.array())
+    origins = F.array_sort(F.array_distinct(F.transform(shown, lambda e: F.concat(F.coalesce(given(e["origin_type"]), F.lit("internal")), F.lit(":"), place(e)))))
+    sources = F.array_sort(F.array_distinct(F.filter(F.transform(shown, lambda e: F.coalesce(given(e["source"]), given(e["channel"]))), lambda x: x.isNotNull())))
+    isc = F.size(F.array_distinct(F.filter(F.transform(shown, place), lambda x: x != "")))
+    return done.withColumns({"origins": origins, "source_set": sources, "independent_source_count": isc})
+
+
 def digest(cards: DataFrame, date: str) -> DataFrame:
     """One markdown text: coverage that adds up, queue lines in order, or an honest empty day. For a day's bounded card set."""
     cut = scoring.is_cut(F.col("tier"), F.col("kano"))

@@ -67,25 +67,30 @@ def scrub(entities: Column) -> Column:
     return run(entities)
 
 
-def redact_card(cards: DataFrame, salt: str | None = None) -> DataFrame:
-    """Cards with every text field and evidence snippet redacted whole, and their authors pseudonymised.
-
-    ``evidence`` has redacted_snippet and quote: an empty snippet is taken from the quote, which goes. ``authors`` has user_id, author and
-    author_hash: a user_id becomes the hash and goes; else an author without a hash does.
-    """
+def redact_texts(cards: DataFrame) -> DataFrame:
+    """Cards with every text field and evidence snippet redacted whole. An empty snippet is taken from its quote, which goes."""
     n = len(CARD_TEXTS)
     given = lambda x: F.coalesce(x, F.lit("")) != ""
     snippets = F.transform(F.coalesce("evidence", F.array()), lambda e: F.when(given(e["redacted_snippet"]), e["redacted_snippet"]).when(given(e["quote"]), e["quote"]).otherwise(e["redacted_snippet"]))
     done = cards.withColumn("_done", redaction.redact_each(F.concat(F.array(*CARD_TEXTS), snippets)))
     evidence = F.transform(F.coalesce("evidence", F.array()), lambda e, i: e.withField("redacted_snippet", F.get(F.col("_done"), i + n)).dropFields("quote"))
+    done = done.withColumns({c: F.get("_done", F.lit(i)) for i, c in enumerate(CARD_TEXTS)})
+    return done.withColumn("evidence", evidence).drop("_done")
+
+
+def redact_card(cards: DataFrame, salt: str | None = None) -> DataFrame:
+    """:func:`redact_texts`, and the authors pseudonymised.
+
+    ``authors`` has user_id, author and author_hash: a user_id becomes the hash and goes; else an author without a hash does.
+    """
+    given = lambda x: F.coalesce(x, F.lit("")) != ""
 
     def author(a: Column) -> Column:
         by_id, by_name = given(a["user_id"].cast("string")), given(a["author"]) & ~given(a["author_hash"])
         named = F.when(by_id, redaction.pseudonym(a["user_id"], salt)).when(by_name, redaction.pseudonym(a["author"], salt)).otherwise(a["author_hash"])
         return a.withField("author_hash", named).withField("author", F.when(~by_id & by_name, None).otherwise(a["author"])).dropFields("user_id")
 
-    done = done.withColumns({c: F.get("_done", F.lit(i)) for i, c in enumerate(CARD_TEXTS)})
-    return done.withColumns({"evidence": evidence, "authors": F.transform(F.coalesce("authors", F.array()), author)}).drop("_done")
+    return redact_texts(cards).withColumn("authors", F.transform(F.coalesce("authors", F.array()), author))
 
 
 def rescored(rows: DataFrame) -> DataFrame:

@@ -98,10 +98,16 @@ def rnd_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.summary(rows.withColumn("first_seen", F.coalesce("first_seen", "last_seen")), F.lit(_DAY).cast("date"))
 
 
-@query(name="rnd_headlines")
+@query(over("""SELECT concat('📊 **需求头条** · 2001-11-05', chr(10), '合格 ', CAST(good AS VARCHAR), ' · 精选 ', CAST(least(5, good) AS VARCHAR), ' · 剔噪 ', CAST(noise AS VARCHAR), ' · 候选 2000', chr(10), chr(10),
+ (SELECT string_agg(concat('**', CAST(n AS VARCHAR), '.【', CASE tier WHEN 'tier0' THEN '立即' WHEN 'tier1' THEN '本周' WHEN 'tier2' THEN '本月' ELSE '储备' END, CASE kano WHEN 'must_be' THEN '·刚需' WHEN 'performance' THEN '·期望' WHEN 'delighter' THEN '·惊喜' ELSE '' END,
+   '】', title, '**', chr(10), CASE demand_id % 4 WHEN 0 THEN 'needed daily。建议：build it' WHEN 1 THEN 'needed daily.' WHEN 2 THEN '建议：build it' ELSE 'the job' END, chr(10), grade, ' ', CAST(final_score AS VARCHAR), ' · RICE=', CAST(rice_raw AS VARCHAR), ' · 1证据', chr(10)), chr(10) ORDER BY n)
+  FROM (SELECT *, row_number() OVER (ORDER BY CASE tier WHEN 'tier0' THEN 0 WHEN 'tier1' THEN 1 WHEN 'tier2' THEN 2 WHEN 'backlog' THEN 3 WHEN 'cut' THEN 9 ELSE 5 END, final_score DESC, canonical_key, demand_id) AS n FROM s WHERE tier <> 'cut') WHERE n <= 5),
+ chr(10), CASE WHEN good > 5 THEN concat('另有 ', CAST(good - 5 AS VARCHAR), ' 条合格需求；完整卡片见当日私有归档。') ELSE '完整卡片见当日私有归档。' END) AS message FROM (SELECT count(*) FILTER (WHERE tier <> 'cut') AS good, count(*) FILTER (WHERE tier = 'cut') AS noise FROM s)"""))
 def rnd_headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = ranking.headlines(scored(spark, sf_dir))
-    return top.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda x: x["line"]), "\n").alias("message"))
+    k = F.col("demand_id")
+    why = F.when(k % 4 == 0, "needed daily").when(k % 4 == 1, "needed daily.").otherwise("")
+    told = {"inferred_job": F.lit("the job"), "why": why, "recommendation": F.when(k % 2 == 0, "build it").otherwise(""), "evidence": F.array(F.lit("one"))}
+    return ranking.message(scored(spark, sf_dir).withColumns(told), "2001-11-05", 2000)
 
 
 FLAGS_SQL = f"""WITH {PAIRS_SQL}, e AS (SELECT doc_id, list(t ORDER BY n) AS l FROM o WHERE n <= 8 GROUP BY 1), x AS (SELECT left_id, right_id, a.l AS a, b.l AS b, d.lang = f.lang AS same, len(list_filter(a.l, lambda v: list_contains(b.l, v))) AS k

@@ -52,7 +52,6 @@ for _name, _cols in {
     "fn_final": ("final_score",),
     "fn_tier": ("tier", "reason"),
     "fn_score": ("rice_raw", "opportunity", "wsjf", "final_score", "grade", "tier", "intensity"),
-    "prj_card": ("title", "track", "canonical_key", "intensity", "final_score", "sources", "mention_count"),
 }.items():
     _columns(_name, *_cols)
 
@@ -377,3 +376,23 @@ def snk_upsert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rnd_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.digest(scored(spark, sf_dir), "2001-11-05")
+
+
+CARDS = """x AS (SELECT demand_id, list(DISTINCT concat(origin, ':', channel)) AS origins, list(DISTINCT channel) AS src FROM m GROUP BY 1)"""
+
+
+@query(over(f""", {CARDS} SELECT demand_id, title, track, canonical_key, intensity, final_score, mention_count, CASE WHEN demand_id % 17 = 0 THEN 'write to [EMAIL_1]' ELSE 'plain words' END AS summary,
+ CASE WHEN demand_id % 19 = 0 THEN 'call [PHONE_1] now' ELSE 'a quote' END AS snippet, array_to_string(list_sort(origins), ',') AS origins, array_to_string(list_sort(src), ',') AS source_set, CAST(len(src) AS INTEGER) AS independent_source_count FROM s JOIN x USING (demand_id)""").replace("s3) ,", "s3),"))
+def prj_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Demands as cards; their evidence is a mention of each origin and channel, reduced before it is listed."""
+    k = F.col("demand_id")
+    quote = F.when(k % 19 == 0, "call +1 415 867 5309 now").otherwise("a quote")
+    unit = F.struct("channel", F.lit("").alias("source"), F.col("origin").alias("origin_type"), F.lit("").alias("redacted_snippet"), quote.alias("quote"))
+    evidence = mentions(spark, sf_dir).select("demand_id", "channel", "origin").distinct().groupBy("demand_id").agg(F.sort_array(F.collect_list(unit)).alias("evidence"))
+    none = F.lit("")
+    cards = _cards(spark, sf_dir).drop("evidence").join(evidence, "demand_id").withColumns({"inferred_job": none, "why": none, "recommendation": none, "action": none})
+    done = ranking.build_cards(cards)
+    return done.select(
+        "demand_id", "title", "track", "canonical_key", "intensity", "final_score", "mention_count", "summary", F.col("evidence")[0]["redacted_snippet"].alias("snippet"), F.array_join("origins", ",").alias("origins"),
+        F.array_join("source_set", ",").alias("source_set"), "independent_source_count",
+    )

@@ -204,14 +204,20 @@ def st_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(spark, sf_dir, 0.45)
 
 
-@query(f"WITH {PAIRS_SQL} SELECT left_id, right_id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id DESC) AS n FROM s WHERE similarity >= 0.83e0) WHERE n = 1")
+MATCH_SQL = f"""WITH {PAIRS_SQL}, sh AS (WITH {SIMHASH_SQL.replace("item_id", "doc_id").replace("FROM benchmark", "FROM documents")} SELECT doc_id, bits FROM f),
+ck AS (SELECT d.doc_id, min(d.doc_id) OVER (PARTITION BY coalesce(l, ''), d.lang) AS by_key FROM documents d LEFT JOIN (SELECT doc_id, string_agg(t, '|' ORDER BY t) AS l FROM o WHERE n <= 8 GROUP BY 1) e ON d.doc_id = e.doc_id),
+l AS (SELECT z.doc_id, list(z.t ORDER BY o.n) AS toks, list(z.t ORDER BY o.n)[1:8] AS ents FROM z JOIN o ON z.doc_id = o.doc_id AND z.t = o.t GROUP BY 1),
+x AS (SELECT s.*, d.lang = f.lang AS same, len(list_intersect(a.ents, b.ents)) AS shared, k = x.n OR k = y.n OR a.toks[1] = b.toks[1] AS agree, h.bits <> repeat('0', 64) AND hamming(g.bits, h.bits) <= 3 AS hit
+  FROM s JOIN w USING (left_id, right_id) JOIN c x ON x.doc_id = left_id JOIN c y ON y.doc_id = right_id JOIN l a ON a.doc_id = left_id JOIN l b ON b.doc_id = right_id JOIN documents d ON d.doc_id = left_id JOIN documents f ON f.doc_id = right_id
+  JOIN sh g ON g.doc_id = left_id JOIN sh h ON h.doc_id = right_id WHERE left_id IN (SELECT doc_id FROM ck WHERE by_key = doc_id)),
+ok AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id DESC) AS p FROM x WHERE similarity >= 0.83e0
+  OR (agree AND (shared >= 2 OR (shared >= 1 AND same)) AND ((hit AND NOT (similarity >= 0.78e0 AND similarity < 0.83e0)) OR (similarity >= 0.45e0 AND similarity < 0.78e0))))
+SELECT doc_id AS left_id, by_key AS right_id, CAST(NULL AS DOUBLE) AS similarity, true AS exact FROM ck WHERE by_key < doc_id UNION ALL SELECT left_id, right_id, similarity, false FROM ok WHERE p = 1"""
+
+
+@query(MATCH_SQL)
 def join_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pool.match_fuzzy(_pairs(spark, sf_dir, 0.83))
-
-
-@query()
-def join_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document's match among the earlier ones, on the key and all three rungs; ``join_fuzzy`` is the first rung alone."""
+    """Each document's match among the earlier ones, on the key and on all three rungs."""
     return pool.match_existing(documents(spark, sf_dir).withColumnRenamed("lang", "track"))
 
 
