@@ -17,6 +17,8 @@ SYNTHETIC_DOMAINS = (
     "users.noreply.github.com", "noreply.github.com", "github.com", "anthropic.com",
 )
 SYNTHETIC_SUFFIXES = (".test", ".invalid", ".example", ".local", ".internal", ".localdomain", ".example.com", ".example.org", ".example.net")
+#: First words of what stands behind an at-sign in code, not in an address.
+DECORATORS = ("pytest", "mark", "fixture", "param", "parametrize", "patch", "mock", "staticmethod", "classmethod", "property", "dataclass", "app", "router", "task")
 CONSUMER_DOMAINS = (
     "gmail.com", "googlemail.com", "outlook.com", "hotmail.com", "live.com", "msn.com", "yahoo.com", "ymail.com", "aol.com", "icloud.com", "me.com", "mac.com",
     "proton.me", "protonmail.com", "pm.me", "tutanota.com", "zoho.com", "gmx.com", "mail.com", "qq.com", "foxmail.com", "163.com", "126.com", "sina.com", "yeah.net",
@@ -28,7 +30,7 @@ GENERIC_USERS = (
     "ubuntu", "ec2-user", "circleci", "travis", "jenkins", "you", "youruser", "username", "name", "someone", "example", "test", "me", "home", "app", "docker", "node",
     "foo", "bar", "baz", "alice", "bob", "yourname", "your-name",
 )
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}"
+EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}\b"
 PHONE = r"(?<![\w.\-])(?:\+?1[\s.\-])?\(?([2-9]\d{2})\)?[\s.\-]([2-9]\d{2})[\s.\-](\d{4})(?![\w.\-])"
 #: Words near which three numbers with hyphens are a shape, and how near.
 DIMENSIONS = (
@@ -64,7 +66,7 @@ def emails(texts: DataFrame) -> DataFrame:
     found = _each(texts, F.contains("text", F.lit("@")), EMAIL, 0)
     domain = F.lower(F.substring_index("value", "@", -1))
     local = F.lower(F.substring_index("value", "@", 1))
-    synthetic = domain.isin(*SYNTHETIC_DOMAINS) | domain.rlike(r"^example[-.]")
+    synthetic = domain.isin(*SYNTHETIC_DOMAINS) | domain.rlike(r"^example[-.]") | domain.rlike(r"^(?:" + "|".join(DECORATORS) + r")\b")
     for suffix in SYNTHETIC_SUFFIXES:
         synthetic = synthetic | domain.endswith(suffix)
     personal = domain.isin(*CONSUMER_DOMAINS)
@@ -101,10 +103,13 @@ def zips(texts: DataFrame) -> DataFrame:
     return found.where(~F.col("value").isin(*ALLOWED_ZIPS)).select("place", F.lit("ZIP").alias("label"), "value", F.lit("BLOCK").alias("severity"))
 
 
-def paths(texts: DataFrame) -> DataFrame:
-    """Home paths with an account name that is not generic."""
-    found = _each(texts, F.contains("text", F.lit("/")) | F.contains("text", F.lit("\\")), USER_PATH, 1)
-    return found.where(~F.lower("value").isin(*GENERIC_USERS)).select("place", F.lit("USER-PATH").alias("label"), "value", F.lit("BLOCK").alias("severity"))
+def paths(texts: DataFrame, private: tuple[str, ...] = ("secrets",)) -> DataFrame:
+    """Home paths with an account name that is not generic, and home-anchored paths into ``private`` dot folders."""
+    near = F.contains("text", F.lit("/")) | F.contains("text", F.lit("\\"))
+    users = _each(texts, near, USER_PATH, 1).where(~F.lower("value").isin(*GENERIC_USERS)).withColumn("label", F.lit("USER-PATH"))
+    anchored = r"(?i)(?:~|\$HOME|\$env:USERPROFILE|\$env:HOME|%USERPROFILE%)[\\/]\.(?:" + "|".join(map(re.escape, private)) + r")\b[\w./\\-]*"
+    dots = _each(texts, near, anchored, 0).withColumn("label", F.lit("PRIVATE-PATH"))
+    return users.unionByName(dots).select("place", "label", "value", F.lit("BLOCK").alias("severity"))
 
 
 def distinct_findings(findings: DataFrame) -> DataFrame:

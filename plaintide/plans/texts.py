@@ -298,16 +298,17 @@ def rd_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.pseudonym(F.col("c_custkey"), salt="query-salt").alias("pseudonym"))
 
 
-FINDINGS = r"""SELECT doc_id AS place, CASE WHEN lower(split_part(v, '@', 2)) IN ({c}) THEN 'PERSONAL-EMAIL' ELSE 'EMAIL' END AS label, v AS value, 'BLOCK' AS severity
-FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}')) AS v FROM documents)
-WHERE CASE WHEN lower(split_part(v, '@', 2)) IN ({c}) THEN lower(split_part(v, '@', 1)) NOT IN ({l}) ELSE NOT (lower(split_part(v, '@', 2)) IN ({s}) OR regexp_matches(lower(split_part(v, '@', 2)), '^example[-.]') OR {x}) END"""
-for _k, _v in {
-    "{c}": ", ".join(f"'{d}'" for d in guard.CONSUMER_DOMAINS),
-    "{l}": ", ".join(f"'{d}'" for d in guard.PLACEHOLDER_LOCALS),
-    "{s}": ", ".join(f"'{d}'" for d in guard.SYNTHETIC_DOMAINS),
-    "{x}": " OR ".join(f"suffix(lower(split_part(v, '@', 2)), '{d}')" for d in guard.SYNTHETIC_SUFFIXES),
-}.items():
-    FINDINGS = FINDINGS.replace(_k, _v)
+FINDINGS = """SELECT c_custkey AS place, CASE c_custkey % 8 WHEN 0 THEN 'PERSONAL-EMAIL' ELSE 'EMAIL' END AS label,
+ CASE c_custkey % 8 WHEN 0 THEN concat('Jane', CAST(c_custkey % 50 AS VARCHAR), '@gmail.com') WHEN 3 THEN concat('a.b+c@host', CAST(c_custkey % 50 AS VARCHAR), '.co.uk') ELSE concat('ops@corp', CAST(c_custkey % 50 AS VARCHAR), '.org') END AS value, 'BLOCK' AS severity
+FROM customer WHERE c_custkey % 8 IN (0, 3, 5)"""
+
+
+def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' notes with addresses in eight forms, of which three are someone's: the rest are placeholders, synthetic domains or no addresses."""
+    k = F.col("c_custkey")
+    forms = ("ask Jane{}@gmail.com, please", "ask x@gmail.com {}", "from dev{}@example.com", "cc <a.b+c@host{}.co.uk>", "x+@pytest.mark{}.skip", "to ops@corp{}.org.", "me{}@mail.acme.test", "user{}@users.noreply.github.com")
+    parts = [F.concat(F.lit(f.split("{}")[0]), (k % 50).cast("string"), F.lit(f.split("{}")[1])) for f in forms]
+    return table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 8 + 1).cast("int")).alias("text"))
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -316,7 +317,7 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FINDINGS)
 def pg_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.emails(_places(spark, sf_dir))
+    return guard.emails(_notes(spark, sf_dir))
 
 
 @query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 8 AS v, lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS line FROM customer)
@@ -340,14 +341,19 @@ def pg_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.zips(table(spark, sf_dir, "customer").select(k.alias("place"), text_of.alias("text")))
 
 
-@query(r"SELECT page_id AS place, 'USER-PATH' AS label, v AS value, 'BLOCK' AS severity FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?:[A-Za-z]:\\{1,4}Users\\{1,4}|/(?:home|Users)/)([A-Za-z0-9][A-Za-z0-9_.\-]{0,31})', 1)) AS v FROM pages) WHERE lower(v) NOT IN (" + ", ".join(f"'{u}'" for u in guard.GENERIC_USERS) + ")")
+@query("""SELECT c_custkey AS place, CASE c_custkey % 6 WHEN 4 THEN 'PRIVATE-PATH' ELSE 'USER-PATH' END AS label,
+ CASE c_custkey % 6 WHEN 0 THEN concat('jdoe', CAST(c_custkey AS VARCHAR)) WHEN 1 THEN concat('Mary.', CAST(c_custkey AS VARCHAR)) ELSE concat('~/.secrets/key', CAST(c_custkey AS VARCHAR)) END AS value, 'BLOCK' AS severity FROM customer WHERE c_custkey % 6 IN (0, 1, 4)""")
 def pg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.paths(table(spark, sf_dir, "pages").select(F.col("page_id").alias("place"), F.col("html").alias("text")))
+    """Customers' notes with paths in six forms; generic accounts and folders without a home are no one's."""
+    k = F.col("c_custkey")
+    forms = ("see /home/jdoe{}/x", "at C:\\Users\\Mary.{}\\y", "in /Users/runner/w{}", "on C:\\Users\\admin\\{}", "read ~/.secrets/key{} now", "a .secrets/key{}")
+    parts = [F.concat(F.lit(f.split("{}")[0]), k.cast("string"), F.lit(f.split("{}")[1])) for f in forms]
+    return guard.paths(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 6 + 1).cast("int")).alias("text")))
 
 
 @query(f"SELECT label, lower(value) AS value, severity, min(place) AS place, count(*) AS times FROM ({FINDINGS}) GROUP BY 1, 2, 3")
 def agg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.distinct_findings(guard.emails(_places(spark, sf_dir)))
+    return guard.distinct_findings(guard.emails(_notes(spark, sf_dir)))
 
 
 DENY = ("theher", "555-", "tion", "mail3.example")
