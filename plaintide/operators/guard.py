@@ -205,8 +205,17 @@ def fix_dashes(line: Column) -> Column:
     return F.array_join(F.transform(pieces, lambda s: F.when(s.startswith("`") & s.endswith("`") & (F.length(s) >= 2), s).otherwise(prose(s))), "")
 
 
-def fix_markdown(texts: DataFrame) -> DataFrame:
-    """Lines of markdown texts with their dashes fixed outside code fences: place, n, line, fixed.
+def fix_cells(line: Column) -> Column:
+    """Dashes in the cells of a table row: a cell of dashes alone says none, a dash that opens a cell becomes a hyphen. Other lines stay."""
+    d = "[–—―]"
+    row = line.rlike(r"^ {0,3}\|") & (F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) >= 2)
+    cells = F.regexp_replace(line, rf"(?<=\|)\s*{d}+\s*(?=\|)", " none ")
+    cells = F.regexp_replace(cells, rf"(?<=\|)\s*{d}+\s*(?=\r?$)", " none")
+    return F.when(row, F.regexp_replace(cells, rf"(?<=\|)(\s*){d}+(?=[ \t]\S)", "$1-")).otherwise(line)
+
+
+def fix_markdown(texts: DataFrame, allow: str = "dashes: allow") -> DataFrame:
+    """Lines of markdown texts with their dashes fixed outside code fences: place, n, line, fixed. Lines that hold ``allow`` stay.
 
     A line is inside a fence if an odd number of fence lines of its text come before it.
     """
@@ -214,4 +223,4 @@ def fix_markdown(texts: DataFrame) -> DataFrame:
     fence = F.ltrim("line").startswith("```") | F.ltrim("line").startswith("~~~")
     before = F.coalesce(F.sum(fence.cast("int")).over(W.partitionBy("place").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     code = fence | (before % 2 == 1)
-    return lines.withColumn("fixed", F.when(code | ~F.col("line").rlike("[–—―]"), F.col("line")).otherwise(fix_dashes(F.col("line"))))
+    return lines.withColumn("fixed", F.when(code | ~F.col("line").rlike("[–—―]") | F.contains("line", F.lit(allow)), F.col("line")).otherwise(fix_dashes(fix_cells(F.col("line")))))

@@ -227,3 +227,10 @@ def test_config(tmp_path, monkeypatch):
     monkeypatch.delenv("PLAINTIDE_CONFIG", raising=False)
     assert config.load(str(tmp_path)) == config.DEFAULTS
     assert all(ok for _, ok, _ in config.check(config.DEFAULTS))
+
+
+def test_dashes_in_table_rows(spark):
+    rows = ["| a | — | b – c |", "|—|–|", "| — item | x — y |", "a | — | b", "keep — this  dashes: allow", "```", "| — |", "```", "one — two"]
+    got = [r["fixed"] for r in guard.fix_markdown(spark.createDataFrame([(1, "\n".join(rows))], "place long, text string")).orderBy("n").collect()]
+    assert got[0] == "| a | none | b, c |" and got[1] == "| none | none |" and got[2] == "| - item | x, y |"
+    assert got[4:] == ["keep — this  dashes: allow", "```", "| — |", "```", "one, two"] and "—" not in got[3]
