@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, with SQL where SQL can express them."""
+"""The operators as registered queries over whole tables, with SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import bpe, classifier, fingerprints, lines, mixing, neardup, pii, quality, tokens, warc
+from plaintide.llm import bpe, classifier, fingerprints, lines, merkle, mixing, neardup, periodic, pii, quality, tokens, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,13 +65,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.check_tampered(_table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest_planted(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op10_near_duplicates]
+    found = [op1_fingerprints, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op10_near_duplicates, op12_merkle, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7, "op9_line_dedup": OP9}
+    return {"op7_warc": OP7, "op9_line_dedup": OP9, "op12_merkle": merkle_sql()}
 
 
 OP7 = """
@@ -101,3 +109,36 @@ SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS
   coalesce(g.n_lines, 0) AS n_lines, coalesce(g.n_dropped, 0) AS n_dropped
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
+
+
+def merkle_sql(levels: int = 7) -> str:
+    """Both trees level by level; a level over a single node is passed over. ``levels`` levels hold 16 ** levels nodes."""
+    lists = "list(h ORDER BY i)"
+    with_text = lambda text: " || ".join(f"coalesce(octet_length(encode({x})) || ':' || {x}, '-')" for x in ("CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text))
+    # crc32 of the decimal doc_id, a bit at a time
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: list_concat([-1 - ascii(c)::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[])))), lambda r, x: CASE WHEN x < 0 THEN xor(r, -1 - x) WHEN r % 2 = 1 THEN xor(r // 2, 3988292384::BIGINT) ELSE r // 2 END)"
+    parts = [
+        f"""leaf AS (SELECT doc_id, source, sha256({with_text("text")}) AS leaf,
+  CASE WHEN xor({crc}, 4294967295::BIGINT) % 5 = 0 THEN sha256({with_text("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS changed FROM documents)""",
+        "d0 AS (SELECT doc_id, coalesce('s' || source, '') AS tree, leaf, coalesce(changed, leaf) AS cur, '' AS said, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM leaf)",
+        "n0 AS (SELECT tree, i, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM d0)",
+    ]
+
+    def climb(n: str, d: str, step: int, keep: str) -> None:
+        a, b = f"{n}{step}", f"{n}{step + 1}"
+        parts.append(f"r{b} AS (SELECT tree, i // 16 AS run, any_value(n) AS n, {lists} AS l FROM {a} GROUP BY 1, 2)")
+        parts.append(f"{b} AS (SELECT tree, run AS i, CASE WHEN n = 1 THEN l[1] ELSE sha256(array_to_string(l, '')) END AS h, (n + 15) // 16 AS n FROM r{b})")
+        parts.append(
+            f"{d}{step + 1} AS (SELECT {keep}, d.tree, CASE WHEN n = 1 THEN cur ELSE sha256(array_to_string(l[1:d.i % 16], '') || cur || array_to_string(l[d.i % 16 + 2:], '')) END AS cur, "
+            f"said || array_to_string(l[1:d.i % 16], '') || array_to_string(l[d.i % 16 + 2:], '') AS said, d.i // 16 AS i FROM {d}{step} d JOIN r{b} r ON d.tree = r.tree AND d.i // 16 = r.run)"
+        )
+
+    for step in range(levels):
+        climb("n", "d", step, "doc_id, leaf")
+    parts.append(f"s0 AS (SELECT 'all' AS tree, row_number() OVER (ORDER BY encode(tree)) - 1 AS i, h, count(*) OVER () AS n, tree AS site FROM n{levels})")
+    parts.append(f"e0 AS (SELECT d.doc_id, d.leaf, s.h AS subroot, 'all' AS tree, d.cur, d.said, s.i FROM d{levels} d JOIN s0 s ON d.tree = s.site)")
+    for step in range(levels):
+        climb("s", "e", step, "doc_id, leaf, subroot")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(said) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM e{levels} JOIN s{levels} USING (tree)
+"""
