@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plaintide.llm import bpe, classifier, fingerprints, lines, merkle, mixing, neardup, periodic, pii, quality, tokens, warc
+from plaintide.llm import bpe, classifier, fingerprints, lines, merkle, mixing, neardup, periodic, pii, quality, tokens, vectors, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,10 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("doc_id", F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.check_tampered(_table(spark, sf_dir, "documents"))
 
@@ -74,12 +78,12 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_fingerprints, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op10_near_duplicates, op12_merkle, op13_periodic_runs]
+    found = [op1_fingerprints, op2_repetition, op3_token_files, op4_pii, op5_quality_classifier, op6_mixing, op7_warc, op8_bpe, op9_line_dedup, op10_near_duplicates, op11_embedding_links, op12_merkle, op13_periodic_runs]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7, "op9_line_dedup": OP9, "op12_merkle": merkle_sql()}
+    return {"op7_warc": OP7, "op9_line_dedup": OP9, "op11_embedding_links": OP11, "op12_merkle": merkle_sql()}
 
 
 OP7 = """
@@ -110,6 +114,17 @@ SELECT d.doc_id, d.source, CASE WHEN d.text IS NULL THEN NULL ELSE g.text END AS
 FROM documents d LEFT JOIN g ON d.doc_id = g.doc_id
 """
 
+OP11 = f"""
+WITH RECURSIVE v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS MATERIALIZED (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS MATERIALIZED (SELECT a.r, b.r AS o FROM ok a JOIN ok b ON a.r <> b.r AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= {vectors.LEAST}),
+reach AS (SELECT r, r AS o FROM v UNION SELECT reach.r, link.o FROM reach JOIN link ON reach.o = link.r),
+c AS (SELECT reach.r, min(v.vec_id) AS component_id FROM reach JOIN v ON reach.o = v.r GROUP BY 1),
+n AS (SELECT r, count(*) AS n FROM link GROUP BY 1)
+SELECT v.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, coalesce(v.vec_id = c.component_id, false) AS kept
+FROM v JOIN c USING (r) LEFT JOIN n USING (r)
+"""
+
 
 def merkle_sql(levels: int = 7) -> str:
     """Both trees level by level; a level over a single node is passed over. ``levels`` levels hold 16 ** levels nodes."""
