@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plaintide.functions import text
 
@@ -30,6 +34,8 @@ GENERIC_USERS = (
     "ubuntu", "ec2-user", "circleci", "travis", "jenkins", "you", "youruser", "username", "name", "someone", "example", "test", "me", "home", "app", "docker", "node",
     "foo", "bar", "baz", "alice", "bob", "yourname", "your-name",
 )
+#: Folders of a home that are its owner's alone.
+PRIVATE_FOLDERS = ("claude", "agent-center", "secrets", "pw-auth")
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{2,}\b"
 PHONE = r"(?<![\w.\-])(?:\+?1[\s.\-])?\(?([2-9]\d{2})\)?[\s.\-]([2-9]\d{2})[\s.\-](\d{4})(?![\w.\-])"
 #: Words near which three numbers with hyphens are a shape, and how near.
@@ -38,10 +44,18 @@ DIMENSIONS = (
     "filters", "units", "neurons", "heads", "width", "height", "resolution", "mlp", "ffn", "vocab", "window", "patch", "grid", "tile", "block", "blocks", "stage", "stages",
 )
 PHONE_NEAR = 40
-_PHONE = re.compile(PHONE)
-_DIMENSIONS = re.compile(r"\b(?:" + "|".join(DIMENSIONS) + r")\b", re.I)
-ZIP = r"(?i)(?:\bzip\s*code\b|\bzipcode\b|\bpostal\s*code\b|邮编|\bship(?:ping)?\s+to\b|\bdeliver\s+to\b|\bzip\b)[^\n]{0,24}?\b([0-9]{5})\b"
+#: Words after a bare "zip" that make it an archive.
+ARCHIVE_WORDS = (
+    "archive", "file", "files", "format", "compress", "compressed", "compression", "extract", "extraction", "bomb", "entry", "entries", "member", "members", "64", "utility", "tool", "stream",
+    "reader", "writer",
+)
+ZIP = r"(?i)(?:\bzip\s*code\b|\bzipcode\b|\bpostal\s*code\b|邮编|\bship(?:ping)?\s+to\b|\bdeliver\s+to\b|\bzip\b(?!\s*(?:" + "|".join(ARCHIVE_WORDS) + r")))[^\n]{0,24}?\b([0-9]{5})\b"
 USER_PATH = r"(?:[A-Za-z]:\\{1,4}Users\\{1,4}|/(?:home|Users)/)([A-Za-z0-9][\w.\-]{0,31})"
+HOME_FOLDER = r"(?i)(?:~|\$HOME|\$env:USERPROFILE|\$env:HOME|%USERPROFILE%)[\\/](\.(?:" + "|".join(PRIVATE_FOLDERS) + r")\b[\w./\\-]*)"
+#: Home folders that documents may name.
+PUBLIC_FOLDER = r"^\.claude(?:\.json\b|-plugin\b|[\\/](?:skills|plugins|agents|commands)(?:[\\/][\w.\-]+)?[\\/]?$)"
+#: An allowed value covers a path as a part of it from so many characters, or from so many with a dot or slash.
+ALLOW_LONG, ALLOW_PATH = 8, 5
 #: Shapes of paths that real runs leave behind, first match wins.
 RUN_SHAPES = (
     ("ledger under metrics", r"(?i)(^|/)metrics/.*\.(jsonl|ndjson)$"),
@@ -54,24 +68,47 @@ RUN_SHAPES = (
 )
 SHAPE_EXEMPT = r"(?i)\.(example|sample|tmpl|template)(\.|$)"
 DUP_PCT_MAX, PAIR_MIN = 2.0, 12
+_PHONE = re.compile(PHONE)
+_DIMENSIONS = re.compile(r"\b(?:" + "|".join(DIMENSIONS) + r")\b", re.I)
+#: Characters of the tokens of one automaton, which every task builds; a longer list takes a pass for each so many.
+AUTOMATON_CHARS = 1 << 22
+
+
+def _allowed(value: Column, allow: tuple[str, ...]) -> Column:
+    return F.lower(value).isin(*(x.lower() for x in allow)) if allow else F.lit(False)
+
+
+def is_specific(entry: str) -> bool:
+    """Whether an allowed value is long enough, or enough of a path, to cover longer values that hold it."""
+    return len(entry) >= ALLOW_LONG or (len(entry) >= ALLOW_PATH and any(c in entry for c in "./\\"))
+
+
+def _covered(value: Column, allow: tuple[str, ...]) -> Column:
+    """Whether a path is allowed: itself, or by a specific part of it."""
+    out = _allowed(value, allow)
+    for entry in allow:
+        if is_specific(entry):
+            out = out | F.contains(F.lower(value), F.lit(entry.lower()))
+    return out
 
 
 def _each(texts: DataFrame, guard: Column, pattern: str, group: int) -> DataFrame:
-    """Matches by row; the cheap guard spares most rows the pattern."""
-    return texts.where(guard).select("place", F.explode(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group))).alias("value"))
+    """Matches by row, equal ones once; the cheap guard spares most rows the pattern."""
+    return texts.where(guard).select("place", F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(group)))).alias("value"))
 
 
-def emails(texts: DataFrame) -> DataFrame:
-    """Addresses outside the synthetic namespace; a named mailbox at a consumer provider is one everywhere."""
+def emails(texts: DataFrame, allow: tuple[str, ...] = (), domain_of_texts: str = "tree") -> DataFrame:
+    """Addresses not in ``allow``: a named mailbox at a consumer provider everywhere, others outside the synthetic namespace in the tree alone."""
     found = _each(texts, F.contains("text", F.lit("@")), EMAIL, 0)
     domain = F.lower(F.substring_index("value", "@", -1))
     local = F.lower(F.substring_index("value", "@", 1))
     synthetic = domain.isin(*SYNTHETIC_DOMAINS) | domain.rlike(r"^example[-.]") | domain.rlike(r"^(?:" + "|".join(DECORATORS) + r")\b")
     for suffix in SYNTHETIC_SUFFIXES:
         synthetic = synthetic | domain.endswith(suffix)
-    personal = domain.isin(*CONSUMER_DOMAINS)
-    bad = F.when(personal, ~local.isin(*PLACEHOLDER_LOCALS)).otherwise(~synthetic)
-    return found.where(bad).select("place", F.when(personal, "PERSONAL-EMAIL").otherwise("EMAIL").alias("label"), "value", F.lit("BLOCK").alias("severity"))
+    personal = domain.isin(*CONSUMER_DOMAINS) & ~local.isin(*PLACEHOLDER_LOCALS)
+    strict = ~synthetic if domain_of_texts == "tree" else F.lit(False)
+    found = found.where((personal | strict) & ~_allowed(F.col("value"), allow))
+    return found.select("place", F.when(personal, "PERSONAL-MAILBOX").otherwise("EMAIL").alias("label"), "value", F.lit("BLOCK").alias("severity"))
 
 
 def phone_numbers(value: str) -> list[str]:
@@ -87,29 +124,32 @@ def phone_numbers(value: str) -> list[str]:
     return out
 
 
-def phones(texts: DataFrame) -> DataFrame:
-    """North American numbers; 555 as area or exchange is fiction, and shapes of arrays are no numbers. Only rows that match at all are looked at closely."""
+def phones(texts: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
+    """North American numbers not in ``allow``; 555 as area or exchange is fiction, and shapes of arrays are no numbers. Only rows that match at all are looked at closely."""
 
     @F.pandas_udf("array<string>")
     def numbers(values: pd.Series) -> pd.Series:
         return values.map(phone_numbers)
 
     likely = texts.where(F.col("text").rlike(r"[2-9]\d{2}\)?[\s.\-][2-9]\d{2}[\s.\-]\d{4}"))
-    return likely.select("place", F.lit("PHONE").alias("label"), F.explode(numbers("text")).alias("value"), F.lit("BLOCK").alias("severity"))
+    found = likely.select("place", F.lit("PHONE").alias("label"), F.explode(numbers("text")).alias("value"), F.lit("BLOCK").alias("severity"))
+    return found.where(~_allowed(F.col("value"), allow))
 
 
-def zips(texts: DataFrame) -> DataFrame:
+def zips(texts: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
+    """Postal codes where the text says so; what stands after the name of an archive is none."""
     found = _each(texts, F.col("text").rlike(r"[0-9]{5}"), ZIP, 1)
-    return found.where(~F.col("value").isin(*ALLOWED_ZIPS)).select("place", F.lit("ZIP").alias("label"), "value", F.lit("BLOCK").alias("severity"))
+    return found.where(~F.col("value").isin(*ALLOWED_ZIPS, *allow)).select("place", F.lit("ZIP").alias("label"), "value", F.lit("BLOCK").alias("severity"))
 
 
-def paths(texts: DataFrame, private: tuple[str, ...] = ("secrets",)) -> DataFrame:
-    """Home paths with an account name that is not generic, and home-anchored paths into ``private`` dot folders."""
+def paths(texts: DataFrame, allow: tuple[str, ...] = ()) -> DataFrame:
+    """Home paths with an account name that is not generic, and paths from a home into a private folder, unless public or covered by ``allow``."""
     near = F.contains("text", F.lit("/")) | F.contains("text", F.lit("\\"))
-    users = _each(texts, near, USER_PATH, 1).where(~F.lower("value").isin(*GENERIC_USERS)).withColumn("label", F.lit("USER-PATH"))
-    anchored = r"(?i)(?:~|\$HOME|\$env:USERPROFILE|\$env:HOME|%USERPROFILE%)[\\/]\.(?:" + "|".join(map(re.escape, private)) + r")\b[\w./\\-]*"
-    dots = _each(texts, near, anchored, 0).withColumn("label", F.lit("PRIVATE-PATH"))
-    return users.unionByName(dots).select("place", "label", "value", F.lit("BLOCK").alias("severity"))
+    users = _each(texts, near, USER_PATH, 0).where(~F.lower(F.regexp_extract("value", USER_PATH, 1)).isin(*GENERIC_USERS) & ~_covered(F.col("value"), allow))
+    folder = F.lower(F.regexp_extract("value", HOME_FOLDER, 1))
+    homes = _each(texts, near, HOME_FOLDER, 0).where(~folder.rlike(PUBLIC_FOLDER) & ~_covered(folder, allow))
+    found = users.withColumn("label", F.lit("USER-PATH")).unionByName(homes.withColumn("label", F.lit("PRIVATE-PATH")))
+    return found.select("place", "label", "value", F.lit("BLOCK").alias("severity"))
 
 
 def distinct_findings(findings: DataFrame) -> DataFrame:
@@ -117,25 +157,87 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
     return findings.groupBy("label", F.lower("value").alias("value"), "severity").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("times"))
 
 
+def bounded(token: str) -> bool:
+    """Whether a token counts only between characters other than a-z and 0-9: it has a letter and no digit. Any other one is found wherever it stands."""
+    return any(c.isalpha() for c in token) and not any(c.isdigit() for c in token)
+
+
+class Denylist:
+    """All tokens of a list as one automaton: a text is read once, whatever the length of the list."""
+
+    def __init__(self, tokens: list[str]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        for token in tokens:
+            low = token.lower()
+            if low:
+                same = self.automaton.get(low, ())
+                self.automaton.add_word(low, (*(same[:-2] if same else ()), token, len(low), bounded(low)))
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def find(self, value: str) -> list[str]:
+        """Tokens of the list that ``value`` holds, in any case, each once, by the place they are first found at."""
+        if not len(self.automaton):
+            return []
+        low = value.lower()
+        found: dict[str, None] = {}
+        for end, (*same, size, edges) in self.automaton.iter(low):
+            if same[0] in found:
+                continue
+            if edges:
+                before, after = low[end - size : end - size + 1] if end >= size else "", low[end + 1 : end + 2]
+                if _inside(before) or _inside(after):
+                    continue
+            found.update(dict.fromkeys(same))
+        return list(found)
+
+
+def _inside(c: str) -> bool:
+    return "a" <= c <= "z" or "0" <= c <= "9"
+
+
+def _lists(tokens: list[str]) -> Iterator[list[str]]:
+    held, size = [], 0
+    for token in dict.fromkeys(tokens):
+        if held and size + len(token) > AUTOMATON_CHARS:
+            yield held
+            held, size = [], 0
+        held.append(token)
+        size += len(token)
+    if held:
+        yield held
+
+
 def denied(texts: DataFrame, tokens: list[str], domain: str = "tree") -> DataFrame:
-    """Texts with a token of a deny list: letters-only tokens as words, others as substrings.
+    """Tokens of a deny list in each text, each once: place, label, value, severity.
 
-    One combined pattern sorts out the rows, then each token is confirmed on what is left. The list is the operator's and small.
+    Tokens with a letter and without a digit are words: no a-z or 0-9 stands next to them, while an underscore or a letter of another script may. Others are
+    found anywhere. Letter case does not count. One pass over the texts finds all tokens; a list beyond ``AUTOMATON_CHARS`` takes one for each part of it.
+    Null texts hold nothing; an empty list finds nothing.
     """
-    if not tokens:
-        return texts.select("place", F.lit("").alias("label"), F.lit("").alias("value"), F.lit("").alias("severity")).limit(0)
-    word = lambda t: t.isascii() and re.fullmatch(r"[a-z]+", t.lower()) is not None
-    pattern = lambda t: r"(?<!\w)" + re.escape(t) + r"(?!\w)" if word(t) else re.escape(t)
-    hits = texts.where(F.col("text").rlike("(?iU)" + "|".join(map(pattern, tokens))))
-    each = F.array_compact(F.array(*[F.when(F.col("text").rlike("(?iU)" + pattern(t)), F.lit(t)) for t in tokens]))
     severity = "DEBT" if domain == "history" else "BLOCK"
-    return hits.select("place", F.lit("DENIED").alias("label"), F.explode(each).alias("value"), F.lit(severity).alias("severity"))
+    schema = T.StructType([T.StructField("place", texts.schema["place"].dataType), T.StructField("value", T.StringType())])
+
+    def scan(part: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            search = Denylist(part)
+            for batch in batches:
+                found = [search.find(x) if x else [] for x in batch.column(1).to_pylist()]
+                at = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array([t for x in found for t in x], pa.string())], ["place", "value"])
+
+        return run
+
+    out = texts.sparkSession.createDataFrame([], schema)
+    for part in _lists(tokens):
+        out = out.unionByName(texts.select("place", "text").mapInArrow(scan(part), schema))
+    return out.select("place", F.lit("DENIED").alias("label"), "value", F.lit(severity).alias("severity"))
 
 
 def granted(findings: DataFrame, grants: DataFrame, domain: str) -> DataFrame:
-    """Findings without an eligible grant; grants (token, scope, reason) are an operator's short list."""
+    """Findings without an eligible grant (token, scope, reason). Whether the grants are small enough to go to every task is Spark's to see."""
     ok = grants.where((F.col("reason") != "") & F.col("scope").isin(domain, "all")).select(F.lower("token").alias("token")).distinct()
-    return findings.join(F.broadcast(ok), F.lower("value") == F.col("token"), "left_anti")
+    return findings.join(ok, F.lower("value") == F.col("token"), "left_anti")
 
 
 def shapes(paths_table: DataFrame) -> DataFrame:

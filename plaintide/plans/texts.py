@@ -298,13 +298,15 @@ def rd_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.pseudonym(F.col("c_custkey"), salt="query-salt").alias("pseudonym"))
 
 
-FINDINGS = """SELECT c_custkey AS place, CASE c_custkey % 8 WHEN 0 THEN 'PERSONAL-EMAIL' ELSE 'EMAIL' END AS label,
- CASE c_custkey % 8 WHEN 0 THEN concat('Jane', CAST(c_custkey % 50 AS VARCHAR), '@gmail.com') WHEN 3 THEN concat('a.b+c@host', CAST(c_custkey % 50 AS VARCHAR), '.co.uk') ELSE concat('ops@corp', CAST(c_custkey % 50 AS VARCHAR), '.org') END AS value, 'BLOCK' AS severity
-FROM customer WHERE c_custkey % 8 IN (0, 3, 5)"""
+FINDINGS = """SELECT c_custkey AS place, CASE c_custkey % 8 WHEN 0 THEN 'PERSONAL-MAILBOX' ELSE 'EMAIL' END AS label,
+ CASE c_custkey % 8 WHEN 1 THEN 'x@gmail.com' WHEN 0 THEN concat('Jane', CAST(c_custkey % 50 AS VARCHAR), '@gmail.com') WHEN 3 THEN concat('a.b+c@host', CAST(c_custkey % 50 AS VARCHAR), '.co.uk') ELSE concat('ops@corp', CAST(c_custkey % 50 AS VARCHAR), '.org') END AS value, 'BLOCK' AS severity
+FROM customer WHERE c_custkey % 8 IN (0, 1, 3) OR (c_custkey % 8 = 5 AND c_custkey % 50 <> 13)"""
+#: Values that the notes' owner allows, in any case; the last two are too vague to cover a longer path.
+ALLOW = ("OPS@corp13.org", "646-867-0014", "00021", "jdoe6/x", ".secrets/key10", "home", "jdoe")
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' notes with addresses in eight forms, of which three are someone's: the rest are placeholders, synthetic domains or no addresses."""
+    """Customers' notes with addresses in eight forms, of which four count: the rest are synthetic domains or no addresses."""
     k = F.col("c_custkey")
     forms = ("ask Jane{}@gmail.com, please", "ask x@gmail.com {}", "from dev{}@example.com", "cc <a.b+c@host{}.co.uk>", "x+@pytest.mark{}.skip", "to ops@corp{}.org.", "me{}@mail.acme.test", "user{}@users.noreply.github.com")
     parts = [F.concat(F.lit(f.split("{}")[0]), (k % 50).cast("string"), F.lit(f.split("{}")[1])) for f in forms]
@@ -317,54 +319,73 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FINDINGS)
 def pg_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.emails(_notes(spark, sf_dir))
+    return guard.emails(_notes(spark, sf_dir), ALLOW)
 
 
 @query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 8 AS v, lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS line FROM customer)
-SELECT place, 'PHONE' AS label, concat(CASE v WHEN 0 THEN '212-867-' WHEN 1 THEN '415-867-' WHEN 5 THEN '312-867-' ELSE '646-867-' END, line) AS value, 'BLOCK' AS severity FROM c WHERE v IN (0, 1, 5, 6)""")
+SELECT place, 'PHONE' AS label, concat(CASE v WHEN 0 THEN '212-867-' WHEN 1 THEN '415-867-' WHEN 5 THEN '312-867-' ELSE '646-867-' END, line) AS value, 'BLOCK' AS severity FROM c WHERE v IN (0, 1, 5, 6) AND NOT (v = 6 AND line = '0014')""")
 def pg_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers' notes with numbers in eight forms, four of them no one's number: a shape, fiction twice, part of a longer chain."""
     k = F.col("c_custkey")
     line = F.lpad(k.cast("string"), 4, "0")
     forms = ("call (212) 867-{} now", "at +1 415.867.{}", "a conv kernel 512-256-{} wide", "ask 555-867-{} or so", "the id 128-512-256-{}", "ring 312-867-{} today", "a batch of calls to (646) 867-{}", "or (212) 555-{}")
     parts = [F.concat(F.lit(f.split("{}")[0]), line, F.lit(f.split("{}")[1])) for f in forms]
-    return guard.phones(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 8 + 1).cast("int")).alias("text")))
+    return guard.phones(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 8 + 1).cast("int")).alias("text")), ALLOW)
 
 
-@query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 4 AS v, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS z FROM customer)
-SELECT place, 'ZIP' AS label, z AS value, 'BLOCK' AS severity FROM c WHERE v < 3 AND z NOT IN ('10001', '00000', '12345', '90210')""")
+@query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 8 AS v, lpad(CAST(c_custkey AS VARCHAR), 5, '0') AS z FROM customer)
+SELECT place, 'ZIP' AS label, z AS value, 'BLOCK' AS severity FROM c WHERE v IN (0, 1, 2, 4, 6) AND z NOT IN ('10001', '00000', '12345', '90210') AND z <> '00021'""")
 def pg_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' notes with postal codes in three forms, and a number that is none."""
+    """Customers' notes with postal codes in five forms, and three numbers that are none: an order, and two archives."""
     k = F.col("c_custkey")
     z = F.lpad(k.cast("string"), 5, "0")
-    text_of = F.when(k % 4 == 0, F.concat(F.lit("zip code: "), z)).when(k % 4 == 1, F.concat(F.lit("please Ship to NY "), z, F.lit(" soon"))).when(k % 4 == 2, F.concat(F.lit("邮编 "), z)).otherwise(F.concat(F.lit("order "), z))
-    return guard.zips(table(spark, sf_dir, "customer").select(k.alias("place"), text_of.alias("text")))
+    forms = ("zip code: {}", "please Ship to NY {} soon", "邮编 {}", "order {}", "ZIP {}", "the zip archive is {} bytes", "twice: postal code {}", "a zip files list of {}")
+    parts = [F.concat(F.lit(f.split("{}")[0]), z, F.lit(f.split("{}")[1])) for f in forms]
+    parts[6] = F.concat(parts[6], F.lit(", zip "), z)
+    return guard.zips(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 8 + 1).cast("int")).alias("text")), ALLOW)
 
 
-@query("""SELECT c_custkey AS place, CASE c_custkey % 6 WHEN 4 THEN 'PRIVATE-PATH' ELSE 'USER-PATH' END AS label,
- CASE c_custkey % 6 WHEN 0 THEN concat('jdoe', CAST(c_custkey AS VARCHAR)) WHEN 1 THEN concat('Mary.', CAST(c_custkey AS VARCHAR)) ELSE concat('~/.secrets/key', CAST(c_custkey AS VARCHAR)) END AS value, 'BLOCK' AS severity FROM customer WHERE c_custkey % 6 IN (0, 1, 4)""")
+@query("""WITH c AS (SELECT c_custkey AS place, c_custkey % 12 AS v, CAST(c_custkey AS VARCHAR) AS k FROM customer)
+SELECT place, CASE WHEN v < 2 OR v = 11 THEN 'USER-PATH' ELSE 'PRIVATE-PATH' END AS label, CASE v WHEN 0 THEN concat('/home/jdoe', k) WHEN 1 THEN concat('C:\\Users\\Mary.', k) WHEN 11 THEN concat('D:\\\\Users\\\\x', k)
+ WHEN 4 THEN concat('~/.secrets/key', k) WHEN 7 THEN concat('$HOME/.agent-center/', k) WHEN 8 THEN concat('%USERPROFILE%\\.pw-auth\\', k) WHEN 10 THEN concat('~/.claude/skills/s', k, '/run.py') END AS value, 'BLOCK' AS severity
+FROM c WHERE v IN (0, 1, 4, 7, 8, 10, 11) AND NOT (v = 4 AND starts_with(k, '10'))""")
 def pg_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' notes with paths in six forms; generic accounts and folders without a home are no one's."""
+    """Customers' notes with paths in twelve forms; generic accounts, folders without a home and public folders are no one's."""
     k = F.col("c_custkey")
-    forms = ("see /home/jdoe{}/x", "at C:\\Users\\Mary.{}\\y", "in /Users/runner/w{}", "on C:\\Users\\admin\\{}", "read ~/.secrets/key{} now", "a .secrets/key{}")
+    forms = (
+        "see /home/jdoe{}/x", "at C:\\Users\\Mary.{}\\y", "in /Users/runner/w{}", "on C:\\Users\\admin\\{}", "read ~/.secrets/key{} now", "a .secrets/key{}", "in ~/.claude/skills/s{} there",
+        "or $HOME/.agent-center/{},", "and %USERPROFILE%\\.pw-auth\\{}", "the ~/.claude.json of {}", "but ~/.claude/skills/s{}/run.py", "D:\\\\Users\\\\x{}",
+    )
     parts = [F.concat(F.lit(f.split("{}")[0]), k.cast("string"), F.lit(f.split("{}")[1])) for f in forms]
-    return guard.paths(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 6 + 1).cast("int")).alias("text")))
+    return guard.paths(table(spark, sf_dir, "customer").select(k.alias("place"), F.element_at(F.array(*parts), (k % 12 + 1).cast("int")).alias("text")), ALLOW)
 
 
 @query(f"SELECT label, lower(value) AS value, severity, min(place) AS place, count(*) AS times FROM ({FINDINGS}) GROUP BY 1, 2, 3")
 def agg_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.distinct_findings(guard.emails(_notes(spark, sf_dir)))
+    return guard.distinct_findings(guard.emails(_notes(spark, sf_dir), ALLOW))
 
 
-DENY = ("theher", "555-", "tion", "mail3.example")
+#: Words, words of several parts, values with digits and signs; and what stands around them in the texts below.
+DENY = ("theher", "jane doe", "555-", "tion", "mail3.example", "q7x", "café", "...")
+_AROUND = ("my_{}_x", "日{}本", "x{}", "{}9", "({})", "{}ring", "é{}é", "{}")
+_DENY_ROWS = "SELECT doc_id AS place, lower(concat(text, ' ', CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN replace('{a}', '{{}}', t.w)" for i, a in enumerate(_AROUND)) + f" END)) AS low FROM documents, (SELECT unnest({list(DENY)}) AS w, unnest(range({len(DENY)})) AS i) t WHERE t.i = doc_id // 8 % {len(DENY)}"
 DENY_SQL = " UNION ALL ".join(
-    f"SELECT doc_id AS place, 'DENIED' AS label, '{t}' AS value, 'BLOCK' AS severity FROM documents WHERE " + (f"regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){t}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')" if t.isalpha() else f"contains(lower(text), '{t}')") for t in DENY
+    f"SELECT place, 'DENIED' AS label, '{t}' AS value, 'BLOCK' AS severity FROM d WHERE " + (f"regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])')" if guard.bounded(t) else f"contains(low, '{t}')") for t in DENY
 )
+DENY_SQL = f"WITH d AS ({_DENY_ROWS}) {DENY_SQL}"
+
+
+def _near_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, each with a token of the list at its end in one of eight surroundings."""
+    i = F.col("doc_id")
+    token = F.element_at(F.array(*map(F.lit, DENY)), (F.floor(i / 8) % len(DENY) + 1).cast("int"))
+    around = F.element_at(F.array(*map(F.lit, _AROUND)), (i % 8 + 1).cast("int"))
+    return documents(spark, sf_dir).select(i.alias("place"), F.concat("text", F.lit(" "), F.replace(around, F.lit("{}"), token)).alias("text"))
 
 
 @query(DENY_SQL)
 def join_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return guard.denied(_places(spark, sf_dir), list(DENY))
+    return guard.denied(_near_tokens(spark, sf_dir), list(DENY))
 
 
 GRANTS = (("tion", "all", "ordinary word"), ("555-", "history", "fiction"), ("theher", "all", ""))

@@ -213,10 +213,11 @@ def test_digest_of_an_empty_day(spark):
 
 def test_scanners(spark):
     df = spark.createDataFrame([(1, "ask jane.doe@gmail.com or x@gmail.com or a@example.com or b@corp.org"), (2, "call (212) 867-5309 or (555) 867-5309, zip code 94107, ship to 10001"), (3, "/home/jdoe/x and /home/runner/y")], "place long, text string")
-    assert {(r["label"], r["value"]) for r in guard.emails(df).collect()} == {("PERSONAL-EMAIL", "jane.doe@gmail.com"), ("EMAIL", "b@corp.org")}
-    assert [r["value"] for r in guard.phones(df).collect()] == ["212-867-5309"]
+    assert {(r["label"], r["value"]) for r in guard.emails(df).collect()} == {("PERSONAL-MAILBOX", "jane.doe@gmail.com"), ("EMAIL", "x@gmail.com"), ("EMAIL", "b@corp.org")}
+    assert [r["value"] for r in guard.emails(df, ("Jane.Doe@gmail.com",), "history").collect()] == []
+    assert [r["value"] for r in guard.phones(df).collect()] == ["212-867-5309"] and guard.phones(df, ("212-867-5309",)).count() == 0
     assert [r["value"] for r in guard.zips(df).collect()] == ["94107"]
-    assert [r["value"] for r in guard.paths(df).collect()] == ["jdoe"]
+    assert [r["value"] for r in guard.paths(df).collect()] == ["/home/jdoe"]
 
 
 def test_config(tmp_path, monkeypatch):
@@ -234,3 +235,46 @@ def test_dashes_in_table_rows(spark):
     got = [r["fixed"] for r in guard.fix_markdown(spark.createDataFrame([(1, "\n".join(rows))], "place long, text string")).orderBy("n").collect()]
     assert got[0] == "| a | none | b, c |" and got[1] == "| none | none |" and got[2] == "| - item | x, y |"
     assert got[4:] == ["keep — this  dashes: allow", "```", "| — |", "```", "one, two"] and "—" not in got[3]
+
+
+def test_paths_and_what_covers_them(spark):
+    said = ["~/.claude/scripts/own.ps1", "~/.claude.json", "~/.claude-plugin/x", "~/.claude-plugins-private/k", "~/.claude/skills/a", "~/.claude/skills/a/b.py", "$HOME/.pw-auth", "/home/Alice/x", "/Users/zed", "C:\\\\Users\\\\zed"]
+    df = spark.createDataFrame(list(enumerate(said)), "place long, text string")
+    found = lambda *allow: sorted(r["place"] for r in guard.paths(df, allow).collect())
+    assert found() == [0, 3, 5, 6, 8, 9]
+    assert found(".claude") == [6, 8, 9]  # seven characters, but of a path
+    assert found("users", "zed", "a") == [0, 3, 5, 6, 8, 9]  # too vague to cover a path
+    assert found("/users/zed", "scripts/own.ps1") == [3, 5, 6, 9]
+
+
+def test_deny_list_against_one_token_at_a_time(spark):
+    """10,000 tokens over whole documents, with boundaries that tell, against a search token by token."""
+    import re
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("place"), "text").where("length(text) < 3000")
+    rows = [tuple(r) for r in docs.collect()] + [(-1, "my_theher_x"), (-2, "日theher本"), (-3, "jane doering"), (-4, "JANE DOE."), (-5, None), (-6, ""), (-7, "xq7xx"), (-8, "Äther éähm"), (-9, "theherx theher")]
+    words = sorted({w.strip(".,") for _, t in rows for w in (t or "").split()} - {""})
+    made = [w[i : i + 5] for w in words for i in range(len(w) - 4)] + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)] + [f"{w}{i}" for i in range(9) for w in words]
+    tokens = ["theher", "Jane Doe", "q7x", "ähm", "...", "", *dict.fromkeys([*words, *made])][:10000]
+
+    def hit(token, low):
+        token = token.lower()
+        if not token:
+            return False
+        if any(c.isdigit() for c in token) or not any(c.isalpha() for c in token):
+            return token in low
+        return token in low and re.search(rf"(?<![a-z0-9]){re.escape(token)}(?![a-z0-9])", low) is not None
+
+    rows = rows[:: max(1, len(rows) // 60)] + rows[-9:]
+    want = sorted({(i, t) for i, x in rows if x for t in tokens if hit(t, x.lower())})
+    df = spark.createDataFrame(rows, "place long, text string").dropDuplicates(["place"])
+    got = guard.denied(df, tokens).select("place", "value")
+    assert sorted(map(tuple, got.collect())) == want and len(tokens) == 10000 and len(want) > 100
+    assert guard.denied(df, []).count() == 0
+    assert {r["severity"] for r in guard.denied(df, tokens, "history").collect()} == {"DEBT"}
+
+
+def test_a_long_deny_list_takes_several_passes(spark, monkeypatch):
+    df = spark.createDataFrame([("a", "one two three")], "place string, text string")
+    monkeypatch.setattr(guard, "AUTOMATON_CHARS", 6)
+    assert sorted(r["value"] for r in guard.denied(df, ["one", "two", "three", "four", "one"]).collect()) == ["one", "three", "two"]
