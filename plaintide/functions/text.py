@@ -77,12 +77,22 @@ def simhash(text: Column) -> Column:
     kept = F.filter(tokens(text), lambda t: ~t.isin(STOP) & ((F.length(t) >= 3) | ~t.rlike(r"^[\x00-\x7f]*$")))
     hashes = F.transform(F.transform(kept, alias), token_hash)
 
+    long = lambda x: F.lit(x).cast("long")
+    right = lambda x, n: F.call_function("shiftrightunsigned", x, n)
+
+    def counted(h: Column, width: int) -> Column:
+        """The bits that most hashes have. A long holds the counts of every ``width``-th bit side by side, so one pass over the hashes counts several."""
+        lanes = long(sum(1 << k for k in range(0, 64, width)))
+        counts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.aggregate(h, long(0), lambda n, x: n + right(x, b).bitwiseAND(lanes)))
+
+        def bit(n: Column, j: Column) -> Column:
+            count = right(F.get(n, j % width), j - j % width).bitwiseAND(long((1 << width) - 1))
+            return F.call_function("shiftleft", (2 * count > F.size(h)).cast("long"), j)
+
+        return once(counts, lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(63)), long(0), lambda out, j: out.bitwiseOR(bit(n, j))))
+
     def vote(h: Column) -> Column:
-        ones = lambda bit: F.aggregate(h, F.lit(0), lambda k, x: k + F.shiftrightunsigned(x, bit).bitwiseAND(F.lit(1).cast("long")).cast("int"))
-        out = F.lit(0).cast("long")
-        for b in range(64):
-            out = out.bitwiseOR(F.when(2 * ones(b) > F.size(h), F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-        return out
+        return F.when(F.size(h) < 1 << 16, counted(h, 16)).otherwise(counted(h, 32))
 
     return once(hashes, vote)
 

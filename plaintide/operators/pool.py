@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plaintide.config import SCORING
 from plaintide.functions import text
+from plaintide.storage import cut
 
 
 def match_exact(candidates: DataFrame, pool: DataFrame) -> DataFrame:
@@ -21,32 +22,59 @@ def token_rows(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return df.select(F.col(id_column).alias("id"), text.entities(F.col(text_column), text.TOKENS_OF_SETS).alias("tokens"))
 
 
-def similar(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs with Jaccard of ``threshold`` or more between two token-set tables: left_id, right_id, similarity.
+#: Rows of a token, or of an entity and block, that meet in one task; a more frequent one is cut into so many by a counted salt.
+HOT_ROWS = 4096
 
-    Prefix filter: tokens stand in order of rising document frequency; two sets that reach the threshold share one of the
-    first ``n - ceil(threshold * n) + 1`` tokens of each. Only those are joined on, and pairs whose sizes differ too much are dropped
-    inside the join.
+
+def _salted(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of an equality join with a ``salt``: rows of a frequent key on the left are dealt to parts, each of which meets all of the right's.
+
+    The frequent keys are counted; fewer than rows / ``HOT_ROWS`` can be, and Spark picks how to join their list by its size.
     """
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS)
+    hot = cut(counts.select(*[F.col(k).alias(f"hot_{k}") for k in keys], F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("parts")), "hot")
+    on = [F.col(k) == F.col(f"hot_{k}") for k in keys]
+    names = [f"hot_{k}" for k in keys]
+    parts = F.coalesce("parts", F.lit(1))
+    one = left.join(hot, on, "left").withColumn("salt", F.pmod(F.xxhash64(*left.columns), parts).cast("int")).drop("parts", *names)
+    two = right.join(hot, on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts", *names)
+    return one, two, [*keys, "salt"]
+
+
+def similar(left: DataFrame, threshold: float, right: DataFrame | None = None) -> DataFrame:
+    """Pairs with Jaccard of ``threshold`` or more between two tables of token sets (id, tokens), or, with one, of different rows of it, the larger id left:
+    left_id, right_id, similarity.
+
+    Tokens stand in order of rising frequency. Two sets of n and m tokens that reach the threshold share ``threshold / (1 + threshold) * (n + m)``; so their first
+    common token is among the first ``n - ceil(threshold * n) + 1`` of each, and so early in both that enough come after it. Only those tokens are joined
+    on, sizes and places are compared inside the join, and what is left is verified.
+    """
+    alone = right is None
+
     def spread(df: DataFrame, side: str) -> DataFrame:
         return df.where(F.size("tokens") > 0).select(F.col("id").alias(f"{side}_id"), F.col("tokens").alias(f"{side}_tokens"))
 
-    a, b = spread(left, "left"), spread(right, "right")
-    words = a.select(F.explode("left_tokens").alias("token")).union(b.select(F.explode("right_tokens").alias("token")))
+    a, b = spread(left, "left"), spread(left if alone else right, "right")
+    words = a.select(F.explode("left_tokens").alias("token"))
+    words = words if alone else words.union(b.select(F.explode("right_tokens").alias("token")))
     seen = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
 
     def prefix(df: DataFrame, side: str) -> DataFrame:
-        size = F.size(f"{side}_tokens")
-        each = df.select(f"{side}_id", size.alias("size"), F.explode(f"{side}_tokens").alias("token")).join(seen, "token")
-        place = F.row_number().over(W.partitionBy(f"{side}_id").orderBy("df", "token"))
-        keep = F.col("size") - F.ceil(F.lit(threshold) * F.col("size") - 1e-9) + 1
-        return each.withColumn("place", place).where(F.col("place") <= keep).select(f"{side}_id", "token", F.col("size").alias(f"{side}_size"))
-
-    sized = (F.col("left_size") >= threshold * F.col("right_size") - 1e-9) & (F.col("right_size") >= threshold * F.col("left_size") - 1e-9)
-    pa, pb = prefix(a, "left").alias("x"), prefix(b, "right").alias("y")
-    pairs = pa.join(pb, (F.col("x.token") == F.col("y.token")) & sized).select("left_id", "right_id").distinct()
-    full = pairs.join(a, "left_id").join(b, "right_id")
-    scored = full.withColumn("similarity", text.jaccard(F.col("left_tokens"), F.col("right_tokens")))
+        each = df.select(f"{side}_id", F.explode(f"{side}_tokens").alias("token")).join(seen, "token")
+        placed = each.groupBy(f"{side}_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("l"))  # as many as a set has
+        size = F.size("l")
+        keep = F.slice("l", F.lit(1), (size - F.ceil(F.lit(threshold) * size - 1e-9) + 1).cast("int"))
+        return placed.select(f"{side}_id", size.alias(f"{side}_size"), F.posexplode(keep).alias(f"{side}_place", "x")).select(f"{side}_id", f"{side}_size", f"{side}_place", F.xxhash64("x.token").alias("token"))
+
+    pa = cut(prefix(a, "left"), "prefix")
+    pb = pa.withColumnsRenamed({f"left_{x}": f"right_{x}" for x in ("id", "size", "place")}) if alone else prefix(b, "right")
+    pa, pb, keys = _salted(pa, pb, ["token"])
+    n, m = F.col("left_size"), F.col("right_size")
+    after = F.least(n - F.col("left_place"), m - F.col("right_place"))  # common tokens, the first included, places from 0
+    enough = (n >= threshold * m - 1e-9) & (m >= threshold * n - 1e-9) & (after >= threshold / (1 + threshold) * (n + m) - 1e-9)
+    met = pa.alias("x").join(pb.alias("y"), [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys] + [enough] + ([F.col("left_id") > F.col("right_id")] if alone else []))
+    pairs = met.select("left_id", "right_id").distinct()
+    scored = pairs.join(a, "left_id").join(b, "right_id").withColumn("similarity", text.jaccard(F.col("left_tokens"), F.col("right_tokens")))
     return scored.where(F.col("similarity") >= threshold).select("left_id", "right_id", "similarity")
 
 
@@ -62,44 +90,60 @@ def match_band(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("similarity") >= low) & (F.col("similarity") < high)).groupBy("left_id").agg(F.min("right_id").alias("right_id"))
 
 
-def match_existing(rows: DataFrame) -> DataFrame:
-    """For each row the earlier row it matches: left_id, right_id, similarity, exact. Rows without a match give none.
+def match_existing(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """For each row the row it matches: left_id, right_id, similarity, exact. Rows without a match give none.
 
-    ``rows`` has doc_id, text and track. An equal canonical key wins, its first row, without a similarity. Else a row is accepted
-    on one of three rungs: similarity at the threshold; strong, SimHash near, subjects agree and not in the review band; strong,
-    similarity from the floor to the band and subjects agree. The most similar is taken; of equals the last.
+    Both tables have doc_id, text and track. Rows are matched with ``ledger``; without one, with those of their own table that have a smaller doc_id.
+    An equal canonical key wins, its first row, without a similarity. Else a row is accepted on one of three rungs: similarity at the threshold; strong,
+    SimHash near, subjects agree and not in the review band; strong, similarity from the floor to the band and subjects agree. The most similar is
+    taken; of equals the last.
 
-    Rows of equal tokens, track and SimHash are judged as one. The rungs' pairs come from the prefix filter at the floor, and from rows
-    that share a key entity and one of the SimHash's blocks: within the radius at least one block is equal, and strong needs a shared entity.
+    Rows of equal tokens, track and SimHash are judged as one. The rungs' pairs come from the prefix filter at the floor, and from rows that share a key entity
+    and one of the SimHash's blocks: within the radius at least one block is equal, and strong needs a shared entity. A pair is taken from the first block it shares.
     """
     radius, low = SCORING["hamming"], SCORING["band"][0]
     blocks, c = radius + 1, F.col
-    first = lambda *by: F.min("doc_id").over(W.partitionBy(*by))
-    seen = rows.select("doc_id", "track", text.entities(c("text"), text.TOKENS_OF_SETS).alias("tokens"), text.simhash(c("text")).alias("code"))
-    seen = seen.withColumn("entities", F.slice("tokens", 1, text.TOKENS_OF_ENTITIES))
-    seen = seen.withColumn("by_key", first(text.canonical_key(c("entities"), c("track")))).withColumn("by_set", first(F.array_sort("tokens"))).withColumn("like", first("tokens", "track", "code"))
-    seen = seen.persist()  # the texts are parsed once, read by each rung
-    exact = seen.where("by_key < doc_id").select(c("doc_id").alias("left_id"), c("by_key").alias("right_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("exact"))
+    # a row is a pair of its side and doc_id, so that all of the ledger comes before all rows
+    of = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), "doc_id").alias("row"), "track", "text")
+    both = of(rows, 1) if ledger is None else of(rows, 1).union(of(ledger, 0))
+    asks, told = c("row.side") == 1, F.lit(True) if ledger is None else c("row.side") == 0
+    parsed = both.select("row", "track", text.entities(c("text"), text.TOKENS_OF_SETS).alias("tokens"), text.simhash(c("text")).alias("code"))
+    parsed = parsed.withColumn("entities", F.slice("tokens", 1, text.TOKENS_OF_ENTITIES))
+    digest = lambda *x: F.md5(F.to_json(F.struct(*[y.alias(f"f{i}") for i, y in enumerate(x)])).cast("binary"))
+    named = {"key": digest(text.canonical_key(c("entities"), c("track"))), "set": digest(F.array_sort("tokens")), "same": digest(c("tokens"), c("track"), c("code"))}
+    parsed = cut(parsed.withColumns(named), "parsed")  # the texts are parsed once, read by each rung
+    seen = parsed
+    for name, only in (("key", told), ("set", F.lit(True)), ("same", told)):
+        least = parsed.groupBy(c(name).alias("of")).agg(F.min(F.when(only, c("row"))).alias(f"by_{name}"))
+        seen = seen.join(least, c(name) == c("of")).drop("of", name)
+    seen = cut(seen, "seen")
+    matched = F.coalesce(c("by_key") < c("row"), F.lit(False))
+    exact = seen.where(asks & matched).select(c("row.doc_id").alias("left_id"), c("by_key.doc_id").alias("right_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("exact"))
 
     full = seen.where(F.size("tokens") > 0)
-    asked, known = full.where("by_key = doc_id"), full.where("like = doc_id")
-    sets = full.where("by_set = doc_id").select(c("doc_id").alias("id"), "tokens")
-    near = similar(sets, sets, SCORING["floor"]).select(c("left_id").alias("l"), c("right_id").alias("r"))
-    near = near.join(asked.select(c("by_set").alias("l"), c("doc_id").alias("left_id")), "l").join(known.select(c("by_set").alias("r"), c("doc_id").alias("right_id")), "r")
+    asked, known = full.where(asks & ~matched), full.where(told & (c("by_same") == c("row")))
+    sets = full.where(c("by_set") == c("row")).select(c("row").alias("id"), "tokens")
+    alike = similar(sets, SCORING["floor"]).select(c("left_id").alias("l"), c("right_id").alias("r"))
+    near = alike.union(alike.select("r", "l")).union(sets.select(c("id").alias("l"), c("id").alias("r")))
+    near = near.join(asked.select(c("by_set").alias("l"), c("row").alias("left_id")), "l").join(known.select(c("by_set").alias("r"), c("row").alias("right_id")), "r")
     edge = [64 * i // blocks for i in range(blocks + 1)]
     masks = [(1 << edge[b + 1]) - (1 << edge[b]) for b in range(blocks)]
     signed = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in masks])
 
     def banded(df: DataFrame, side: str) -> DataFrame:
-        each = df.select(c("doc_id").alias(f"{side}_id"), c("code").alias(f"{side}_code"), F.explode("entities").alias("entity"), c("code"))
-        return each.select(f"{side}_id", f"{side}_code", "entity", F.posexplode(F.transform(signed, lambda m: m.bitwiseAND(c("code")))).alias("block", "bits"))
-
-    close = (c("right_id") < c("left_id")) & (c("right_code") != 0) & (text.hamming(c("left_code"), c("right_code")) <= radius)
-    hashed = banded(asked, "left").join(banded(known, "right"), ["entity", "block", "bits"]).where(close)
+        each = df.select(c("row").alias(f"{side}_id"), c("code").alias(f"{side}_code"), F.explode("entities").alias("entity"), c("code"))
+        each = each.select(f"{side}_id", f"{side}_code", F.xxhash64("entity").alias("entity"), F.posexplode(F.transform(signed, lambda m: m.bitwiseAND(c("code")))).alias("block", "bits"))
+        return each.where(c(f"{side}_code") != 0) if side == "right" else each
+
+    one, two, keys = _salted(banded(asked, "left"), banded(known, "right"), ["entity", "block", "bits"])
+    differ = c("left_code").bitwiseXOR(c("right_code"))
+    first = F.array_position(F.transform(signed, lambda m: m.bitwiseAND(differ) == 0), True) - 1
+    close = (c("right_id") < c("left_id")) & (text.hamming(c("left_code"), c("right_code")) <= radius) & (first == c("x.block"))
+    hashed = one.alias("x").join(two.alias("y"), [c(f"x.{k}") == c(f"y.{k}") for k in keys] + [close])
     pairs = near.where("right_id < left_id").select("left_id", "right_id").union(hashed.select("left_id", "right_id")).distinct()
 
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*[c(x).alias(f"{name}_{y}") for x, y in (("doc_id", "id"), ("tokens", "tokens"), ("entities", "entities"), ("track", "track"), ("code", "code"))])
+        return df.select(*[c(x).alias(f"{name}_{y}") for x, y in (("row", "id"), ("tokens", "tokens"), ("entities", "entities"), ("track", "track"), ("code", "code"))])
 
     j = pairs.join(side(asked, "left"), "left_id").join(side(known, "right"), "right_id")
     j = j.withColumn("similarity", text.jaccard(c("left_tokens"), c("right_tokens")))
@@ -107,16 +151,26 @@ def match_existing(rows: DataFrame) -> DataFrame:
     gate = strong(c("left_entities"), c("right_entities"), c("left_track") == c("right_track")) & subjects_agree(c("left_tokens"), c("right_tokens"))
     hit = (c("right_code") != 0) & (text.hamming(c("left_code"), c("right_code")) <= radius)
     ok = (sim >= SCORING["jaccard"]) | (gate & hit & ~((sim >= low) & (sim < SCORING["jaccard"]))) | (gate & (sim >= SCORING["floor"]) & (sim < low))
-    best = j.where(ok).select("left_id", "right_id", "similarity").withColumn("top", F.max("similarity").over(W.partitionBy("left_id"))).where(sim == c("top"))
-
-    # the last row below the candidate among those judged as one: a running value, not a join
-    marks = full.select("like", "doc_id", c("doc_id").alias("member"), F.lit(None).cast("double").alias("similarity")).union(
-        best.select(c("right_id").alias("like"), c("left_id").alias("doc_id"), F.lit(None).cast("long").alias("member"), "similarity")
-    )
-    before = F.last("member", ignorenulls=True).over(W.partitionBy("like").orderBy("doc_id", "member").rowsBetween(W.unboundedPreceding, W.currentRow))
-    last = marks.withColumn("before", before).where("member is null")
-    fuzzy = last.groupBy(c("doc_id").alias("left_id")).agg(F.max("before").alias("right_id"), F.max("similarity").alias("similarity"))
-    return exact.unionByName(fuzzy.withColumn("exact", F.lit(False)))
+    good = cut(j.where(ok).select("left_id", "right_id", "similarity"), "good")
+    top = good.groupBy("left_id").agg(F.max("similarity").alias("similarity"))
+    best = good.join(top, ["left_id", "similarity"]).select("left_id", "right_id", "similarity")
+
+    # the last row below the candidate among those judged as one: a running value over the classes that some candidate matches, not a join
+    classes = best.select(c("right_id").alias("by_same")).distinct()
+    members = full.where(told).join(classes, "by_same", "left_semi")
+    none = F.lit(None).cast(seen.schema["row"].dataType)
+    marks = members.select("by_same", "row", c("row").alias("member"), F.lit(None).cast("double").alias("similarity")).union(best.select(c("right_id").alias("by_same"), c("left_id").alias("row"), none.alias("member"), "similarity"))
+    before = F.last("member", ignorenulls=True).over(W.partitionBy("by_same").orderBy("row", "member").rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = marks.withColumn("before", before).where("similarity is not null")
+    fuzzy = last.groupBy(c("row").alias("left")).agg(F.max("before").alias("right"), F.max("similarity").alias("similarity"))
+    return exact.unionByName(fuzzy.select(c("left.doc_id").alias("left_id"), c("right.doc_id").alias("right_id"), "similarity", F.lit(False).alias("exact")))
+
+
+def review_band(rows: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Rows with a ledger row in the review band, with the first such: left_id, right_id. They are reported, never merged. Both tables have doc_id and text."""
+    low, high = SCORING["band"]
+    sets = lambda df: token_rows(df, "doc_id", "text")
+    return match_band(similar(sets(rows), low, sets(ledger)).where(F.col("similarity") < high))
 
 
 def strong(a_entities: Column, b_entities: Column, same_track: Column) -> Column:

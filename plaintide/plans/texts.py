@@ -12,6 +12,7 @@ from plaintide.operators import guard, messages, pool
 from plaintide.plans.adapters import MESSAGES
 from plaintide.plans.adapters import messages as read_messages
 from plaintide.plans.registry import query, table
+from plaintide.storage import spread
 from plaintide.streaming import pool as live
 
 NOW = "2024-01-30 00:00:00"
@@ -20,7 +21,7 @@ ALIAS_SQL = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.ALIAS
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"))
 
 
 @query("SELECT channel, author, text, thread, seq, reply_to FROM (" + MESSAGES + ") WHERE NOT bot AND webhook_id IS NULL AND trim(coalesce(text, ''), ' ') <> ''")
@@ -196,7 +197,7 @@ s AS (SELECT left_id, right_id, k / CAST(x.n + y.n - k AS DOUBLE) AS similarity
 
 def _pairs(spark: SparkSession, sf_dir: str, threshold: float) -> DataFrame:
     sets = _sets(spark, sf_dir)
-    return pool.similar(sets, sets, threshold).where("left_id > right_id")
+    return pool.similar(sets, threshold)
 
 
 @query(f"WITH {PAIRS_SQL} SELECT left_id, right_id, similarity FROM s WHERE similarity >= 0.45e0")

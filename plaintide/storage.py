@@ -62,6 +62,16 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, its rows dealt to all cores if it is read from fewer files than there are cores, and is small enough for a core to take what one scan task does.
+
+    A file of one row group is one task's work, however many cores wait. Tables of many or large files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = len(df.inputFiles()) < cores and df.rdd.getNumPartitions() <= cores
+    return df.repartition(cores) if few else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

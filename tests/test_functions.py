@@ -173,7 +173,8 @@ def test_similar_equals_brute_force(spark):
     df = spark.createDataFrame(sets, "id long, tokens array<string>")
     for threshold in (0.45, 0.83):
         want = {(a, b) for a, x in sets for b, y in sets if x and y and len(set(x) & set(y)) / len(set(x) | set(y)) >= threshold}
-        assert {(r["left_id"], r["right_id"]) for r in pool.similar(df, df, threshold).collect()} == want
+        assert {(r["left_id"], r["right_id"]) for r in pool.similar(df, threshold, df).collect()} == want
+        assert {(r["left_id"], r["right_id"]) for r in pool.similar(df, threshold).collect()} == {(a, b) for a, b in want if a > b}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 70, 300])
