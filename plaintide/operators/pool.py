@@ -93,7 +93,7 @@ def match_band(pairs: DataFrame) -> DataFrame:
 def match_existing(rows: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """For each row the row it matches: left_id, right_id, similarity, exact. Rows without a match give none.
 
-    Both tables have doc_id, text and track. Rows are matched with ``ledger``; without one, with those of their own table that have a smaller doc_id.
+    Both tables have doc_id, text, and track or a canonical_key that names it. Rows are matched with ``ledger``; without one, with those of their own table that have a smaller doc_id.
     An equal canonical key wins, its first row, without a similarity. Else a row is accepted on one of three rungs: similarity at the threshold; strong,
     SimHash near, subjects agree and not in the review band; strong, similarity from the floor to the band and subjects agree. The most similar is
     taken; of equals the last.
@@ -104,13 +104,14 @@ def match_existing(rows: DataFrame, ledger: DataFrame | None = None) -> DataFram
     radius, low = SCORING["hamming"], SCORING["band"][0]
     blocks, c = radius + 1, F.col
     # a row is a pair of its side and doc_id, so that all of the ledger comes before all rows
-    of = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), "doc_id").alias("row"), "track", "text")
+    keyed = "canonical_key" in rows.columns
+    of = lambda df, side: df.select(F.struct(F.lit(side).alias("side"), "doc_id").alias("row"), F.substring_index("canonical_key", "::", -1).alias("track") if keyed else "track", "text", "canonical_key" if keyed else F.lit(None).cast("string").alias("canonical_key"))
     both = of(rows, 1) if ledger is None else of(rows, 1).union(of(ledger, 0))
     asks, told = c("row.side") == 1, F.lit(True) if ledger is None else c("row.side") == 0
-    parsed = both.select("row", "track", text.entities(c("text"), text.TOKENS_OF_SETS).alias("tokens"), text.simhash(c("text")).alias("code"))
-    parsed = parsed.withColumn("entities", F.slice("tokens", 1, text.TOKENS_OF_ENTITIES))
+    parsed = both.select("row", "track", "canonical_key", text.entities(c("text"), text.TOKENS_OF_SETS).alias("tokens"), text.simhash(c("text")).alias("code"))
+    parsed = parsed.withColumn("entities", F.split(F.substring_index("canonical_key", "::", 1), r"\|") if keyed else F.slice("tokens", 1, text.TOKENS_OF_ENTITIES))
     digest = lambda *x: F.md5(F.to_json(F.struct(*[y.alias(f"f{i}") for i, y in enumerate(x)])).cast("binary"))
-    named = {"key": digest(text.canonical_key(c("entities"), c("track"))), "set": digest(F.array_sort("tokens")), "same": digest(c("tokens"), c("track"), c("code"))}
+    named = {"key": digest(c("canonical_key") if keyed else text.canonical_key(c("entities"), c("track"))), "set": digest(F.array_sort("tokens")), "same": digest(c("tokens"), c("track"), c("code"), *([c("canonical_key")] if keyed else []))}
     parsed = cut(parsed.withColumns(named), "parsed")  # the texts are parsed once, read by each rung
     seen = parsed
     for name, only in (("key", told), ("set", F.lit(True)), ("same", told)):

@@ -97,20 +97,6 @@ def gate(cards: DataFrame) -> DataFrame:
     return marked.withColumn("pushable", F.col("_top").isNotNull()).withColumn("archivable", archivable).withColumn("digest_only", archivable & F.col("_top").isNull()).drop("_top")
 
 
-def process(current: DataFrame, prior: DataFrame) -> DataFrame:
-    """A day's batch as counts that add up, one row. Both are scored cards with what :func:`plaintide.operators.pool.evolve` compares.
-
-    Every card is matched with its prior row and is new, resurfaces or is suppressed; what is not suppressed goes through the gate; what
-    passes is pushed, archived or left out. candidates = fresh + resurfaced + suppressed, and fresh + resurfaced = blocked + passed.
-    """
-    decided = cut(pool.evolve(current, prior), "decided")
-    branches = decided.agg(F.count(F.lit(1)).alias("candidates"), *[F.count_if(F.col("branch") == b).alias(n) for b, n in (("NEW", "fresh"), ("RESURFACE", "resurfaced"), ("SUPPRESS", "suppressed"))])
-    gated = gate(decided.where("branch <> 'SUPPRESS'")).agg(
-        F.count_if(~F.col("passed")).alias("blocked"), *[F.count_if(c).alias(n) for c, n in (("passed", "passed"), ("pushable", "pushed"), ("archivable", "archived"), ("digest_only", "digest_only"))]
-    )
-    return branches.join(F.broadcast(gated)).withColumn("empty_day", F.col("archived") == 0)
-
-
 def headlines(cards: DataFrame, cap: int = 5) -> DataFrame:
     """The first ``cap`` demands of the queue as one line each: a top-k, never a full sort."""
     kept = cards.where(~scoring.is_cut(F.col("tier"), F.col("kano")))
@@ -173,15 +159,31 @@ def build_cards(cards: DataFrame) -> DataFrame:
     return done.withColumns({"origins": origins, "source_set": sources, "independent_source_count": isc})
 
 
-def digest(cards: DataFrame, date: str) -> DataFrame:
-    """One markdown text: coverage that adds up, queue lines in order, or an honest empty day. For a day's bounded card set."""
-    cut = scoring.is_cut(F.col("tier"), F.col("kano"))
-    counts = cards.agg(F.count(F.lit(1)).alias("n"), F.count_if(cut).alias("cut"))
-    queue = iteration_queue(cards)
-    line = F.concat(F.col("position").cast("string"), F.lit(". ["), F.col("tier"), F.lit("/"), F.col("horizon"), F.lit("] "), text.inline(F.col("title")), F.lit(", final "), F.col("final_score").cast("string"))
-    body = queue.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", line.alias("line")))), lambda x: x["line"]), "\n").alias("body"))
-    head = F.concat(F.lit(f"# Demand digest {date}\n\n> candidates "), F.col("n").cast("string"), F.lit(", actionable "), (F.col("n") - F.col("cut")).cast("string"), F.lit(", noise "), F.col("cut").cast("string"), F.lit("\n\n"))
-    return counts.join(F.broadcast(body)).select(F.concat(head, F.when(F.col("body") == "", "**No demand cleared the floor today.**").otherwise(F.col("body"))).alias("markdown"))
+def digest_lines(cards: DataFrame, date: str) -> DataFrame:
+    """The day's digest as numbered lines (n, line): a head with coverage that adds up, and three lines for each demand of the queue in order, or an honest empty day.
+
+    A demand shows its place, tier and pool; the parts of its RICE, its WSJF and opportunity; its evidence by origin. Lines are made where the ranked rows are, by their place:
+    no list of the queue is gathered, and :meth:`write.text` after ``orderBy("n")`` gives the file's parts in order.
+    """
+    c, shown = F.col, lambda x: F.coalesce(F.col(x).cast("string"), F.lit("?"))
+    cut_ = scoring.is_cut(c("tier"), c("kano"))
+    counts = cards.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(cut_).alias("cut"), F.coalesce(F.sum("internal_mentions"), F.lit(0)).alias("internal"), F.coalesce(F.sum("external_mentions"), F.lit(0)).alias("external")
+    )
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    told = [
+        F.lit(f"# Demand digest {date}"), F.lit(""), text_of("> candidates ", c("n"), ", actionable ", c("n") - c("cut"), ", noise ", c("cut")), text_of("> evidence internal ", c("internal"), ", external ", c("external")),
+        F.when(c("n") == c("cut"), F.lit("**No demand cleared the floor today.**")).otherwise(F.lit("")),
+    ]
+    head = counts.select(F.posexplode(F.array(*told)).alias("n", "line")).select(c("n").cast("long").alias("n"), "line")
+    queue = split_pools(iteration_queue(cards))
+    body = [
+        text_of(c("position"), ". [", c("tier"), "/", c("horizon"), "/", c("pool"), "] ", text.inline(c("title")), ", final ", shown("final_score"), " (", shown("grade"), ")"),
+        text_of("   RICE ", shown("rice_raw"), " = reach ", shown("reach"), ", impact ", shown("impact"), ", confidence ", shown("confidence"), "; WSJF ", shown("wsjf"), "; opportunity ", shown("opportunity")),
+        text_of("   evidence ", c("internal_mentions"), " internal, ", c("external_mentions"), " external, ", c("distinct_authors"), " authors"),
+    ]
+    lines = queue.select("position", F.posexplode(F.array(*body)).alias("k", "line"))
+    return head.unionByName(lines.select((F.lit(len(told)) + 3 * (c("position") - 1) + c("k")).cast("long").alias("n"), "line"))
 
 
 def digest_file(markdown: str, folder: str, date: str) -> str:

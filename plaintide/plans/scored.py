@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from plaintide.config import CLOSED
 from plaintide.functions import scoring, text
-from plaintide.operators import demand, drift, pool, ranking
+from plaintide.operators import batch, demand, drift, pool, ranking
 from plaintide.plans.adapters import CUTOFF, MENTIONS, PROPOSALS, mentions, proposals
 from plaintide.plans.registry import query
-from plaintide.storage import cut
+from plaintide.sources import ledger
+from plaintide.storage import cut, new_path
 
 BASE = f"WITH m AS ({MENTIONS}), p AS ({PROPOSALS}), {demand.SCORED}"
 
@@ -154,6 +155,7 @@ def top_arch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(over(f", {ERRS} SELECT CAST(sum(internal_mentions) AS BIGINT) AS internal, CAST(sum(external_mentions) AS BIGINT) AS external, count(*) AS candidates, count(*) FILTER (WHERE demand_id IN (SELECT demand_id FROM t)) AS pushed, count(*) FILTER (WHERE passed) AS passed FROM g").replace("s3) ,", "s3),"))
 def agg_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coverage of one set of cards; that of a day, with those in the review band, is among the counts of :func:`evo_process`."""
     g = ranking.gate(_cards(spark, sf_dir))
     return g.agg(F.sum("internal_mentions").alias("internal"), F.sum("external_mentions").alias("external"), F.count(F.lit(1)).alias("candidates"), F.count_if("pushable").alias("pushed"), F.count_if("passed").alias("passed"))
 
@@ -302,13 +304,44 @@ def evo_decide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("demand_id", "branch", "score_delta", F.array_join("new_sources", ",").alias("new_sources"), "crossed_two", "competitor_shipped", "velocity_jumped", "external_new", "escalated")
 
 
-@query(f"""WITH x AS ({EVO}), sc AS ({over("SELECT * FROM s")}), act AS (SELECT sc.* FROM sc JOIN x USING (demand_id) WHERE branch <> 'SUPPRESS'), {ERRS.replace("AS errs FROM s)", "AS errs FROM act)")},
-q AS (SELECT *, passed AND (first OR final_score >= 40e0) AS archivable, demand_id IN (SELECT demand_id FROM t) AS pushable FROM g)
-SELECT (SELECT count(*) FROM x) AS candidates, (SELECT count(*) FROM x WHERE branch = 'NEW') AS fresh, (SELECT count(*) FROM x WHERE branch = 'RESURFACE') AS resurfaced, (SELECT count(*) FROM x WHERE branch = 'SUPPRESS') AS suppressed,
-count(*) FILTER (WHERE NOT passed) AS blocked, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE pushable) AS pushed, count(*) FILTER (WHERE archivable) AS archived,
-count(*) FILTER (WHERE archivable AND NOT pushable) AS digest_only, count(*) FILTER (WHERE archivable) = 0 AS empty_day FROM q""")
+def _day(spark: SparkSession, sf_dir: str, before: str | None) -> DataFrame:
+    """A day's cards: scored demands with texts to show, their authors and mentions."""
+    m = mentions(spark, sf_dir)
+    m = m.where(F.col("ts") < F.lit(before).cast("timestamp")) if before else m
+    people = demand.author_weight(m).groupBy("demand_id").agg(F.collect_list(F.struct(F.col("author").cast("string").alias("author_hash"), "weight")).alias("authors"))
+    cards = _shown(_side(spark, sf_dir, before)).join(people, "demand_id")
+    summary = F.when(F.col("demand_id") % 4 == 1, F.concat("summary", F.lit(" anew"))).otherwise(F.col("summary"))
+    return cards.withColumns({"summary": summary, "inferred_job": F.lit(""), "new_mentions": F.col("mention_count")})
+
+
+_SUMMARY = "concat(CASE WHEN demand_id % 17 = 0 THEN concat('write to user', CAST(demand_id AS VARCHAR), '@mail.org') ELSE 'plain words' END, CASE WHEN demand_id % 4 = 1 THEN ' anew' ELSE '' END)"
+_TOKENS = f"list_filter(regexp_extract_all(lower(concat(title, ' ', {_SUMMARY})), '[a-z0-9][a-z0-9+.#-]*'), lambda t: length(t) >= 3 AND NOT list_contains({list(text.STOP)}, t))"
+#: Day 1 has the prior cards of two demands in three; what it left in the ledger, and what each card of day 2 finds there.
+_DAYS = f"""WITH m AS ({MENTIONS}), p AS ({PROPOSALS}), {_sides('', '_c', False)}, {_sides(f"WHERE ts < TIMESTAMP '{CUTOFF}'", '_p', True)},
+led AS (SELECT *, min(demand_id) OVER (PARTITION BY canonical_key) AS ordinal, {_TOKENS} AS toks FROM v_p WHERE demand_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY canonical_key ORDER BY demand_id DESC) = 1),
+card AS (SELECT *, {_TOKENS} AS toks FROM v_c),
+near AS (SELECT c.demand_id, l.ordinal, len(list_intersect(c.toks, l.toks)) / CAST(len(list_distinct(list_concat(c.toks, l.toks))) AS DOUBLE) AS sim,
+  len(list_intersect(string_split(split_part(c.canonical_key, '::', 1), '|'), string_split(split_part(l.canonical_key, '::', 1), '|'))) AS shared, split_part(c.canonical_key, '::', 2) = split_part(l.canonical_key, '::', 2) AS same,
+  len(list_filter(c.toks, lambda t: NOT list_contains(l.toks, t))) = 0 OR len(list_filter(l.toks, lambda t: NOT list_contains(c.toks, t))) = 0 OR c.toks[1] = l.toks[1] AS agree FROM card c, led l),
+fuzzy AS (SELECT demand_id, arg_max(ordinal, (sim, ordinal)) AS ordinal FROM near WHERE sim >= 0.83e0 OR ((shared >= 2 OR (shared >= 1 AND same)) AND agree AND sim >= 0.45e0 AND sim < 0.78e0) GROUP BY 1),
+mt AS (SELECT c.demand_id, coalesce(l.ordinal, f.ordinal) AS ordinal FROM card c LEFT JOIN led l USING (canonical_key) LEFT JOIN fuzzy f ON f.demand_id = c.demand_id),
+q AS (SELECT mt.demand_id AS card_id, led.* FROM mt JOIN led USING (ordinal)),
+x AS (SELECT c.demand_id, q.card_id IS NULL AS fresh, c.final_score - coalesce(q.final_score, 0e0) >= 15e0 OR (len(list_filter(c.source_set, lambda x: NOT list_contains(coalesce(q.source_set, []), x))) >= 1 AND len(coalesce(q.source_set, [])) < 2 AND len(c.source_set) >= 2)
+  OR (c.competitor_status <> '' AND c.competitor_status <> coalesce(q.competitor_status, '') AND lower(c.competitor_status) LIKE '%shipped%') OR coalesce(abs(c.velocity - q.velocity) >= 5e0, false)
+  OR (coalesce(q.external_mentions, 0) = 0 AND c.external_mentions >= 1) OR (c.tier = 'tier0' AND coalesce(q.tier, '') <> 'tier0') AS material FROM card c LEFT JOIN q ON q.card_id = c.demand_id),
+act AS (SELECT v_c.* FROM v_c JOIN x USING (demand_id) WHERE fresh OR material), {ERRS.replace("AS errs FROM s)", "AS errs FROM act)")},
+gq AS (SELECT *, passed AND (first OR final_score >= 40e0) AS archivable, demand_id IN (SELECT demand_id FROM t) AS pushable FROM g)"""
+
+
+@query(f"""{_DAYS} SELECT (SELECT count(*) FROM x) AS candidates, (SELECT count(*) FROM x WHERE fresh) AS fresh, (SELECT count(*) FROM x WHERE NOT fresh AND material) AS resurfaced, (SELECT count(*) FROM x WHERE NOT fresh AND NOT material) AS suppressed,
+(SELECT count(DISTINCT demand_id) FROM near WHERE sim >= 0.78e0 AND sim < 0.83e0) AS candidate_merge, count(*) FILTER (WHERE NOT passed) AS blocked, count(*) FILTER (WHERE passed) AS passed, count(*) FILTER (WHERE pushable) AS pushed,
+count(*) FILTER (WHERE archivable) AS archived, count(*) FILTER (WHERE archivable AND NOT pushable) AS digest_only, (SELECT CAST(sum(internal_mentions) AS BIGINT) FROM card) AS internal, (SELECT CAST(sum(external_mentions) AS BIGINT) FROM card) AS external,
+count(*) FILTER (WHERE archivable) = 0 AS empty_day FROM gq""")
 def evo_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.process(_shown(_side(spark, sf_dir, None)), _side(spark, sf_dir, CUTOFF))
+    """Two days over a new ledger; what the second tells."""
+    root = new_path(spark, "days")
+    batch.run_day(_day(spark, sf_dir, CUTOFF).where("demand_id % 3 <> 0"), root, "day-1", F.lit("2000-01-01").cast("timestamp"))
+    return batch.run_day(_day(spark, sf_dir, None), root, "day-2", F.lit("2000-01-02").cast("timestamp"))
 
 
 @query(over("SELECT s.demand_id AS candidate_id, s.canonical_key, f.match FROM s LEFT JOIN (SELECT canonical_key, min(demand_id) AS match FROM s WHERE demand_id % 2 = 0 GROUP BY 1) f USING (canonical_key)"))
@@ -368,14 +401,27 @@ def st_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{BASE}, o AS (SELECT demand_id, final_score, tier FROM s WHERE demand_id % 3 <> 0), n AS (SELECT demand_id, final_score - 1e0 AS final_score, 'backlog' AS tier FROM s WHERE demand_id % 5 = 0)
 SELECT demand_id, CASE WHEN n.demand_id IS NULL THEN o.final_score ELSE n.final_score END AS final_score, CASE WHEN n.demand_id IS NULL THEN o.tier ELSE n.tier END AS tier FROM o FULL JOIN n USING (demand_id)""")
 def snk_upsert_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir).select("demand_id", "final_score", "tier")
+    """A ledger in buckets, its rows laid down by one run and a part of them by the next."""
+    root, s = new_path(spark, "ledger"), cut(scored(spark, sf_dir).select("demand_id", "final_score", "tier"), "scored")
     delta = s.where("demand_id % 5 = 0").select("demand_id", (F.col("final_score") - 1.0).alias("final_score"), F.lit("backlog").alias("tier"))
-    return pool.upsert(s.where("demand_id % 3 <> 0"), delta, "demand_id")
+    for run, rows in (("one", s.where("demand_id % 3 <> 0")), ("two", delta), ("two", delta)):
+        ledger.upsert(rows, "demand_id", root, run, F.lit("2000-01-01"))
+    return ledger.current(spark, root)
+
+
+_QUEUE = over(f"""SELECT *, row_number() OVER (ORDER BY {TIER_ORDER}) AS position, CASE tier WHEN 'tier0' THEN 'immediate' WHEN 'tier1' THEN 'this-week' WHEN 'tier2' THEN 'this-month' ELSE 'backlog' END AS horizon,
+ CASE WHEN opportunity >= 10e0 AND greatest(coalesce(effort_weeks, 2e0), 0.5e0) <= 3e0 AND kano IN ('must_be', 'performance', '') THEN 'quick_win' WHEN kano = 'delighter' OR (impact >= 2e0 AND confidence <= 0.5e0) THEN 'big_bet' ELSE 'other' END AS pool
+ FROM s WHERE tier <> 'cut' AND kano NOT IN ('indifferent', 'reverse')""")
+_TALLY = over("SELECT count(*) AS n, count(*) FILTER (WHERE tier = 'cut' OR kano IN ('indifferent', 'reverse')) AS noise, CAST(sum(internal_mentions) AS BIGINT) AS internal, CAST(sum(external_mentions) AS BIGINT) AS external FROM s")
 
 
-@query()
+@query(f"""WITH k AS ({_QUEUE}), h AS ({_TALLY})
+SELECT CAST(i AS BIGINT) AS n, list_extract(['# Demand digest 2001-11-05', '', concat('> candidates ', h.n, ', actionable ', h.n - noise, ', noise ', noise), concat('> evidence internal ', internal, ', external ', external), CASE WHEN h.n = noise THEN '**No demand cleared the floor today.**' ELSE '' END], CAST(i AS INTEGER) + 1) AS line FROM h, range(5) r(i)
+UNION ALL SELECT 5 + 3 * (position - 1) + i, CASE i WHEN 0 THEN concat(position, '. [', tier, '/', horizon, '/', pool, '] ', title, ', final ', final_score, ' (', grade, ')')
+ WHEN 1 THEN concat('   RICE ', rice_raw, ' = reach ', reach, ', impact ', impact, ', confidence ', confidence, '; WSJF ', wsjf, '; opportunity ', opportunity)
+ ELSE concat('   evidence ', internal_mentions, ' internal, ', external_mentions, ' external, ', distinct_authors, ' authors') END FROM k, range(3) r(i)""")
 def rnd_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.digest(scored(spark, sf_dir), "2001-11-05")
+    return ranking.digest_lines(cut(scored(spark, sf_dir), "cards"), "2001-11-05")
 
 
 CARDS = """x AS (SELECT demand_id, list(DISTINCT concat(origin, ':', channel)) AS origins, list(DISTINCT channel) AS src FROM m GROUP BY 1)"""

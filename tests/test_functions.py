@@ -207,9 +207,11 @@ def test_chained_ranks_are_permutations(spark):
 
 
 def test_digest_of_an_empty_day(spark):
-    cards = spark.createDataFrame([(1, "t", "cut", "reverse", 10.0, "k")], "demand_id long, title string, tier string, kano string, final_score double, canonical_key string")
-    md = ranking.digest(cards, "2026-06-25").first()["markdown"]
-    assert "candidates 1, actionable 0, noise 1" in md and "No demand" in md
+    names = "demand_id long, title string, tier string, kano string, final_score double, canonical_key string, internal_mentions long, external_mentions long, distinct_authors long, grade string"
+    names += ", effort_weeks double, opportunity double, impact double, confidence double, rice_raw double, reach double, wsjf double"
+    cards = spark.createDataFrame([(1, "t", "cut", "reverse", 10.0, "k", 2, 1, 1, "D", *[1.0] * 7)], names)
+    lines = [r["line"] for r in ranking.digest_lines(cards, "2026-06-25").orderBy("n").collect()]
+    assert lines == ["# Demand digest 2026-06-25", "", "> candidates 1, actionable 0, noise 1", "> evidence internal 2, external 1", "**No demand cleared the floor today.**"]
 
 
 def test_scanners(spark):
