@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plaintide.plans import files, records, rules, scored, texts  # noqa: F401  they register their queries
+from plaintide.plans import files, streams, records, rules, scored, texts  # noqa: F401  they register their queries
 from plaintide.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from plaintide.config import DEMAND_INTENTS, INTENTS
 from plaintide.functions import text
+from plaintide.storage import cut
 
 FORCES = ("push", "pull", "anxiety", "habit")
 
@@ -69,6 +70,41 @@ def context(messages: DataFrame, size: int = 6, each: int = 160, cap: int = 1500
     return messages.withColumn("context", F.left(F.array_join(said, "\n"), F.lit(cap)))
 
 
+def session_edges(messages: DataFrame, gap_seconds: int = 300) -> DataFrame:
+    """Links a > b of messages (id, channel, author, ts, reply_to) of one session: a reply and what it answers, and an author's message and their one before, less than the gap ago."""
+    replies = messages.where("reply_to is not null and reply_to <> id").select(F.greatest("id", "reply_to").alias("a"), F.least("id", "reply_to").alias("b"))
+    w = W.partitionBy("channel", "author").orderBy("ts", "id")
+    last = messages.select("id", "ts", F.lag("id").over(w).alias("before"), F.lag("ts").over(w).alias("then"))
+    near = last.where(F.unix_micros("ts") - F.unix_micros("then") < gap_seconds * 1_000_000).select(F.greatest("id", "before").alias("a"), F.least("id", "before").alias("b"))
+    # an answer to a message that is not there begins a session of its own
+    return replies.join(messages.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").union(near).distinct()
+
+
+def sessions(messages: DataFrame, gap_seconds: int = 300) -> DataFrame:
+    """``session`` of each message, its smallest id: what is connected by replies and by bursts of one author, however long the chain.
+
+    Each round points every message at its least neighbour, follows the pointers to their ends by doubling, and contracts; a chain takes as many jumps as its length has
+    digits. Only the question whether anything is left reaches the driver.
+    """
+    links = cut(session_edges(messages, gap_seconds), "links")
+    labels = None
+    while not links.isEmpty():
+        both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "step")
+        moving = True
+        while moving:
+            ends = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
+            jumped = cut(step.join(ends, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "step")
+            step, moving = jumped.drop("moved"), not jumped.where("moved").isEmpty()
+        to = step.select(F.col("node").alias("of"), F.col("root").alias("to"))
+        labels = step if labels is None else cut(labels.join(to, F.col("root") == F.col("of"), "left").select("node", F.coalesce("to", "root").alias("root")), "labels")
+        ends = lambda df, x: df.join(to, F.col(x) == F.col("of")).drop(x, "of").withColumnRenamed("to", x)  # noqa: E731, B023
+        links = cut(ends(ends(links, "a"), "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if labels is None:
+        return messages.withColumn("session", F.col("id"))
+    return messages.join(labels.select(F.col("node").alias("_of"), F.col("root").alias("_to")), F.col("id") == F.col("_of"), "left").withColumn("session", F.coalesce("_to", "id")).drop("_of", "_to")
+
+
 def uncertain(confidence: Column, low: float = 0.3, high: float = 0.85) -> Column:
     """Between the bounds; what is no number is not uncertain."""
     value = confidence.try_cast("double")
