@@ -1,17 +1,12 @@
-"""Queries over readers, writers and loaded policies: each writes what it reads below the shared folder, or in a folder of the driver's."""
+"""Queries over readers and writers: each writes what it reads below the shared folder."""
 
 from __future__ import annotations
 
-import datetime
-import json
-import tempfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plaintide import config
-from plaintide.operators import policy, ranking
+from plaintide.operators import ranking
 from plaintide.plans.registry import query, table
 from plaintide.sources import readers
 from plaintide.storage import new_path
@@ -53,120 +48,6 @@ def src_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where((F.col("source") == "MACHINERY") & ~F.col("status").isin(*config.CLOSED)).select("c_custkey", "source", "c_acctbal")
 
 
-@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(count(*) FILTER (WHERE r <> 3) AS BIGINT) AS readable, CAST(sum(CASE WHEN r <> 3 THEN length(c_name) ELSE 0 END) AS BIGINT) AS chars FROM (SELECT c_name, c_custkey % 4 AS r FROM customer WHERE c_custkey <= 24)")
-def src_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of the driver's, in three encodings and as binary."""
-    with tempfile.TemporaryDirectory() as folder:
-        for r in table(spark, sf_dir, "customer").where("c_custkey <= 24").select("c_custkey", "c_name").collect():
-            raw = [lambda x: x.encode(), lambda x: x.encode("utf-16"), lambda x: x.encode("cp1252"), lambda _: bytes(range(1, 32)) * 20][r["c_custkey"] % 4](r["c_name"])
-            at = Path(folder) / f"d{r['c_custkey'] % 3}" / f"{r['c_custkey']}.txt"
-            at.parent.mkdir(exist_ok=True)
-            at.write_bytes(raw)
-        found = readers.tree(spark, folder).agg(F.count(F.lit(1)).alias("files"), F.count_if("readable").alias("readable"), F.sum(F.length("text")).cast("long").alias("chars")).collect()
-    return spark.createDataFrame(found, "files long, readable long, chars long")
-
-
-@query("SELECT * FROM (VALUES ('archive', 40e0), ('effort_min', 0.75e0), ('push', 65e0), ('push_cap', 5e0)) AS t(name, value)")
-def src_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Defaults under a file that changes two values, one by its long name; the file of another product counts for nothing."""
-    with tempfile.TemporaryDirectory() as folder:
-        (Path(folder) / "one").mkdir()
-        (Path(folder) / "one/config.json").write_text(json.dumps({"scoring": {"min_score_to_push": 65, "effort_min": 0.75}}))
-        loaded = config.resolved(config.load(folder, "one"))
-    return spark.createDataFrame([(n, float(loaded[n])) for n in ("archive", "effort_min", "push", "push_cap")], "name string, value double")
-
-
-def _file(told: object) -> str:
-    with tempfile.NamedTemporaryFile("w", suffix=".json", delete=False) as f:
-        json.dump(told, f)
-    return f.name
-
-
-@query("SELECT DISTINCT lower(p_name) AS value, 'linkage' AS kind FROM part WHERE p_partkey <= 100")
-def pg_deny_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = sorted({r[0] for r in table(spark, sf_dir, "part").where("p_partkey <= 100").select("p_name").collect()})
-    path = _file({"format": 2, "canary": "canary-x", "count": len(names) + 1, "tokens": [{"value": f" {x.upper()} ", "kind": "linkage"} for x in names] + ["canary-x"]})
-    try:
-        return spark.createDataFrame(policy.deny_tokens(path), "value string, kind string")
-    finally:
-        Path(path).unlink()
-
-
-@query("SELECT concat('o', CAST(s_suppkey % 5 AS VARCHAR)) AS owner, lower(s_name) AS name, CASE s_suppkey % 3 WHEN 0 THEN 'public' ELSE 'private' END AS state FROM supplier WHERE s_suppkey <= 60 AND s_suppkey % 3 < 2")
-def pg_vis_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey <= 60").select("s_suppkey", "s_name").collect()
-    told = {f"o{r[0] % 5}/{r[1]}": ("PUBLIC", {"v": "private"}, "odd")[r[0] % 3] for r in rows} | {"_refreshed": "2024-01-01T00:00:00Z"}
-    path = _file(told)
-    try:
-        found = policy.visibility(path, datetime.datetime(2024, 1, 2, tzinfo=datetime.UTC))
-    finally:
-        Path(path).unlink()
-    if found.unknown != {"ODD"} or found.age != 86400:
-        raise ValueError("the map was not read whole")
-    return spark.createDataFrame([(o, n, "public") for o, names in found.public.items() for n in names] + [(o, n, "private") for o, n in found.private], "owner string, name string, state string")
-
-
-@query("SELECT * FROM (VALUES ('r', 'alpha', 'tree', 'kept'), ('r', 'beta', 'tree', 'proved')) AS t(repo, token, scope, reason)")
-def pg_grant_add(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One request that is proved, and four that are refused."""
-    grants = spark.createDataFrame([("r", "alpha", "tree", "kept", "")], "repo string, token string, scope string, reason string, nonce string")
-    tokens = spark.createDataFrame([("Beta",), ("gamma",)], "token string")
-    findings = spark.createDataFrame([("BETA",), ("delta",)], "value string")
-    for token, nonce in (("beta", "bad"), ("beta", "good"), ("gamma", "good"), ("delta", "good"), ("omega", "good")):
-        try:
-            grants = policy.add_grant(grants, {"repo": "r", "token": token, "scope": "tree", "reason": "proved", "nonce": nonce}, "good", tokens, findings)
-        except policy.PolicyError:
-            continue
-    return grants.drop("nonce")
-
-
-@query("SELECT * FROM (VALUES ('data', 'runs/'), ('data', 'out.jsonl'), ('data_sealed', 'old.db')) AS t(list, path)")
-def db_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _file({"data": ["runs/", "out.jsonl"], "data_sealed": ["old.db"], "note": "not a list"})
-    try:
-        found = policy.manifest(path)
-    finally:
-        Path(path).unlink()
-    if policy.manifest(path) is not None:
-        raise ValueError("a manifest that is not there enforces nothing")
-    return spark.createDataFrame([(k, x) for k, v in found.items() for x in v], "list string, path string")
-
-
-@query("SELECT * FROM (VALUES (1, 'second'), (2, 'made'), (3, 'refused'), (4, 'none')) AS t(step, answer)")
-def dd_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with tempfile.TemporaryDirectory() as top:
-        one, two, repo = (str(Path(top) / x) for x in ("one", "two", "repo"))
-        Path(two).mkdir()
-        (Path(repo) / "data").mkdir(parents=True)
-        answers = [(1, "second" if str(policy.data_dir([one, two], repo)) == two else "wrong"), (4, "none" if policy.data_dir([one], repo) is None else "wrong")]
-        answers.append((2, "made" if policy.data_dir([one], repo, create=True).is_dir() else "wrong"))
-        try:
-            policy.data_dir([str(Path(repo) / "data")], repo)
-            answers.append((3, "taken"))
-        except policy.PolicyError:
-            answers.append((3, "refused"))
-    return spark.createDataFrame(answers, "step int, answer string")
-
-
-@query("SELECT * FROM (VALUES ('a layout is there', true), ('folder exists', true), ('ignore file covers secrets', false), ('ignore file exists', true), ('no absolute paths', false), ('secrets folder exists', true)) AS t(name, ok)")
-def cfg_doctor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    with tempfile.TemporaryDirectory() as folder:
-        (Path(folder) / "secrets").mkdir()
-        (Path(folder) / "priority.json").write_text('{"at": "/home/someone"}')
-        (Path(folder) / ".gitignore").write_text("secrets/\n")
-        return spark.createDataFrame([(n, ok) for n, ok, _ in config.doctor(folder)], "name string, ok boolean")
-
-
-@query("SELECT CAST(count(*) AS BIGINT) AS lines, '2024/2024-01-05.md' AS path FROM region")
-def snk_digest_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = [r[0] for r in table(spark, sf_dir, "region").select("r_name").collect()]
-    with tempfile.TemporaryDirectory() as folder:
-        ranking.digest_file("an earlier run", folder, "2024-01-05")
-        path = ranking.digest_file("\n".join(names), folder, "2024-01-05")
-        lines = len(Path(path).read_text().split("\n"))
-    return spark.createDataFrame([(lines, "/".join(path.split("/")[-2:]))], "lines long, path string")
-
-
 @query("""WITH d AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, concat('orders ', CAST(count(*) AS VARCHAR)) AS summary, o_orderkey % 2 = 0 AS later FROM orders GROUP BY 1, 3),
 a AS (SELECT date, max(summary) FILTER (WHERE NOT later) AS o, max(summary) FILTER (WHERE later) AS n FROM d GROUP BY 1)
 SELECT concat('demand:digest:', date) AS key, concat('demand digest ', date) AS title, date, coalesce(n, o) AS summary FROM a""")

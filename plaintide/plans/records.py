@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plaintide.functions import text
 from plaintide.operators import demand, pool, ranking, records
-from plaintide.plans.adapters import CUTOFF, MENTIONS, mentions
+from plaintide.plans.adapters import MENTIONS, mentions
 from plaintide.plans.registry import query, table
 from plaintide.plans.scored import REWEIGHT, _ranked, over, scored
 from plaintide.plans.texts import PAIRS_SQL, PATHS_SQL, _pairs, _paths, documents
@@ -73,14 +73,6 @@ def dt_hourgate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.hour_gate(table(spark, sf_dir, "events"), 18, F.lit("2024-01-05").cast("date")).select("event_id")
 
 
-@query("SELECT DISTINCT concat('demand:digest:', CAST(CAST(d AS DATE) AS VARCHAR)) AS item FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-20', INTERVAL 1 DAY)) AS d)")
-def dt_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from plaintide.functions import dates
-
-    days = dates.missed_days(F.lit("2024-01-01").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"))
-    return spark.range(1).select(F.explode(days).alias("d")).select(F.concat(F.lit("demand:digest:"), F.col("d").cast("string")).alias("item")).distinct()
-
-
 STATUS_OF = ("new", "triaged", "in_progress", "shipped", "wontfix", "duplicate")
 _HEAD = "concat('\"', substr(title, 1, 70), '\" (', grade, ' ', CAST(final_score AS VARCHAR), ', reach ', CAST(CAST(reach AS BIGINT) AS VARCHAR)"
 _DAY = "2001-10-20"
@@ -202,13 +194,3 @@ def pg_grants_load(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 2 == 0, F.left(F.sha2(F.concat_ws("|", F.lit("repo"), "c_name"), 256), F.lit(8))).alias("nonce"),
     )
     return records.grants(rows).select("c_custkey", "reject", "hand_written")
-
-
-@query()
-def pg_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matcher's self-test: it must hit its probes, and neither clean text nor a longer word."""
-    from plaintide.operators import guard
-
-    probes = spark.createDataFrame([(1, "say alpha now"), (2, "x-12-y"), (3, "clean text"), (4, "alphabet")], "place long, text string")
-    hits = guard.denied(probes, ["alpha", "-12-"]).select("place").distinct().withColumn("hit", F.lit(True))
-    return probes.join(hits, "place", "left").select("place", (F.coalesce("hit", F.lit(False)) == F.col("place").isin(1, 2)).alias("ok"))

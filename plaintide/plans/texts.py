@@ -477,10 +477,6 @@ def flt_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").where(score >= 0.4).select("event_id", (score >= 0.7).alias("reply"))
 
 
-@query("SELECT * FROM (VALUES ('dry', false, false, true), ('shadow', true, false, true), ('live', true, true, true)) t(mode, direct, community, display)")
-def flt_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in messages.modes().items()], "mode string, direct boolean, community boolean, display boolean")
-
 
 VERDICTS = "SELECT conv_id * 100 + turn AS i, turn % 2 = 0 AS is_demand, (turn % 10) / 10e0 AS confidence, text AS title FROM conversations"
 
