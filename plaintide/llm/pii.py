@@ -113,14 +113,19 @@ def _secret(text: str, start: int, after: int) -> Span | None:
     return ("secret", m.start(1), m.end(1)) if m and any("0" <= c <= "9" for c in m.group(1)) else None
 
 
+#: Characters after a cue in which an account's number begins.
+NEAR = 48
+
+
 def iban(value: str) -> bool:
     bare = value.replace(" ", "")
     return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
 
 
 def _account(text: str, after: int) -> Span | None:
-    m = _IBAN.search(text, after, min(len(text), after + 48))
-    if m and iban(m.group()):
+    # a value begins near its cue and runs to its own end: a cut one could pass for a shorter
+    m = _IBAN.search(text, after, min(len(text), after + NEAR + 128))
+    if m and m.start() < after + NEAR and iban(m.group()):
         return "account", m.start(), m.end()
     m = _NUMBER.match(text, after)
     return ("account", m.start(1), m.end(1)) if m else None

@@ -103,8 +103,8 @@ FROM d JOIN f USING (hex) JOIN b32 USING (hex)
 OP9 = f"""
 WITH l AS (SELECT d.doc_id, d.source, d.text AS whole, u.i, string_split(d.text, chr(10))[u.i] AS line
   FROM documents d, LATERAL (SELECT unnest(range(1, len(string_split(d.text, chr(10))) + 1)) AS i) u WHERE d.text IS NOT NULL),
-t AS (SELECT source, count(DISTINCT text) AS site FROM documents GROUP BY source),
-c AS (SELECT source, trim(line, ' ') AS mark, count(DISTINCT whole) AS held FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
+t AS (SELECT source, count(text) AS site FROM documents GROUP BY source),
+c AS (SELECT source, trim(line, ' ') AS mark, count(DISTINCT doc_id) AS held FROM l WHERE trim(line, ' ') <> '' GROUP BY 1, 2),
 b AS (SELECT c.source, c.mark FROM c JOIN t ON c.source IS NOT DISTINCT FROM t.source
   WHERE c.held >= {lines.LEAST} AND c.held > {lines.RATIO}e0 * t.site),
 k AS (SELECT l.*, b.mark IS NOT NULL AS gone FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source AND trim(l.line, ' ') = b.mark),

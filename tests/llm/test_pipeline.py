@@ -54,7 +54,7 @@ def test_stages(spark, tmp_path):
     assert text(held["quality rules"]) == text(r for r in held["input"] if plain_kept(r["text"]))
 
     rows = [(r["doc_id"], r["text"], r["source"]) for r in held["quality rules"]]
-    gone = plain_lines(rows, lines.RATIO, lines.LEAST)
+    gone = plain_lines(rows, lines.RATIO, 3, True)
     assert gone and text(held["line dedup"]) == sorted((i, s, "\n".join(x for x in t.split("\n") if (s, x.strip(" ")) not in gone)) for i, t, s in rows)
 
     codes = [plain_code(r["text"]) for r in held["line dedup"]]
