@@ -12,7 +12,6 @@ from plaintide.functions import text
 from plaintide.operators import messages
 from plaintide.plans.registry import query, table
 from plaintide.plans.texts import ALIAS_SQL
-from plaintide.sources import ledger
 from plaintide.storage import new_path
 from plaintide.streaming import keyed
 
@@ -48,7 +47,7 @@ def stm_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The live pool of a stream, a file a batch, as the merge of all its rows at once would give it."""
     root = new_path(spark, "live")
     keyed.follow(keyed.arriving(spark, _arrive(spark, sf_dir)), f"{root}/pool", f"{root}/checkpoint", timedelta(hours=FADE_HOURS)).awaitTermination()
-    return _shown(ledger.current(spark, f"{root}/pool"))
+    return _shown(keyed.pool_of(spark, f"{root}/pool"))
 
 
 @query(f"SELECT canonical_key, merged + 1 AS rows, authors, evidence, last_seen FROM ({POOL})")
@@ -60,7 +59,7 @@ def stm_catchup(spark: SparkSession, sf_dir: str) -> DataFrame:
         time.sleep(0.1)
     begun.stop()
     keyed.follow(keyed.arriving(spark, folder), f"{root}/pool", f"{root}/checkpoint", fade).awaitTermination()
-    return _shown(ledger.current(spark, f"{root}/pool")).select("canonical_key", (F.col("merged") + 1).alias("rows"), "authors", "evidence", "last_seen")
+    return _shown(keyed.pool_of(spark, f"{root}/pool")).select("canonical_key", (F.col("merged") + 1).alias("rows"), "authors", "evidence", "last_seen")
 
 
 _TALK = "SELECT conv_id * 100 + turn AS id, conv_id // 3 AS thread, concat(CAST(conv_id // 3 AS VARCHAR), ':', role) AS author, role, text, CASE WHEN turn > 0 AND (conv_id + turn) % 3 <> 0 THEN conv_id * 100 + turn - 1 WHEN conv_id % 50 = 7 AND turn = 0 THEN -5 END AS reply_to, TIMESTAMP '2024-01-01' + to_seconds((conv_id // 3) * 7200 + (conv_id % 3) * 900 + turn * (140 + 20 * (conv_id % 2))) AS ts FROM conversations"
@@ -98,5 +97,5 @@ def stm_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     stream = keyed.arriving(spark, folder, told.schema.simpleString()[7:-1].replace(":", " "))
     keyed.flush(stream, classify, f"{root}/pool", f"{root}/checkpoint", timedelta(days=36500), late="36500 days").awaitTermination()
-    pool = ledger.current(spark, f"{root}/pool")
+    pool = keyed.pool_of(spark, f"{root}/pool")
     return pool.select("canonical_key", (F.col("merged") + 1).alias("rows"), "authors", "title")

@@ -109,6 +109,12 @@ def write_pool(root: str, buckets: int = 16) -> Callable[[DataFrame, int], None]
     return write
 
 
+def pool_of(spark: SparkSession, root: str) -> DataFrame:
+    """The demands of the pool at ``root`` as of its last batch; none before the first."""
+    found = ledger.current(spark, root)
+    return spark.createDataFrame([], SHOWN) if found is None else found
+
+
 def follow(messages: DataFrame, root: str, checkpoint: str, fade: timedelta, every: str | None = None, late: str = "1 day") -> StreamingQuery:
     """The pool at ``root`` from a stream of :data:`DEMAND` rows.
 
