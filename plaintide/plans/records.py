@@ -11,6 +11,8 @@ from plaintide.plans.adapters import MENTIONS, mentions
 from plaintide.plans.registry import query, table
 from plaintide.plans.scored import REWEIGHT, _ranked, over, scored
 from plaintide.plans.texts import PAIRS_SQL, PATHS_SQL, _pairs, _paths, documents
+from plaintide.sources import ledger
+from plaintide.storage import new_path
 
 
 @query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 = 0 THEN 'shipped' ELSE 'new' END AS status, CAST(CASE WHEN o_orderkey % 4 = 0 THEN TIMESTAMP '2026-06-25' ELSE o_orderdate END AS VARCHAR) AS last_seen FROM orders")
@@ -22,7 +24,12 @@ def snk_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(max(ts) AS VARCHAR) AS last_run_at FROM events")
 def snk_watermark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.watermark(table(spark, sf_dir, "events"), "ts").select(F.col("last_run_at").cast("string").alias("last_run_at"))
+    """Two runs over a ledger, each committed with the largest time it has seen, after its rows are written."""
+    root, events = new_path(spark, "watermark"), table(spark, sf_dir, "events")
+    for run, rows in (("half", events.where("event_id % 2 = 0")), ("whole", events)):
+        last = records.watermark(rows, "ts").select(F.col("last_run_at").cast("string")).first()[0]
+        ledger.upsert(rows.groupBy("user_id").agg(F.max("ts").alias("last")), "user_id", root, run, F.lit(last))
+    return ledger.watermark(spark, root).select(F.col("last_run_at").cast("string").alias("last_run_at"))
 
 
 @query("""SELECT id, substr(title, 1, 240) AS title, md5(substr(body, 1, 4000)) AS digest, CAST(1 AS INTEGER) AS n_fields, length(substr(title, 1, 240)) + length(substr(body, 1, 4000)) + length(substr(body, 1, 1024)) AS total,
