@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+import functools
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import SCORING
@@ -47,42 +47,45 @@ def count_inversions(order: np.ndarray) -> int:
     return total
 
 
-def _block_inversions(own: str, other: str) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("r1")
-        v = count_inversions(rows["r2"].to_numpy())
-        if own == "b1":  # pairs that share both blocks are counted with either block
-            v -= count_inversions(rows.sort_values([other, "r1"])["r2"].to_numpy())
-        return pd.DataFrame({"v": [v]})
+def _falling(rows: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block in falling order of ``v``, taken in the order of ``pos``; equal values are no pair."""
+    v = rows.sort_values("pos")["v"].to_numpy()
+    return pd.DataFrame({"v": [count_inversions(v * len(v) + np.arange(len(v)))]})
 
-    return run
 
-
-def inversions(pairs: DataFrame, most_blocks: int = 1024) -> DataFrame:
+def inversions(pairs: DataFrame, block_bits: int = 16, digit_bits: int = 8) -> DataFrame:
     """Discordant pairs of two rankings: rows (id, r1, r2), ranks from 1 and without ties, to (n, discordant).
 
-    Both rankings are cut into ``k`` blocks of equal length, the square root of n but ``most_blocks`` at most. Pairs that differ in both
-    blocks are counted on the grid of k * k sizes; pairs that share a block, by bitwise partition inside that block,
-    where n / k rows meet. Work is n log n, and no pair is made.
+    The rows are sorted by ``r2`` from its highest digit on, as a radix sort does, starting in the order of ``r1``. At each level those equal in their
+    higher digits hold a run of places of their own; what stands earlier there with a larger digit is an inversion, counted inside blocks of ``2 ** block_bits``
+    places and, across blocks, from their digit counts. Once a run fits a block it is finished there. A task holds a block at most; 10^10 rows take three levels.
     """
-    pairs = cut(pairs.select(F.col("r1").cast("long").alias("r1"), F.col("r2").cast("long").alias("r2")), "ranks")
+    pairs = cut(pairs.select((F.col("r1") - 1).cast("long").alias("pos"), (F.col("r2") - 1).cast("long").alias("r2")), "ranks")
     n = pairs.count()
-    blocks = max(1, min(most_blocks, math.isqrt(n)))
-    span = max(1, -(-n // blocks))
-    placed = pairs.withColumns({f"b{i}": F.floor((F.col(f"r{i}") - 1) / span).cast("int") for i in (1, 2)})
-    inside = [placed.groupBy(own).applyInPandas(_block_inversions(own, other), "v long") for own, other in (("b1", "b2"), ("b2", "b1"))]
-    sizes = placed.groupBy("b1", "b2").agg(F.count(F.lit(1)).alias("k"))
-
-    def across(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grid = np.zeros((blocks, blocks), np.int64)
-        for part in parts:
-            grid[part["b1"], part["b2"]] = part["k"]
-        later = np.cumsum(grid, 0) - grid  # earlier blocks of the first ranking
-        larger = np.cumsum(later[:, ::-1], 1)[:, ::-1] - later  # of those, later blocks of the second
-        yield pd.DataFrame({"v": [int((grid * larger).sum())]})
-
-    found = sizes.coalesce(1).mapInPandas(across, "v long").union(inside[0]).union(inside[1])
-    return found.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("discordant"))
+    block, digit = F.shiftright("pos", block_bits), F.col("digit")
+    high, found = max(n - 1, 0).bit_length(), []
+    while high > block_bits:
+        step = min(digit_bits, high - block_bits)
+        low = high - step
+        rows = pairs.withColumn("block", block).withColumn("digit", F.shiftright("r2", low).bitwiseAND((1 << step) - 1))
+        found.append(rows.select("block", "pos", digit.alias("v")).groupBy("block").applyInPandas(_falling, "v long"))
+
+        # digits of each block, also those it does not hold, and how many of each stand in earlier blocks of its run
+        held = rows.groupBy("block", "digit").agg(F.count(F.lit(1)).alias("k"))
+        every = rows.select("block").distinct().withColumn("digit", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((1 << step) - 1).cast("long"))))
+        run = F.shiftright("block", high - block_bits)
+        earlier = W.partitionBy(run, "digit").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+        counts = every.join(held, ["block", "digit"], "left").fillna(0, "k").withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+        counts = cut(counts, "digits")
+        larger = F.coalesce(F.sum("before").over(W.partitionBy("block").orderBy(F.desc("digit")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        found.append(counts.select((F.col("k") * larger).alias("v")))
+
+        nth = F.row_number().over(W.partitionBy("block", "digit").orderBy("pos")) - 1
+        start = F.shiftleft(F.shiftright("r2", low), low)
+        moved = rows.withColumn("nth", nth).join(counts.select("block", "digit", "before"), ["block", "digit"])
+        pairs, high = cut(moved.select((start + F.col("before") + F.col("nth")).alias("pos"), "r2"), "ranks"), low
+    found.append(pairs.select(block.alias("block"), "pos", F.col("r2").alias("v")).groupBy("block").applyInPandas(_falling, "v long"))
+    return functools.reduce(DataFrame.union, found).agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.sum("v"), F.lit(0)).cast("long").alias("discordant"))
 
 
 def decision(tau: Column, churn: Column) -> Column:
