@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import re
+import tokenize
 from collections.abc import Iterator
 
 import ahocorasick
@@ -291,20 +293,21 @@ def coverage(texts: DataFrame, readable: Column) -> DataFrame:
     return texts.agg(F.count_if(readable).alias("examined"), F.count_if(~readable).alias("skipped"))
 
 
-def fix_dashes(line: Column) -> Column:
-    """Prose dashes of one line: spaced ones as a comma, ranges as "to", leftovers as a comma; inline code is left alone."""
+def fix_prose(s: Column) -> Column:
+    """Dashes of one piece of prose: spaced ones become a comma, those between letters or digits "to", others a comma at the word before; one that opens the piece goes."""
     d = "[–—―]"
-    pieces = F.regexp_extract_all(line, F.lit(r"`[^`]*`|[^`]+|`"), F.lit(0))
+    s = F.regexp_replace(s, rf"(?U)\s+{d}+\s+", ", ")
+    s = F.regexp_replace(s, rf"([A-Za-z0-9]){d}+([A-Za-z0-9])", "$1 to $2")
+    s = F.regexp_replace(s, rf"[ \t]*{d}+[ \t]*(?=\r?\z)", ",")
+    s = F.regexp_replace(s, rf"\A[ \t]*{d}+[ \t]+", "")
+    s = F.regexp_replace(s, rf"[ \t]+{d}+[ \t]*|{d}+[ \t]+", ", ")
+    return F.regexp_replace(s, rf"{d}+", ",")
 
-    def prose(s: Column) -> Column:
-        s = F.regexp_replace(s, rf"(?<=\S)[ \t]+{d}+[ \t]+(?=\S)", ", ")
-        s = F.regexp_replace(s, rf"(?U)(\w){d}(\w)", "$1 to $2")
-        s = F.regexp_replace(s, rf"^{d}+[ \t]+", "")
-        s = F.regexp_replace(s, rf"[ \t]*{d}+$", ",")
-        s = F.regexp_replace(s, rf"(?:[ \t]+{d}+[ \t]*|{d}+[ \t]+)", ", ")
-        return F.regexp_replace(s, rf"{d}+", ",")
 
-    return F.array_join(F.transform(pieces, lambda s: F.when(s.startswith("`") & s.endswith("`") & (F.length(s) >= 2), s).otherwise(prose(s))), "")
+def fix_dashes(line: Column) -> Column:
+    """:func:`fix_prose` of one line, inline code left alone; a backtick that none follows is prose."""
+    pieces = F.regexp_extract_all(line, F.lit(r"`[^`]*`|(?:[^`]++|`(?![^`]*`))++"), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda s: F.when(s.startswith("`") & s.endswith("`") & (F.length(s) >= 2), s).otherwise(fix_prose(s))), "")
 
 
 def fix_cells(line: Column) -> Column:
@@ -326,3 +329,34 @@ def fix_markdown(texts: DataFrame, allow: str = "dashes: allow") -> DataFrame:
     before = F.coalesce(F.sum(fence.cast("int")).over(W.partitionBy("place").orderBy("n").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     code = fence | (before % 2 == 1)
     return lines.withColumn("fixed", F.when(code | ~F.col("line").rlike("[–—―]") | F.contains("line", F.lit(allow)), F.col("line")).otherwise(fix_dashes(fix_cells(F.col("line")))))
+
+
+def comment_places(text: str) -> list[int] | None:
+    """Where the comment of each line of Python source begins, -1 if it has none; None for source that cannot be read."""
+    out = [-1] * (text.count("\n") + 1)
+    try:
+        for token in tokenize.generate_tokens(io.StringIO(text).readline):
+            if token.type == tokenize.COMMENT:
+                out[token.start[0] - 1] = token.start[1]
+    except (tokenize.TokenError, SyntaxError, ValueError):
+        return None
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _comments(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda x: None if x is None else comment_places(x))
+
+
+def fix_python(texts: DataFrame, allow: str = "dashes: allow") -> DataFrame:
+    """Lines of Python sources with the dashes of their comments fixed: place, n, line, fixed, examined. Strings stay, and lines that hold ``allow``.
+
+    Source that cannot be read stays as it is and is not ``examined``. A text without lines to give (null) gives none.
+    """
+    at = _comments("text")
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.coalesce(F.col("_at"), F.array().cast("array<int>")).alias("at"))
+    lines = texts.where("text is not null").select("place", "text", at.alias("_at")).select("place", F.col("_at").isNotNull().alias("examined"), F.posexplode(both).alias("n", "l"))
+    line, start = F.col("l.line"), F.col("l.at")
+    found = F.coalesce(start >= 0, F.lit(False)) & line.rlike("[–—―]") & ~F.contains(line, F.lit(allow))
+    fixed = F.when(found, F.concat(F.left(line, start), fix_prose(F.substr(line, start + 1)))).otherwise(line)
+    return lines.select("place", "n", line.alias("line"), fixed.alias("fixed"), "examined")

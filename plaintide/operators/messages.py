@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import DEMAND_INTENTS, INTENTS
-from plaintide.functions import text
+from plaintide.functions import redaction, text
+from plaintide.operators import ranking
 from plaintide.storage import cut
 
 FORCES = ("push", "pull", "anxiety", "habit")
@@ -62,12 +63,44 @@ def units(rows: DataFrame) -> DataFrame:
     )
 
 
-def context(messages: DataFrame, size: int = 6, each: int = 160, cap: int = 1500) -> DataFrame:
-    """Each message with the human ones among the ``size`` before it in its thread, joined and cut."""
-    w = W.partitionBy("thread").orderBy("seq").rowsBetween(-size, -1)
-    before = F.collect_list(F.struct("bot", F.left(F.coalesce("text", F.lit("")), F.lit(each)).alias("text"))).over(w)
-    said = F.transform(F.filter(before, lambda m: ~m["bot"]), lambda m: m["text"])
-    return messages.withColumn("context", F.left(F.array_join(said, "\n"), F.lit(cap)))
+def context(messages: DataFrame, salt: str | None = None, size: int = 6, cap: int = 1500, block: int = 1024) -> DataFrame:
+    """What surrounds each message (thread, seq, title, author, bot, text, reply_to): ``context``, empty if there is nothing.
+
+    Lines, in this order: the thread's title, its first message (not for that message itself), the message replied to, and the human ones among the ``size`` before it.
+    Every piece is redacted whole and cut afterwards; authors are the first 8 characters of their pseudonym. ``(thread, seq)`` is a message; blank pieces and
+    answers to messages that are not there are left out, a bot is called "the bot".
+
+    Messages are cut into blocks of ``block`` places in the order of threads, each with the ``size`` places before it, so no task sees a whole long thread. What messages
+    refer to is asked for once a block.
+    """
+    said = F.coalesce(redaction.redact(F.col("text"))["redacted"], F.lit(""))
+    slim = messages.select("thread", "seq", "title", "reply_to", F.coalesce("bot", F.lit(False)).alias("bot"), F.left(redaction.pseudonym(F.col("author"), salt), F.lit(8)).alias("who"), F.left(said, F.lit(400)).alias("said"), (F.trim(F.coalesce("text", F.lit(""))) == "").alias("blank"))
+    placed = cut(ranking.global_rank(slim, [F.col("thread"), F.col("seq")], "place").withColumn("block", F.floor(F.col("place") / block)), "placed")
+
+    # the last places of a block are context of the next one too
+    near = placed.withColumn("block", F.explode(F.sequence("block", F.floor((F.col("place") + size) / block))))
+    line = F.when(~F.col("bot") & ~F.col("blank"), F.concat_ws(": ", "who", F.left("said", F.lit(160))))
+    before = F.collect_list(F.struct("thread", line.alias("line"))).over(W.partitionBy("block").orderBy("place").rowsBetween(-size, -1))
+    recent = F.array_compact(F.transform(F.filter(before, lambda m: m["thread"].eqNullSafe(F.col("thread"))), lambda m: m["line"]))
+    rows = near.withColumn("recent", recent).where(F.col("block") == F.floor(F.col("place") / block))
+
+    # first messages and answered ones, asked for once by each block
+    threads = placed.groupBy("thread").agg(F.min("seq").alias("seq"))
+    first = placed.select("block", "thread").distinct().join(threads, "thread").select("block", "thread", "seq")
+    asked = first.union(placed.where("reply_to is not null").select("block", "thread", F.col("reply_to").alias("seq"))).distinct()
+    told = placed.where(~F.col("blank")).select("thread", "seq", F.struct("seq", "said", F.when(F.col("bot"), "the bot").otherwise(F.col("who")).alias("who")).alias("told"))
+    found = cut(asked.join(told, ["thread", "seq"]), "referred")
+    opener = first.join(found, ["block", "thread", "seq"]).select("block", "thread", F.col("told").alias("opener"))
+    answered = found.select("block", "thread", F.col("seq").alias("reply_to"), F.col("told").alias("answered"))
+    rows = rows.join(opener, ["block", "thread"], "left").join(answered, ["block", "thread", "reply_to"], "left")
+
+    parts = F.array(
+        F.when(F.trim("title") != "", F.concat(F.lit("[thread title] "), F.left(redaction.redact(F.col("title"))["redacted"], F.lit(150)))),
+        F.when(F.col("opener.seq") != F.col("seq"), F.concat(F.lit("[opening post] "), F.col("opener.said"))),
+        F.concat(F.lit("[replying to "), F.col("answered.who"), F.lit("] "), F.left("answered.said", F.lit(300))),
+        F.when(F.size("recent") > 0, F.concat(F.lit("[recent] "), F.array_join("recent", " | "))),
+    )
+    return rows.select("thread", "seq", F.left(F.array_join(F.array_compact(parts), "\n"), F.lit(cap)).alias("context"))
 
 
 def session_edges(messages: DataFrame, gap_seconds: int = 300) -> DataFrame:

@@ -127,15 +127,26 @@ def fixtures(declared: DataFrame, generated: DataFrame) -> DataFrame:
     return j.select("path", bad.when(mark("d.content") != mark("g.content"), "hand-edited").otherwise("ok").alias("outcome"))
 
 
-def cross_names(names: DataFrame, own: str) -> DataFrame:
-    """Names of other repositories worth guarding: five characters or more, with a companion suffix or two separators, first seen once."""
+def cross_names(names: DataFrame, own: str, public: DataFrame, map_age_seconds: Column, oldest: int = 30 * 86400) -> DataFrame:
+    """Private names of other repositories worth guarding: name, ordinal, kind, witness.
+
+    ``names`` (owner, name, ordinal) count with five characters or more and a companion suffix or two separators, unless they are ``own`` or a companion of it. A name that
+    several owners have is that of the first ``ordinal``. It is ``derived`` if its owner has a ``public`` name (owner, name) from which it follows by a suffix, which is then its
+    witness, and the map of public names is not older than ``oldest``; else it is ``linkage``, as with a map of unknown age.
+    """
     name = F.lower("name")
     known = F.lit(False)
     for s in SUFFIXES:
         known = known | name.endswith(s)
     separators = F.length(name) - F.length(F.regexp_replace(name, "[-_]", ""))
     kept = names.where((F.length(name) >= 5) & (name != own) & ~name.isin(*[own + s for s in SUFFIXES]) & (known | (separators >= 2)))
-    return kept.groupBy(name.alias("name")).agg(F.min("ordinal").alias("ordinal"))
+    first = kept.groupBy(name.alias("name")).agg(F.min(F.struct("ordinal", "owner")).alias("at")).select("name", "at.*")
+    stem = F.coalesce(*[F.when(F.col("name").endswith(s), F.expr(f"left(name, length(name) - {len(s)})")) for s in SUFFIXES])
+    shown = public.select("owner", F.lower("name").alias("witness")).distinct()
+    found = first.withColumn("_stem", stem).join(shown, (first["owner"] == shown["owner"]) & (F.col("_stem") == F.col("witness")), "left").drop(shown["owner"])
+    fresh = F.coalesce(map_age_seconds <= oldest, F.lit(False))
+    witness = F.when(fresh, F.col("witness"))
+    return found.select("name", "ordinal", F.when(witness.isNotNull(), "derived").otherwise("linkage").alias("kind"), witness.alias("witness"))
 
 
 def allow_lines(lines: DataFrame) -> DataFrame:

@@ -141,11 +141,18 @@ def join_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("demand_id", F.col("r1").cast("long").alias("r1"), F.col("r2").cast("long").alias("r2"), F.abs(F.col("r1") - F.col("r2")).cast("long").alias("shift"))
 
 
-@query("SELECT name, min(c_custkey) AS ordinal FROM (SELECT c_custkey, concat('repo-', CAST(c_custkey % 40 AS VARCHAR), CASE c_custkey % 3 WHEN 0 THEN '-data' WHEN 1 THEN '' ELSE '-x' END) AS name FROM customer) WHERE name <> 'repo-1' AND name NOT IN ('repo-1-data', 'repo-1-private', 'repo-1-config', 'repo-1-internal') AND (suffix(name, '-data') OR suffix(name, '-x')) GROUP BY 1")
+@query("""WITH c AS (SELECT c_custkey, c_nationkey AS owner, concat('repo-', c_custkey % 40, CASE c_custkey % 3 WHEN 0 THEN '-data' WHEN 1 THEN '' ELSE '-x' END) AS name FROM customer),
+k AS (SELECT name, min(c_custkey) AS ordinal, arg_min(owner, c_custkey) AS owner FROM c WHERE name <> 'repo-1' AND name NOT IN ('repo-1-data', 'repo-1-private', 'repo-1-config', 'repo-1-internal') AND (suffix(name, '-data') OR suffix(name, '-x')) GROUP BY 1),
+p AS (SELECT DISTINCT owner, name FROM c WHERE c_custkey % 3 = 1)
+SELECT days, k.name, ordinal, CASE WHEN p.name IS NOT NULL AND days <= 30 THEN 'derived' ELSE 'linkage' END AS kind, CASE WHEN days <= 30 THEN p.name END AS witness
+FROM k LEFT JOIN p ON p.owner = k.owner AND concat(p.name, '-data') = k.name, (SELECT unnest([1, 30, 31]) AS days)""")
 def join_xrepo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as repositories of their nation, a third of them public; guarded under maps of three ages."""
     k = F.col("c_custkey")
     name = F.concat(F.lit("repo-"), (k % 40).cast("string"), F.when(k % 3 == 0, "-data").when(k % 3 == 1, "").otherwise("-x"))
-    return records.cross_names(table(spark, sf_dir, "customer").select(name.alias("name"), k.alias("ordinal")), "repo-1")
+    repos = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("owner"), name.alias("name"), k.alias("ordinal"))
+    guarded = lambda days: records.cross_names(repos, "repo-1", repos.where("ordinal % 3 = 1"), F.lit(days * 86400)).withColumn("days", F.lit(days))
+    return guarded(1).union(guarded(30)).union(guarded(31))
 
 
 @query("SELECT event_id, CASE event_type WHEN 'error' THEN 'BLOCK' WHEN 'click' THEN CASE WHEN event_id % 2 = 0 THEN 'DEBT' ELSE 'BLOCK' END WHEN 'view' THEN 'WARN' ELSE 'BLOCK' END AS severity FROM events")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plaintide.config import TAXONOMY
 from plaintide.functions import dates, redaction, text
-from plaintide.operators import guard, messages, pool
+from plaintide.operators import guard, messages, pool, versions
 from plaintide.plans.adapters import MESSAGES
 from plaintide.plans.adapters import messages as read_messages
 from plaintide.plans.registry import query, table
@@ -17,6 +19,14 @@ from plaintide.streaming import pool as live
 
 NOW = "2024-01-30 00:00:00"
 STOP_SQL = ", ".join(f"'{x}'" for x in text.STOP)
+_PAD = {b: bytes(x ^ b for x in b"query-salt".ljust(64, b"\0")).hex() for b in (0x36, 0x5C)}
+
+
+def pseudonym_sql(value: str) -> str:
+    """Hex digits of the pseudonym of a text under the salt of the queries."""
+    return f"sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode({value}))))"
+
+
 ALIAS_SQL = "CASE t " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.ALIASES.items()) + " ELSE t END"
 
 
@@ -290,10 +300,7 @@ def agg_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("kind").agg(F.sum("n").alias("found"), F.count(F.lit(1)).alias("texts"))
 
 
-_PAD = {b: bytes(x ^ b for x in b"query-salt".ljust(64, b"\0")).hex() for b in (0x36, 0x5C)}
-
-
-@query(f"SELECT c_custkey, concat('u_', substr(sha256(unhex('{_PAD[0x5C]}') || unhex(sha256(unhex('{_PAD[0x36]}') || encode(CAST(c_custkey AS VARCHAR))))), 1, 16)) AS pseudonym FROM customer")
+@query(f"SELECT c_custkey, concat('u_', substr({pseudonym_sql('CAST(c_custkey AS VARCHAR)')}, 1, 16)) AS pseudonym FROM customer")
 def rd_pseudo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pseudonyms under a salt of this query's own, so that runs agree."""
     return table(spark, sf_dir, "customer").select("c_custkey", redaction.pseudonym(F.col("c_custkey"), salt="query-salt").alias("pseudonym"))
@@ -459,11 +466,92 @@ def st_dash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.fix_markdown(_places(spark, sf_dir)).select("place", "n", F.md5("fixed").alias("digest"))
 
 
-@query("""WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)
-SELECT a.conv_id AS thread, a.turn AS seq, substr(coalesce(string_agg(substr(b.text, 1, 160), chr(10) ORDER BY b.turn) FILTER (WHERE b.role = 'user'), ''), 1, 1500) AS context
-FROM x a LEFT JOIN x b ON a.conv_id = b.conv_id AND b.n BETWEEN a.n - 6 AND a.n - 1 GROUP BY 1, 2""")
+_D = "[–—―]"
+_PY_LINES = "SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM documents"
+_PY_LINES = f"SELECT doc_id, n, concat('# ', replace(line, ', ', list_extract([' — ', '–', ' —', '— '], n % 4 + 1)), CASE WHEN n % 11 = 10 THEN ' dashes: allow' ELSE '' END) AS said FROM ({_PY_LINES})"
+_FIXED = "said"
+for _find, _put in ((rf"\s+{_D}+\s+", ", "), (f"([A-Za-z0-9]){_D}+([A-Za-z0-9])", r"\1 to \2"), (rf"[ \t]*{_D}+[ \t]*$", ","), (rf"^[ \t]*{_D}+[ \t]+", ""), (rf"[ \t]+{_D}+[ \t]*|{_D}+[ \t]+", ", "), (f"{_D}+", ",")):
+    _FIXED = f"regexp_replace({_FIXED}, '{_find}', '{_put}', 'g')"
+
+
+@query(f"SELECT doc_id AS place, n, md5(concat('s = \"–\"  ', CASE WHEN n % 11 = 10 THEN said ELSE {_FIXED} END)) AS digest FROM ({_PY_LINES})")
+def st_dash_py(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as Python source: each line a comment with dashes after a string that holds one."""
+    said = lambda line, n: F.replace(line, F.lit(", "), F.element_at(F.array(*map(F.lit, (" — ", "–", " —", "— "))), n % 4 + 1))
+    source = lambda line, n: F.concat(F.lit('s = "–"  # '), said(line, n), F.when(n % 11 == 10, " dashes: allow").otherwise(""))
+    return guard.fix_python(_places(spark, sf_dir).withColumn("text", F.array_join(F.transform(F.split("text", "\n", -1), source), "\n"))).select("place", F.col("n").cast("long").alias("n"), F.md5("fixed").alias("digest"))
+
+
+_VERSIONS = (
+    (0, (), "{text}"),
+    (1, (0,), "{text}\nwrite to user{id}@gmail.com"),
+    (2, (0,), "edited {rest}"),
+    (3, (1, 2), "edited {rest}\nwrite to user{id}@gmail.com\nresolved by hand"),
+    (4, (3,), "{text}"),
+)
+_PLACES_OF = {"{text}": ("text", "text"), "{rest}": ("substr(text, 101)", "substr(text, 101)"), "{id}": ("CAST(doc_id AS VARCHAR)", "CAST(doc_id AS STRING)")}
+
+
+def _version_text(pattern: str, dialect: int) -> str:
+    """A version's text as an expression of the columns of documents."""
+    parts = [p for p in re.split(r"(\{\w+\}|\n)", pattern) if p]
+    return "concat(" + ", ".join(_PLACES_OF[p][dialect] if p in _PLACES_OF else ("chr(10)" if p == "\n" else f"'{p}'") for p in parts) + ")"
+
+
+VERSIONS_SQL = " UNION ALL ".join(f"SELECT doc_id AS path, {v} AS version, {_version_text(t, 0)} AS text FROM documents WHERE text IS NOT NULL" for v, _, t in _VERSIONS)
+EDGES_SQL = " UNION ALL ".join(f"SELECT {v} AS version, {p} AS parent" for v, parents, _ in _VERSIONS for p in parents)
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Five versions of each document: as it is, a line more, its head edited, both merged with a line more, as it was. And what each was made from."""
+    d = documents(spark, sf_dir).where("text is not null")
+    rows = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.expr(_version_text(t, 1)).alias("text")) for v, _, t in _VERSIONS])).alias("v"))
+    links = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), F.lit(p).alias("parent")) for v, parents, _ in _VERSIONS for p in parents]))
+    return rows.select(F.col("doc_id").alias("path"), "v.version", "v.text"), d.select(F.col("doc_id").alias("path"), links.alias("e")).select("path", "e.*")
+
+
+_ADDED = f"""WITH v AS ({VERSIONS_SQL}), l AS (SELECT path, version, line, count(*) AS c FROM (SELECT path, version, unnest(string_split(text, chr(10))) AS line FROM v) GROUP BY 1, 2, 3),
+a AS (SELECT l.path, l.version, l.line, any_value(l.c) - coalesce(max(p.c), 0) AS times FROM l LEFT JOIN ({EDGES_SQL}) e ON e.version = l.version LEFT JOIN l p ON p.path = l.path AND p.version = e.parent AND p.line = l.line GROUP BY 1, 2, 3)"""
+
+
+@query(f"{_ADDED} SELECT path, version, md5(line) AS digest, times FROM a WHERE times > 0")
+def src_git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return versions.added_lines(*_versions(spark, sf_dir)).select("path", "version", F.md5("line").alias("digest"), "times")
+
+
+_MAILBOXES = rf"""SELECT path, version, value FROM (SELECT path, version, unnest(list_distinct(regexp_extract_all(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}\b'))) AS value FROM a WHERE times > 0 AND version > 0)
+WHERE lower(split_part(value, '@', 2)) IN {guard.CONSUMER_DOMAINS} AND lower(split_part(value, '@', 1)) NOT IN {guard.PLACEHOLDER_LOCALS}"""
+
+
+@query(f"{_ADDED} {_MAILBOXES}")
+def src_git_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mailboxes in what versions after the first add; lines that were there, went, or came from a parent are nobody's new finding."""
+    added = versions.added_lines(*_versions(spark, sf_dir)).where("version > 0").select(F.struct("path", "version").alias("place"), F.col("line").alias("text"))
+    return guard.emails(added, domain_of_texts="range").select("place.path", "place.version", "value")
+
+
+@query(f"SELECT first.path AS path, first.version AS version, times FROM (SELECT min(struct_pack(version := version, path := path)) AS first, count(*) AS times FROM ({VERSIONS_SQL}) GROUP BY md5(text))")
+def src_git_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every content of all versions once, as scanners of a history read it."""
+    return versions.contents(_versions(spark, sf_dir)[0], F.col("version")).select("path", "version", "times")
+
+
+@query(f"""WITH m AS (SELECT conv_id AS thread, turn AS seq, role <> 'user' AS bot, concat(substr(text, 1, 150), ' [EMAIL_1] ', substr(text, 151)) AS said, CASE WHEN turn % 3 <> 0 THEN turn - 1 END AS reply_to,
+ concat('u_', substr({pseudonym_sql("concat(CAST(conv_id AS VARCHAR), ':', role)")}, 1, 6)) AS who FROM conversations),
+x AS (SELECT *, row_number() OVER w AS n, first_value(said) OVER w AS opener FROM m WINDOW w AS (PARTITION BY thread ORDER BY seq)),
+r AS (SELECT a.thread, a.seq, string_agg(concat(b.who, ': ', substr(b.said, 1, 160)), ' | ' ORDER BY b.seq) AS recent FROM x a JOIN x b ON a.thread = b.thread AND b.n BETWEEN a.n - 6 AND a.n - 1 WHERE NOT b.bot GROUP BY 1, 2)
+SELECT x.thread, x.seq, substr(concat_ws(chr(10), CASE WHEN x.thread % 2 = 1 THEN concat('[thread title] thread ', x.thread, ' of [EMAIL_1]') END, CASE WHEN x.n > 1 THEN '[opening post] ' || substr(opener, 1, 400) END,
+ '[replying to ' || CASE WHEN a.bot THEN 'the bot' ELSE a.who END || '] ' || substr(a.said, 1, 300), '[recent] ' || recent), 1, 1500) AS context
+FROM x LEFT JOIN m a ON a.thread = x.thread AND a.seq = x.reply_to LEFT JOIN r ON r.thread = x.thread AND r.seq = x.seq""")
 def prj_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages.context(read_messages(spark, sf_dir)).select("thread", "seq", "context")
+    """Messages with an address across the cut of the recent ones; each third turn answers one that is not there, each second thread has a title with an address."""
+    c = F.col
+    rows = read_messages(spark, sf_dir).select(
+        "thread", "seq", "author", "bot", F.when(c("seq") % 3 != 0, c("seq") - 1).otherwise(c("seq") + 1000).alias("reply_to"),
+        F.concat(F.left("text", F.lit(150)), F.lit(" m"), c("seq").cast("string"), F.lit("@corp.org "), F.substr("text", F.lit(151))).alias("text"),
+        F.when(c("thread") % 2 == 1, F.concat(F.lit("thread "), c("thread").cast("string"), F.lit(" of host@corp.org"))).alias("title"),
+    )
+    return messages.context(rows, salt="query-salt")
 
 
 @query("SELECT event_id, coalesce(value / 100e0 >= 0.3e0 AND value / 100e0 <= 0.85e0, false) AS uncertain FROM events")
