@@ -1,7 +1,8 @@
 """Versions of texts: the lines a version adds, and every content once, so that scanners read what is new.
 
-A version is a row (path, version, text); an edge (path, version, parent) says what it was made from. A version may have several parents
-(a merge) or none (the first one).
+A version is a row (path, version, text), ``(path, version)`` its key; an edge (path, version, parent) says what it was made from. A version may have several parents
+(a merge) or none (the first one). Lines and contents are compared by digest, and only digests are shuffled: scan lines first (:func:`lines`) and keep the findings whose
+line was added, or fetch the texts of what is left (:func:`texts_of`).
 """
 
 from __future__ import annotations
@@ -10,29 +11,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _digest(line: Column) -> Column:
+    return F.unhex(F.md5(line))
+
+
+def lines(versions: DataFrame) -> DataFrame:
+    """Each line of each version: path, version, digest, line. A null text has none, an empty one has one empty line."""
+    return versions.select("path", "version", F.explode(F.split("text", "\n", -1)).alias("line")).select("path", "version", _digest(F.col("line")).alias("digest"), "line")
+
+
 def added_lines(versions: DataFrame, edges: DataFrame) -> DataFrame:
-    """Lines that a version holds more often than each of its parents: path, version, line, ``times`` (how much more often).
+    """Lines that a version holds more often than each of its parents: path, version, digest, ``times`` (how much more often).
 
     Lines are counted, not aligned, so a line that moved is not added. A merge adds only what no parent has; all lines of a version without parents are added,
-    and a parent that is not there has no lines. Removed lines are never told. Only a version's own lines are shuffled as texts; those of its parents go as digests.
-    A null text has no lines, an empty one has one empty line; edges and versions given twice count once.
+    and a parent that is not there has no lines. Removed lines are never told. Edges given twice count once.
     """
-    lines = versions.dropDuplicates(["path", "version"]).select("path", "version", F.explode(F.split("text", "\n", -1)).alias("line"))
-    counted = lines.groupBy("path", "version", F.sha2("line", 256).alias("digest")).agg(F.first("line").alias("line"), F.count(F.lit(1)).alias("times"))
-    nothing = F.lit(None).cast("string")
+    digests = versions.select("path", "version", F.explode(F.transform(F.split("text", "\n", -1), _digest)).alias("digest"))
+    counted = digests.groupBy("path", "version", "digest").agg(F.count(F.lit(1)).alias("own")).withColumn("of_parent", F.lit(0).cast("long"))
     parents = edges.select("path", F.col("version").alias("child"), F.col("parent").alias("version")).distinct()
-    before = counted.drop("line").join(parents, ["path", "version"]).select("path", F.col("child").alias("version"), "digest", nothing.alias("line"), F.lit(0).cast("long").alias("own"), F.col("times").alias("of_parent"))
-    both = counted.select("path", "version", "digest", "line", F.col("times").alias("own"), F.lit(0).cast("long").alias("of_parent")).union(before)
-    each = both.groupBy("path", "version", "digest").agg(F.max("line").alias("line"), (F.max("own") - F.max("of_parent")).alias("times"))
-    return each.where("times > 0").select("path", "version", "line", "times")
+    before = counted.join(parents, ["path", "version"]).select("path", F.col("child").alias("version"), "digest", F.lit(0).cast("long").alias("own"), F.col("own").alias("of_parent"))
+    each = counted.union(before).groupBy("path", "version", "digest").agg((F.max("own") - F.max("of_parent")).alias("times"))
+    return each.where("times > 0")
 
 
 def contents(versions: DataFrame, order: Column) -> DataFrame:
-    """Each distinct text once, with the version that had it first by ``order`` (ties: the smallest path), and how many versions hold it: path, version, text, ``times``.
-
-    Texts are compared by digest; the text itself goes only with the version that is kept.
-    """
-    named = versions.where("text is not null").withColumn("digest", F.sha2("text", 256)).withColumn("_order", order)
+    """Each distinct text once, by the version that had it first by ``order`` (ties: the smallest path), and how many versions hold it: path, version, digest, ``times``. Null texts are none."""
+    named = versions.where("text is not null").select("path", "version", F.sha2("text", 256).alias("digest"), order.alias("_order"))
     first = named.groupBy("digest").agg(F.min(F.struct("_order", "path", "version")).alias("at"), F.count(F.lit(1)).alias("times"))
-    kept = first.select("at.path", "at.version", "times")
-    return versions.dropDuplicates(["path", "version"]).join(kept, ["path", "version"]).select("path", "version", "text", "times")
+    return first.select("at.path", "at.version", "digest", "times")
+
+
+def texts_of(versions: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``kept`` (path, version and more) with the text of their version."""
+    return kept.join(versions.select("path", "version", "text"), ["path", "version"])

@@ -516,7 +516,7 @@ a AS (SELECT l.path, l.version, l.line, any_value(l.c) - coalesce(max(p.c), 0) A
 
 @query(f"{_ADDED} SELECT path, version, md5(line) AS digest, times FROM a WHERE times > 0")
 def src_git(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return versions.added_lines(*_versions(spark, sf_dir)).select("path", "version", F.md5("line").alias("digest"), "times")
+    return versions.added_lines(*_versions(spark, sf_dir)).select("path", "version", F.lower(F.hex("digest")).alias("digest"), "times")
 
 
 _MAILBOXES = rf"""SELECT path, version, value FROM (SELECT path, version, unnest(list_distinct(regexp_extract_all(line, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{{2,}}\b'))) AS value FROM a WHERE times > 0 AND version > 0)
@@ -525,9 +525,10 @@ WHERE lower(split_part(value, '@', 2)) IN {guard.CONSUMER_DOMAINS} AND lower(spl
 
 @query(f"{_ADDED} {_MAILBOXES}")
 def src_git_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mailboxes in what versions after the first add; lines that were there, went, or came from a parent are nobody's new finding."""
-    added = versions.added_lines(*_versions(spark, sf_dir)).where("version > 0").select(F.struct("path", "version").alias("place"), F.col("line").alias("text"))
-    return guard.emails(added, domain_of_texts="range").select("place.path", "place.version", "value")
+    """Mailboxes in what versions after the first add; lines that were there, went, or came from a parent are nobody's new finding. All lines are scanned, and findings meet the added ones."""
+    rows, edges = _versions(spark, sf_dir)
+    found = guard.emails(versions.lines(rows).where("version > 0").select(F.struct("path", "version", "digest").alias("place"), F.col("line").alias("text")), domain_of_texts="range")
+    return found.select("place.*", "value").distinct().join(versions.added_lines(rows, edges), ["path", "version", "digest"]).select("path", "version", "value")
 
 
 @query(f"SELECT first.path AS path, first.version AS version, times FROM (SELECT min(struct_pack(version := version, path := path)) AS first, count(*) AS times FROM ({VERSIONS_SQL}) GROUP BY md5(text))")
