@@ -7,7 +7,7 @@ order of arrival: each field, author and snippet remembers the smallest ordinal
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from datetime import timedelta
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -24,6 +24,8 @@ DEMAND = "canonical_key string, ordinal long, title string, why string, reach lo
 #: A demand as the pool shows it; ``faded`` if nothing was said for so long.
 SHOWN = "canonical_key string, title string, why string, reach long, authors long, merged long, evidence string, first_seen timestamp, last_seen timestamp, status string"
 _HELD = "first long, title string, reach long, why_at long, why string, rows long, authors long, first_seen timestamp, last_seen timestamp, last_millis long"
+#: Authors of a demand that are read from the state together.
+LISTED = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -40,34 +42,34 @@ class Pool(StatefulProcessor):
         self.snippets = handle.getMapState("snippets", "head string", "ordinal long, snippet string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        """Rows are reduced as they come: one access to the state for each author and snippet of the batch."""
+        """Rows are reduced as they come, as plain values: a key has a few rows a batch, and a call of pandas for each costs more than they do. The state is asked for what a new key cannot have no
+        more than once: a short list of authors is read in one go, a longer one author by author.
+        """
         old = self.held.get()
         first, title, reach, why_at, why, n, authors, seen, last, millis = old or (None, None, 0, None, "", 0, 0, None, None, 0)
         people: dict[str, int] = {}
         told: dict[str, tuple[int, str]] = {}
         for part in rows:
-            part = part.sort_values("ordinal", kind="stable")
-            n += len(part)
-            top = part.iloc[0]
-            if first is None or top.ordinal < first:
-                first, title, reach = int(top.ordinal), top.title, 0 if pd.isna(top.reach) else int(top.reach)
-            given = part[part.why.fillna("") != ""]
-            if len(given) and (why_at is None or given.ordinal.iloc[0] < why_at):
-                why_at, why = int(given.ordinal.iloc[0]), given.why.iloc[0]
-            for author, at in part[part.author.fillna("") != ""].groupby("author").ordinal.min().items():
-                people[author] = min(int(at), people.get(author, int(at)))
-            shown = part[part.snippet.fillna("") != ""]
-            for head, at, said in zip(shown.snippet.str[:HEAD], shown.ordinal, shown.snippet, strict=True):
-                if head not in told or at < told[head][0]:
-                    told[head] = (int(at), said)
-            millis = max(millis, int(part.millis.max()))
-            low, high = part.ts.min().to_pydatetime(), part.ts.max().to_pydatetime()
+            times, columns = part["ts"].tolist(), [part[x].tolist() for x in ("ordinal", "title", "reach", "why", "author", "snippet")]
+            n += len(times)
+            for at, name, wide, because, author, said in zip(*columns, strict=True):
+                if first is None or at < first:
+                    first, title, reach = at, name, 0 if wide is None or wide != wide else int(wide)
+                if isinstance(because, str) and because and (why_at is None or at < why_at):
+                    why_at, why = at, because
+                if isinstance(author, str) and author:
+                    people[author] = min(at, people.get(author, at))
+                if isinstance(said, str) and said and ((head := said[:HEAD]) not in told or at < told[head][0]):
+                    told[head] = (at, said)
+            millis = max(millis, *part["millis"].tolist())
+            low, high = min(times).to_pydatetime(), max(times).to_pydatetime()
             seen, last = low if seen is None else min(seen, low), high if last is None else max(last, high)
+        known = set() if not authors else {k[0] for k in self.authors.keys()} if authors <= LISTED else {x for x in people if self.authors.containsKey((x,))}
         for author, at in people.items():
-            if not self.authors.containsKey((author,)):
+            if author not in known:
                 self.authors.updateValue((author,), (at,))
                 authors += 1
-        kept = {k[0]: v for k, v in self.snippets.iterator()}
+        kept = {k[0]: v for k, v in self.snippets.iterator()} if old else {}
         best = sorted([(at, head, said) for head, (at, said) in (kept | {h: min(v, kept.get(h, v)) for h, v in told.items()}).items()])[:EVIDENCE]
         for head in kept.keys() - {h for _, h, _ in best}:
             self.snippets.removeKey((head,))
@@ -75,17 +77,16 @@ class Pool(StatefulProcessor):
             if kept.get(head) != (at, said):
                 self.snippets.updateValue((head,), (at, said))
         self.held.update((first, title, reach, why_at, why, n, authors, seen, last, millis))
-        for timer in list(self.handle.listTimers()):
+        for timer in list(self.handle.listTimers()) if old else ():
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(millis + int(self.fade.total_seconds() * 1000))
-        yield self._row(key, "new")
+        yield self._row(key, "new", title, reach, why, n, authors, seen, last, best=[(at, said) for at, _, said in best])
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        yield self._row(key, "faded")
-
-    def _row(self, key: tuple, status: str) -> pd.DataFrame:
         _, title, reach, _, why, n, authors, seen, last, _ = self.held.get()
-        best = sorted(v for _, v in self.snippets.iterator())
+        yield self._row(key, "faded", title, reach, why, n, authors, seen, last, sorted(v for _, v in self.snippets.iterator()))
+
+    def _row(self, key: tuple, status: str, title: str, reach: int, why: str, n: int, authors: int, seen: datetime, last: datetime, best: list[tuple[int, str]]) -> pd.DataFrame:
         return pd.DataFrame([(key[0], title, why, max(reach, authors), authors, n - 1, ",".join(x for _, x in best), seen, last, status)], columns=[x.split()[0] for x in SHOWN.split(", ")])
 
     def close(self) -> None:
