@@ -87,7 +87,7 @@ def errors(cards: DataFrame) -> DataFrame:
 
 def gate(cards: DataFrame) -> DataFrame:
     """Flags passed, pushable, archivable, digest_only. Tier0 comes first in input order, then scores over the push floor."""
-    checked = errors(cards).withColumn("passed", F.size("errs") == 0)
+    checked = cut(errors(cards).withColumn("passed", F.size("errs") == 0), "checked")  # read twice: the cards are made, and their texts judged, once
     first = F.col("tier") == "tier0"
     eligible = F.col("passed") & (first | (F.col("final_score") >= SCORING["push"]))
     order = [F.when(first, 0).otherwise(1), F.when(first, F.col("demand_id")), F.desc("final_score"), F.col("demand_id")]
@@ -123,6 +123,7 @@ def message(cards: DataFrame, date: str, candidates: int, cap: int = 5) -> DataF
     given = lambda x: F.when(x != "", x)
     flat = lambda x: text.inline(F.coalesce(c(x), F.lit("")))
     cut_ = scoring.is_cut(c("tier"), c("kano"))
+    cards = cut(cards.select("demand_id", "canonical_key", "title", "inferred_job", "why", "recommendation", "grade", "final_score", "rice_raw", "tier", "kano", "evidence"), "cards")  # read twice
     counts = cards.agg(F.count_if(~cut_).alias("good"), F.count_if(cut_).alias("noise"))
     top = cards.where(~cut_).orderBy(*queue_order()).limit(max(1, cap)).withColumn("position", F.row_number().over(W.orderBy(*queue_order())))
     kano = scoring.lookup(F.lower(F.coalesce(c("kano"), F.lit(""))), KANO_LABEL, "")
@@ -205,6 +206,7 @@ def digest_items(items: DataFrame, days: DataFrame) -> DataFrame:
 def summary(rows: DataFrame, day: Column, top: int = 15, limit: int = 3900) -> DataFrame:
     """One row with the day's text: what was touched, the backlog, the best of today and of all. Only ``2 * top`` rows are gathered."""
     seen = rows.withColumn("touched", (F.to_date("last_seen") == day) | (F.to_date("first_seen") == day))
+    seen = cut(seen.select("demand_id", "title", "grade", "final_score", "reach", "status", "touched"), "seen")  # read three times
     counts = seen.agg(F.count_if("touched").alias("touched"), F.count(F.lit(1)).alias("backlog"))
     order = [F.desc("final_score"), F.col("demand_id")]
     head = F.concat(F.lit('"'), F.left("title", F.lit(70)), F.lit('" ('), "grade", F.lit(" "), F.col("final_score").cast("string"), F.lit(", reach "), F.col("reach").cast("long").cast("string"))
