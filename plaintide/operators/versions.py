@@ -10,6 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plaintide.functions import text
+from plaintide.storage import shuffle_partitions
+
+#: Lines of versions that a task is given, on average.
+LINES = 1 << 20
+
 
 def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
@@ -25,13 +31,38 @@ def added_lines(versions: DataFrame, edges: DataFrame) -> DataFrame:
 
     Lines are counted, not aligned, so a line that moved is not added. A merge adds only what no parent has; all lines of a version without parents are added,
     and a parent that is not there has no lines. Removed lines are never told. Edges given twice count once.
+    Every step deals lines to tasks by their number, and none reduces them before they are dealt, so that a task's memory does not grow with the input.
     """
-    digests = versions.select("path", "version", F.explode(F.transform(F.split("text", "\n", -1), _digest)).alias("digest"))
-    counted = digests.groupBy("path", "version", "digest").agg(F.count(F.lit(1)).alias("own")).withColumn("of_parent", F.lit(0).cast("long"))
-    parents = edges.select("path", F.col("version").alias("child"), F.col("parent").alias("version")).distinct()
-    before = counted.join(parents, ["path", "version"]).select("path", F.col("child").alias("version"), "digest", F.lit(0).cast("long").alias("own"), F.col("own").alias("of_parent"))
-    each = counted.union(before).groupBy("path", "version", "digest").agg((F.max("own") - F.max("of_parent")).alias("times"))
-    return each.where("times > 0")
+    c = F.col
+    n = max(tasks(versions), shuffle_partitions(versions.sparkSession))
+    own = versions.select("path", "version", F.transform(F.split("text", "\n", -1), _digest).alias("digests"))
+    links = edges.dropna(subset=["path", "version", "parent"]).select("path", c("parent").alias("version"), c("version").alias("child"))
+    # a version's digests are one row, which meets its children; lines are rows of their own only from there on
+    met = own.unionByName(links, allowMissingColumns=True).repartition(n, "path", "version").groupBy("path", "version")
+    rows = met.agg(F.flatten(F.collect_list("digests")).alias("digests"), F.collect_set("child").alias("children")).where(F.size("digests") > 0)
+    counted = rows.select("path", "version", "children", F.explode(_counted(c("digests"))).alias("line"))
+    zero, times = F.lit(0).cast("long"), c("line.times")
+    own_line = F.struct("version", times.alias("own"), zero.alias("of_parent"))
+    told = F.concat(F.array(own_line), F.transform("children", lambda v: F.struct(v.alias("version"), zero.alias("own"), times.alias("of_parent"))))
+    each = counted.select("path", "line.digest", F.explode(told).alias("t")).select("path", "t.version", "digest", "t.own", "t.of_parent")
+    by_line = each.repartition(n, "path", "version", "digest").groupBy("path", "version", "digest")
+    return by_line.agg((F.max("own") - F.max("of_parent")).alias("times")).where("times > 0")
+
+
+def tasks(versions: DataFrame) -> int:
+    """How many tasks the lines of versions are enough for."""
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    return -(-(versions.agg(F.sum(breaks + 1)).first()[0] or 0) // LINES)
+
+
+def _counted(digests: Column) -> Column:
+    """Each digest of a list that is not empty, once, as (digest, times)."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return text.once(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(s, i).alias("digest"), (F.coalesce(F.get(at, k + 1), F.size(s)) - i).cast("long").alias("times"))))
+
+    return text.once(F.sort_array(digests), runs)
 
 
 def contents(versions: DataFrame, order: Column) -> DataFrame:
