@@ -52,3 +52,16 @@ def test_sides_of_odd_mentions(spark):
         assert rows_of(demand.side(found, name).select(want.columns)) == rows_of(want)
     assert {r["demand_id"]: r["source_set"] for r in demand.side(found, "all").collect()} == {1: ["", "a", "b"], 2: []}
     assert "Exchange" in found._jdf.queryExecution().executedPlan().toString() and found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_mentions_get_tasks_by_their_number(spark, monkeypatch):
+    """No task is given more line items on average than ``ROWS``, whatever the session's partitions."""
+    want = rows_of(catalog.queries()["agg_confidence"](spark, SF))
+    monkeypatch.setattr(adapters, "ROWS", 500)
+    n = adapters.tasks(spark, SF)
+    assert n > 8
+    df = catalog.queries()["agg_confidence"](spark, SF)
+    dealt = [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert {k for k in ("l_orderkey", "o_orderkey", "demand_id") if any(f"{k}#" in x for x in dealt)} == {"l_orderkey", "o_orderkey", "demand_id"}
+    assert all(f", {n}), REPARTITION_BY_NUM" in x for x in dealt)
+    assert rows_of(df) == want
