@@ -13,18 +13,25 @@ from plaintide.storage import shuffle_partitions
 CUTOFF = "2000-01-01"
 #: Rows of a shuffled table that a task is given at most, on average.
 ROWS = 1 << 19
+#: Customers beyond these are shuffled; Spark broadcasts about as many by its own limit of 10 MB.
+CUSTOMERS = 1 << 20
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per mention of a demand: line items with their order, customer and part.
 
-    Orders meet their customers first, so that the line items, which are many, are shuffled once. More tasks than the session's are made where there are rows for them.
+    Orders meet their customers first, so that the line items, which are many, are shuffled once. Where there are rows for it, tasks are made by the number of rows: the session's partitions may be
+    fewer, or be joined to as few as there are cores.
     """
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_suppkey") % 3).alias("third"), "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    rows, session = tasks(spark, sf_dir), shuffle_partitions(spark)
+    n, many = max(rows, session), rows > min(session, spark.sparkContext.defaultParallelism)
+    if many and customer.count() > CUSTOMERS and not _frequent(orders, "o_custkey"):
+        orders, customer = orders.repartition(n, "o_custkey"), customer.repartition(n, "c_custkey")
     buyers = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).drop("c_custkey")
-    if (n := tasks(spark, sf_dir)) > shuffle_partitions(spark):
+    if many:
         li, buyers = li.repartition(n, "l_orderkey"), buyers.repartition(n, "o_orderkey")
     rank = F.left("o_orderpriority", F.lit(1))
     return (
@@ -43,13 +50,17 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tasks(spark: SparkSession, sf_dir: str) -> int:
-    """How many tasks the mentions are enough for; the session's number of partitions is the least that is used."""
+    """How many tasks the mentions are enough for."""
     return -(-table(spark, sf_dir, "lineitem").count() // ROWS)
 
 
 def crowded(spark: SparkSession, sf_dir: str) -> bool:
     """Whether a demand has more mentions than should meet in one task."""
-    n = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n"))
+    return _frequent(table(spark, sf_dir, "lineitem"), "l_partkey")
+
+
+def _frequent(rows: DataFrame, key: str) -> bool:
+    n = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     return not n.where(F.col("n") > FREQUENT).isEmpty()
 
 

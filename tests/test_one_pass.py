@@ -1,5 +1,7 @@
 """Mentions are read and shuffled once for all that is asked of them; where a demand is too frequent for one task, the results are the same."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,3 +67,38 @@ def test_mentions_get_tasks_by_their_number(spark, monkeypatch):
     assert {k for k in ("l_orderkey", "o_orderkey", "demand_id") if any(f"{k}#" in x for x in dealt)} == {"l_orderkey", "o_orderkey", "demand_id"}
     assert all(f", {n}), REPARTITION_BY_NUM" in x for x in dealt)
     assert rows_of(df) == want
+
+
+def dealt_by(df):
+    """Keys of the exchanges that keep their number of tasks, with that number."""
+    return {tuple(x) for x in re.findall(r"Exchange hashpartitioning\((\w+)#\d+L?, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_mentions_keep_their_tasks_where_the_session_has_more(spark, monkeypatch):
+    """Spark joins partitions of its own exchanges to as few as there are cores, whatever their rows."""
+    want = rows_of(catalog.queries()["agg_confidence"](spark, SF))
+    monkeypatch.setattr(adapters, "ROWS", 500)
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        assert spark.sparkContext.defaultParallelism < adapters.tasks(spark, SF) < 64
+        df = catalog.queries()["agg_confidence"](spark, SF)
+        assert dealt_by(df) == {("l_orderkey", "64"), ("o_orderkey", "64"), ("demand_id", "64")}
+        assert rows_of(df) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_many_customers_get_tasks_by_their_number(spark, monkeypatch):
+    """Unless one has more orders than should meet in one task."""
+    want = rows_of(catalog.queries()["agg_confidence"](spark, SF))
+    monkeypatch.setattr(adapters, "ROWS", 500)
+    monkeypatch.setattr(adapters, "CUSTOMERS", 1, raising=False)
+    n = str(adapters.tasks(spark, SF))
+    df = catalog.queries()["agg_confidence"](spark, SF)
+    assert dealt_by(df) == {(x, n) for x in ("o_custkey", "c_custkey", "l_orderkey", "o_orderkey", "demand_id")}
+    assert rows_of(df) == want
+    monkeypatch.setattr(adapters, "FREQUENT", 1)
+    df = catalog.queries()["agg_confidence"](spark, SF)
+    assert dealt_by(df) == {("l_orderkey", n), ("o_orderkey", n)}
+    assert rows_of(df) == want
