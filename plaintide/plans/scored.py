@@ -35,7 +35,7 @@ def over(sql: str) -> str:
 
 @query(f"WITH m AS ({MENTIONS}), p AS ({PROPOSALS}), {demand.SCORED} SELECT demand_id, intensity, distinct_authors FROM i")
 def agg_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return demand.intensity(mentions(spark, sf_dir))
+    return demand.intensity(dealt(spark, sf_dir))
 
 
 @query(over("SELECT demand_id, mention_count, sources, internal_mentions, external_mentions, explicit, CAST(last_seen AS VARCHAR) AS last_seen FROM e"))

@@ -102,3 +102,15 @@ def test_many_customers_get_tasks_by_their_number(spark, monkeypatch):
     df = catalog.queries()["agg_confidence"](spark, SF)
     assert dealt_by(df) == {("l_orderkey", n), ("o_orderkey", n)}
     assert rows_of(df) == want
+
+
+def test_intensity_gets_tasks_by_its_mentions(spark, monkeypatch):
+    want = rows_of(catalog.queries()["agg_intensity"](spark, SF))
+    monkeypatch.setattr(adapters, "ROWS", 500)
+    n = str(adapters.tasks(spark, SF))
+    df = catalog.queries()["agg_intensity"](spark, SF)
+    assert dealt_by(df) == {(x, n) for x in ("l_orderkey", "o_orderkey", "demand_id")}
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert rows_of(df) == want
+    monkeypatch.setattr(adapters, "FREQUENT", 1)
+    assert rows_of(catalog.queries()["agg_intensity"](spark, SF)) == want
