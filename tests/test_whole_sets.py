@@ -26,6 +26,7 @@ def test_words_after_the_64th_count(spark, tmp_path):
     sims = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a > b}
     got = {(r["left_id"], r["right_id"]): r["similarity"] for r in texts.st_jaccard(spark, sf).collect()}
     assert got == {k: v for k, v in sims.items() if v >= 0.45} and (4, 3) in got and (2, 1) not in got
+    assert {(r["left_id"], r["right_id"]) for r in texts.join_band(spark, sf).collect()} == {(6, 1)}
 
 
 @pytest.mark.parametrize("told", [True, False])
